@@ -100,3 +100,28 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) ->
     """
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
+def with_first_before(
+    df: DataFrame, group: str, order: Sequence[Column], columns: dict[str, str], first_flag: str = "_is_first"
+) -> DataFrame:
+    """Add the first non-NULL value among the rows before this one: {source: new}.
+
+    Reads like ``first(ignorenulls)`` over the preceding rows, but the first value per group
+    comes from a map-side combined aggregate and is joined back, so no task needs a whole
+    group in order. Rows with a NULL group get NULLs and are nobody's first.
+    """
+    at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    placed = df.withColumn("_at", at)
+    firsts = placed.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_group")).agg(
+        F.min("_at").alias("_start"),
+        *[
+            F.min(F.when(F.col(c).isNotNull(), F.struct(F.col("_at").alias("at"), F.col(c).alias("v")))).alias(f"_f_{c}")
+            for c in columns
+        ],
+    )
+    joined = placed.join(firsts, F.col(group) == F.col("_group"), "left")
+    carried = {new: F.when(F.col("_at") > F.col(f"_f_{c}")["at"], F.col(f"_f_{c}")["v"]) for c, new in columns.items()}
+    return joined.withColumns({**carried, first_flag: F.coalesce(F.col("_at") == F.col("_start"), F.lit(False))}).select(
+        *df.columns, *columns.values(), first_flag
+    )
