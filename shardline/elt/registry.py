@@ -63,7 +63,7 @@ def register_sources(columns: DataFrame, shards: DataFrame, host: str, name_filt
 
 
 def validate_sources(sources: DataFrame, columns: DataFrame, host: str) -> DataFrame:
-    """Sources with src_table_valid_status and the reasons found in ``comments``."""
+    """Sources with src_table_valid_status (the table exists) and the flaws in ``comments``."""
     name = F.col("column_name")
     facts = columns.groupBy("table_schema", "table_name").agg(
         F.max(F.lower(name).isin(*MASTER_DTM[host])).alias("_master_dtm"),
@@ -98,7 +98,7 @@ def validate_sources(sources: DataFrame, columns: DataFrame, host: str) -> DataF
     comments = F.when(~exists, gone).when(reasons != "", reasons)
     return joined.select(
         *[c for c in sources.columns if c != "src_table_valid_status"],
-        F.when(comments.isNull(), 1).otherwise(0).alias("src_table_valid_status"),
+        F.when(exists, 1).otherwise(0).alias("src_table_valid_status"),
         comments.alias("comments"),
     )
 
