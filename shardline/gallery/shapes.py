@@ -171,7 +171,7 @@ SELECT o_orderkey AS item_id, o_custkey % 40 AS account_id, 1 AS account_type,
        o_custkey % 25 AS content_item_class_id, o_custkey AS content_item_id,
        CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END AS seller_item_status,
        CAST(o_orderkey % 5 AS INT) AS catalog_status,
-       o_orderdate AS created_dtm, o_orderdate AS modified_dtm,
+       MONTH_START(o_orderdate) AS created_dtm, o_orderdate AS modified_dtm,
        CAST(o_custkey % 30 AS INT) AS shc_division_nbr, o_custkey AS shc_hierarchy_id, o_custkey % 50 AS core_hierarchy_id,
        CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 4 END AS allocation_mask,
        CASE o_orderstatus WHEN 'F' THEN 'S' WHEN 'O' THEN 'K' ELSE 'X' END AS owner_code,
@@ -213,7 +213,7 @@ UNION ALL SELECT 20, r_regionkey, CONCAT('enriched ', r_name) FROM {region} WHER
 """
 SHAPES["x_item_log"] = """
 SELECT l_orderkey AS item_id, l_orderkey % 40 AS account_id, CAST(l_linenumber % 6 AS INT) AS catalog_status,
-       l_shipdate AS log_created_dtm
+       MONTH_START(l_shipdate) AS log_created_dtm
 FROM {lineitem}
 """
 SHAPES["x_vendor_package"] = """
