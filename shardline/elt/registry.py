@@ -33,7 +33,7 @@ def register_sources(columns: DataFrame, shards: DataFrame, host: str, name_filt
         columns.where(name_filter)
         .groupBy("table_schema", "table_name")
         .agg(
-            F.min_by(F.when(key == "PRI", pk), F.when(key == "PRI", F.col("ordinal_position"))).alias("pk_column"),
+            F.min(F.when(key == "PRI", F.struct("ordinal_position", name.alias("n"), pk.alias("pk"))))["pk"].alias("pk_column"),
             max_where(F.col("ordinal_position") == 1, name).alias("first_column"),
             max_where(name.isin(*SHARDING[host]) & (key != "PRI"), name).alias("sharding_column_name"),
             max_where(change, name).alias("dtm_column_name"),

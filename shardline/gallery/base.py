@@ -23,7 +23,7 @@ BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
-MONTH = re.compile(r"MONTH_START\(([^()]+)\)")
+PERIOD = re.compile(r"(MONTH|YEAR)_START\(([^()]+)\)")
 SHAPE = re.compile(r"\bx_\w+")
 
 
@@ -42,7 +42,7 @@ class Tables:
         raise AttributeError(name)
 
     def sql(self, text: str) -> DataFrame:
-        text = MONTH.sub(r"CAST(DATE_TRUNC('MONTH', \1) AS TIMESTAMP_NTZ)", text)
+        text = PERIOD.sub(r"CAST(DATE_TRUNC('\1', \2) AS TIMESTAMP_NTZ)", text)
         used = {n: getattr(self, n.removeprefix("x_")) for n in re.findall(r"\{(\w+)\}", text)}
         return self.spark.sql(text, **used)
 
@@ -73,7 +73,7 @@ def _oracle(body: str) -> str:
     visit(body)
     ctes = []
     for name in order:
-        text = MONTH.sub(r"CAST(DATE_TRUNC('month', \1) AS TIMESTAMP)", SHAPES[name])
+        text = PERIOD.sub(r"CAST(DATE_TRUNC('\1', \2) AS TIMESTAMP)", SHAPES[name])
         ctes.append(f"{name} AS ({re.sub(r'[{}]', '', text).strip()})")
     body = body.strip()
     lead = re.match(r"WITH\s+(RECURSIVE\s+)?", body)

@@ -75,7 +75,7 @@ def _columns_sql(host: str) -> str:
     return f"""
     q AS (
       SELECT table_schema, table_name, {alias} AS src_table_alias,
-             (ARG_MIN({pk}, ordinal_position) FILTER (column_key = 'PRI')) AS pk,
+             FIRST({pk} ORDER BY ordinal_position, column_name) FILTER (column_key = 'PRI') AS pk,
              MAX(CASE WHEN ordinal_position = 1 THEN column_name END) AS first_column, {dtm} AS dtm_column_name,
              MAX(CASE WHEN column_name IN ({sharding}) AND column_key <> 'PRI' THEN column_name END) AS sharding_column_name
       FROM x_catalog WHERE table_name NOT LIKE 'brand_2%' GROUP BY table_schema, table_name),
@@ -194,7 +194,7 @@ def _(t):
     "e5_next_ledger_entries",
     f"""
     WITH {_columns_sql("db2")}
-    SELECT (SELECT MAX(download_num) FROM x_ledger) + 1 AS download_num, src_schema_name, src_table_name, shard_number,
+    SELECT (SELECT MAX(download_num) FROM x_ledger) + 1 AS download_num, src_schema_name, src_table_name, src.shard_number,
            LEAST(e.m - INTERVAL 1 HOUR, TIMESTAMP '2024-01-20') AS control_start_dtm, e.m AS control_end_dtm
     FROM src JOIN x_shard_profiles p ON p.shard_profile_id = src.shard_profile_id AND p.status = 1,
          (SELECT MAX(control_end_dtm) AS m FROM x_ledger WHERE download_status = 1) e

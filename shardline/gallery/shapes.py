@@ -163,8 +163,8 @@ FROM {part}
 
 # ---- catalog: orders as items (five to a relation), parts as content, line items as log ----
 SHAPES["x_item"] = """
-SELECT o_orderkey AS item_id, o_custkey % 40 AS account_id, 1 AS account_type,
-       CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 1 END AS fulfillment_type,
+SELECT o_orderkey AS item_id, o_custkey % 10 AS account_id, 1 AS account_type,
+       CASE WHEN o_orderstatus <> 'P' THEN 3 ELSE 1 END AS fulfillment_type,
        CONCAT('W', CAST(o_orderkey AS STRING)) AS websku, CONCAT('P', CAST(o_custkey AS STRING)) AS pid,
        CASE WHEN FLOOR(o_orderkey / 5) % 3 = 0 THEN CAST(NULL AS INT) WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS dummy_item_flag,
        CASE WHEN FLOOR(o_orderkey / 5) % 3 = 0 THEN 1 WHEN FLOOR(o_orderkey / 5) % 3 = 1 THEN 2 ELSE 6 END AS relation_type_mask,
@@ -213,7 +213,7 @@ UNION ALL SELECT 20, r_regionkey, CONCAT('enriched ', r_name) FROM {region} WHER
 """
 SHAPES["x_item_log"] = """
 SELECT l_orderkey AS item_id, l_orderkey % 40 AS account_id, CAST(l_linenumber % 6 AS INT) AS catalog_status,
-       MONTH_START(l_shipdate) AS log_created_dtm
+       YEAR_START(l_shipdate) AS log_created_dtm
 FROM {lineitem}
 """
 SHAPES["x_vendor_package"] = """

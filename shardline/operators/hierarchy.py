@@ -14,7 +14,7 @@ def descend(edges: DataFrame, root: int | None, max_depth: int = 64) -> DataFram
     """(node_id, parent_id, depth, ancestors, sort_path) of every node below ``root``.
 
     ``edges`` holds ``node_id, parent_id``; ``root`` None starts at the nodes without parent.
-    One join per level; each level is checkpointed and only asked whether it is empty.
+    One join per level; each level is written once and only asked whether it is empty.
     """
     here = F.lpad(F.col("node_id").cast("string"), WIDTH, "0")
     start = edges.where(F.col("parent_id").isNull() if root is None else F.col("node_id") == root)

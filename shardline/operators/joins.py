@@ -1,0 +1,16 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+SMALL_ROWS = 500_000
+
+
+def sized(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """The narrow frame marked for broadcast when it has at most ``max_rows`` rows.
+
+    Counting stops at the limit. A larger frame comes back as it is, for a shuffle join that
+    adaptive execution splits where a key is skewed. Meant for frames of a few numbers.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -28,6 +28,11 @@ def covering_pairs(masks: DataFrame, mask: str, lookup: DataFrame, bits: str) ->
     return full.select(mask, "_row.*")
 
 
-def join_covering(df: DataFrame, mask: str, lookup: DataFrame, bits: str) -> DataFrame:
-    """Inner join on ``lookup.bits & mask = mask``."""
-    return df.join(covering_pairs(df, mask, lookup, bits), mask)
+def join_covering(
+    df: DataFrame, mask: str, lookup: DataFrame, bits: str, domain: DataFrame | None = None
+) -> DataFrame:
+    """Inner join on ``lookup.bits & mask = mask``.
+
+    ``domain`` names a cheaper frame that holds every mask ``df`` can have.
+    """
+    return df.join(covering_pairs(df if domain is None else domain, mask, lookup, bits), mask)

@@ -54,7 +54,7 @@ def with_line_number(df: DataFrame, order: Sequence[Column | str], name: str = "
 
     A range sort spreads the rows; each partition is numbered on its own and shifted by the
     row count of the partitions before it (one small row per partition). The sorted rows
-    are checkpointed so both reads see the same partitions.
+    are written once, so both reads see the same numbers.
     """
     base = cut_lineage(df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id()))
     base = base.withColumn("_part", F.shiftright("_slot", 33)).withColumn(

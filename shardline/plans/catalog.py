@@ -126,6 +126,10 @@ def _described(rows: DataFrame, c: Catalog, seller: Column | None = None, status
     )
 
 
+def _masks(c: Catalog) -> DataFrame:
+    return c.items.select(F.col("relation_type_mask").alias("base_mask"))
+
+
 def _item_columns() -> list[Column]:
     path = "content_item_class_display_path"
     return [
@@ -152,7 +156,7 @@ def publish_report(c: Catalog, day: dt.date) -> DataFrame:
     rows = rows.where((F.col("account_id") != HOUSE_ACCOUNT) & (F.col("item_relation_status") != 0))
     rows = rows.join(saved, "item_id", "left_semi")
     rows = _described(rows, c, F.col("seller_item_status") == 1, F.col("catalog_status") == 2)
-    rows = join_covering(rows, "base_mask", c.relation_types, "bit_value")
+    rows = join_covering(rows, "base_mask", c.relation_types, "bit_value", _masks(c))
     named = rows.join(c.accounts.select("account_id", "account_name"), "account_id")
     lines = named.select(
         blank_if_null(excel_quote("account_name")).alias("account_name"), "item_id", *_item_columns()
@@ -169,7 +173,7 @@ def create_report(c: Catalog, day: dt.date) -> DataFrame:
         & (F.col("item_relation_status") != 0)
         & on_day("created_dtm", day)
     )
-    rows = join_covering(_described(rows, c), "base_mask", c.relation_types, "bit_value")
+    rows = join_covering(_described(rows, c), "base_mask", c.relation_types, "bit_value", _masks(c))
     at = c.item_sites.where("status = 1").select(F.col("item_id").alias("base_of_item"), "site_id")
     rows = rows.join(at, "base_of_item").join(c.sites.select("site_id", "site_name"), "site_id")
     packages = c.vendor_packages.where("status = 1").select("item_id", "store_id", "order_duns_number")
@@ -250,7 +254,7 @@ def house_publish_report(c: Catalog, day: dt.date) -> DataFrame:
     )
     rows = _described(rows, c, F.col("seller_item_status") == 1, F.col("catalog_status") == 2)
     rows = rows.join(enriched, "content_item_id").join(tree, "shc_hierarchy_id")
-    rows = join_covering(rows, "base_mask", c.relation_types, "bit_value")
+    rows = join_covering(rows, "base_mask", c.relation_types, "bit_value", _masks(c))
     path = "store_hierarchy_display_path"
     return rows.select(
         F.lit(HOUSE_NAME).alias("account_name"),

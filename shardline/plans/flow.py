@@ -1,10 +1,9 @@
 """Network-flow reports over period facts.
 
 Facts carry ``grain`` ('raw' or a rollup name), ``period_id`` and ``datetime`` (period
-start); written partitioned by grain and month, the range filter prunes files. Facts are
-summed per (period, device, class) before any bridge join, so a hot device or class is
-combined on the map side and the joins see the reduced rows only. All measures are sums or
-maxima, so the early sum leaves the results as they are.
+start); written partitioned by grain and month, the range filter prunes files. The bridge
+tables are joined among themselves first, so the facts meet one narrow bridge, broadcast
+only after a check of its size. What follows are sums and maxima, combined on the map side.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from shardline.functions.predicates import flow_fields, leaf, period, within
 from shardline.functions.scalars import ipv4_to_binary, ipv4_to_text, mean_delay, ratio
 from shardline.operators.aggregates import bit_rate, efficiency
 from shardline.operators.hierarchy import children_of
+from shardline.operators.joins import sized
 from shardline.operators.ordered import top
 
 RTM_FLOW = 4
@@ -97,12 +97,11 @@ def device_class_timeseries(
     known = classes.where(F.col("class_id") == class_id)
     if is_group:
         owners = group_devices.where(F.col("group_id") == device_id).select("device_id")
-        rows = _reduced(chosen, "datetime", "class_id", "device_id").join(owners, "device_id")
+        rows = chosen.join(sized(owners), "device_id")
     else:
         owners = devices.where(F.col("device_id") == device_id).select("device_id")
-        rows = _reduced(chosen.where(F.col("device_id") == device_id), "datetime", "class_id", "device_id")
-        rows = rows.join(owners, "device_id", "left_semi")
-    rows = rows.join(known, "class_id", "left_semi")
+        rows = chosen.where(F.col("device_id") == device_id).join(sized(owners), "device_id", "left_semi")
+    rows = rows.join(sized(known.select("class_id")), "class_id", "left_semi")
     return (
         rows.groupBy(F.col("datetime").alias("start_time"))
         .agg(
@@ -115,13 +114,16 @@ def device_class_timeseries(
 
 def _by_site(facts: DataFrame, dims: Bridges, group_id: int, start, end, grain: str) -> DataFrame:
     """Measures per (datetime, site) over leaf classes, of one device group (0: all)."""
-    rows = _reduced(in_periods(facts, start, end, grain), "datetime", "device_id", "class_id")
-    rows = rows.join(dims.classes.where(leaf()).select("class_id"), "class_id")
+    bridge = dims.site_classes.select("class_id", "site_id").join(
+        dims.classes.where(leaf()).select("class_id"), "class_id"
+    )
+    keys = ["class_id"]
     if group_id > 0:
-        rows = rows.join(dims.dev_classes.select("class_id", "device_id"), ["class_id", "device_id"])
-        rows = rows.join(dims.group_devices.where(F.col("group_id") == group_id).select("device_id"), "device_id")
-    rows = rows.join(dims.site_classes.select("class_id", "site_id"), "class_id")
-    return _reduced(rows.drop("fact_rows"), "datetime", "site_id")
+        members = dims.group_devices.where(F.col("group_id") == group_id).select("device_id")
+        bridge = dims.dev_classes.select("class_id", "device_id").join(members, "device_id").join(bridge, "class_id")
+        keys = ["class_id", "device_id"]
+    rows = in_periods(facts, start, end, grain).join(sized(bridge), keys)
+    return _reduced(rows, "datetime", "site_id")
 
 
 def _across_periods(rows: DataFrame, key: str, extra: Sequence[Column], weighted: bool) -> DataFrame:
@@ -231,16 +233,13 @@ def with_partition_use(
 ) -> DataFrame:
     """Add part_size and part_bytes of the partition whose path is the class path.
 
-    Partition facts are summed per (period, device, path) first. ``repeat_rows`` gives the
+    ``partitions`` should hold the wanted paths only. Partition facts are summed per (period, device, path) first. ``repeat_rows`` gives the
     sums of the plain join instead, where each side repeats once per row of the other.
     """
-    paths = partitions.select("part_id", "path")
     use = (
-        part_facts.groupBy("datetime", "device_id", "part_id")
-        .agg(F.sum("part_size_bps").alias("_size"), F.sum("bytes").alias("_use"), F.count("*").alias("_n"))
-        .join(paths, "part_id")
+        part_facts.join(sized(partitions.select("part_id", "path")), "part_id")
         .groupBy("datetime", "device_id", "path")
-        .agg(F.sum("_size").alias("part_size"), F.sum("_use").alias("part_bytes"), F.sum("_n").alias("_parts"))
+        .agg(F.sum("part_size_bps").alias("part_size"), F.sum("bytes").alias("part_bytes"), F.count("*").alias("_parts"))
     )
     joined = rows.join(use, ["datetime", "device_id", "path"], "left")
     if repeat_rows:
@@ -274,9 +273,10 @@ def top_n_child_classes(
     """Top n immediate child classes of a class path, with partition size and use."""
     children = children_of(dims.classes, parent_path).select("class_id", "name", "path")
     group = dims.group_devices.where(F.col("group_id") == group_id).select("device_id")
-    rows = _reduced(in_periods(facts, start, end, grain), "datetime", "device_id", "class_id")
-    rows = rows.join(children.select("class_id", "path"), "class_id").join(group, "device_id")
-    used = with_partition_use(rows, in_periods(part_facts, start, end, grain), partitions, repeat_partitions)
+    rows = in_periods(facts, start, end, grain).join(sized(children.select("class_id", "path")), "class_id")
+    rows = _reduced(rows.join(sized(group), "device_id"), "datetime", "device_id", "class_id", "path")
+    wanted = partitions.join(children.select("path").distinct(), "path", "left_semi")
+    used = with_partition_use(rows, in_periods(part_facts, start, end, grain), wanted, repeat_partitions)
     per = used.groupBy("datetime", "class_id").agg(
         *[F.sum(c).alias(c) for c in SUMS],
         F.max("peak_bps").alias("peak_bps"),
@@ -330,7 +330,7 @@ def top_n_flow_details(
 
     ``owner_classes`` is (site_id, class_id), (application_id, class_id) or (class_id), as
     the chosen filter needs. Flow, response-time and server-time figures come out of one
-    conditional aggregation.
+    conditional aggregation. A bridge that matches a row several times counts it so often.
     """
     field, peer = flow_fields(flow_type, measure, netflow=netflow, application_id=application_id, class_id=class_id)
     rows = in_periods(flows, start, end, grain)
@@ -343,26 +343,29 @@ def top_n_flow_details(
     entity = ipv4_to_text(peer) if binary_ip else F.col(peer)
     rtm, pet = F.col("ftype_num") == RTM_FLOW, F.col("ftype_num") == PET_FLOW
     figures = {
-        "bytes": F.sum("bytes"),
-        "pkts": F.sum("pkts"),
-        "flows": F.sum("flow_num"),
-        "retrans": F.lit(0) if netflow else F.sum("retrans_bytes"),
-        "rtm_total": F.sum(F.when(rtm, F.col("measure_1"))),
-        "rtm_server": F.sum(F.when(rtm, F.col("measure_2"))),
-        "rtm_trans": F.sum(F.when(rtm, F.col("measure_3"))),
-        "pet_server": F.sum(F.when(pet, F.col("measure_2"))),
-        "pet_client": F.sum(F.when(pet, F.col("measure_3"))),
+        "bytes": F.col("bytes"),
+        "pkts": F.col("pkts"),
+        "flows": F.col("flow_num"),
+        "retrans": F.lit(0) if netflow else F.col("retrans_bytes"),
+        "rtm_total": F.when(rtm, F.col("measure_1")),
+        "rtm_server": F.when(rtm, F.col("measure_2")),
+        "rtm_trans": F.when(rtm, F.col("measure_3")),
+        "pet_server": F.when(pet, F.col("measure_2")),
+        "pet_client": F.when(pet, F.col("measure_3")),
     }
-    keys = [entity.alias("entity"), F.col("device_id"), F.col("ud_class_id")]
-    rows = rows.where(F.col(field) == wanted).groupBy(*keys).agg(*[c.alias(n) for n, c in figures.items()])
+    rows = rows.where(F.col(field) == wanted)
+    times = F.lit(1)
     if group_id > 0:
-        rows = rows.join(group_devices.where(F.col("group_id") == group_id).select("device_id"), "device_id")
-    if not netflow:
-        owner = _owner_filter(owner_classes, site_id, application_id, class_id)
-        if owner is not None:
-            bridge = dev_classes.select("device_id", "ud_class_id", "class_id").join(owner, "class_id")
-            rows = rows.join(bridge, ["device_id", "ud_class_id"])
-    sums = rows.groupBy("entity").agg(*[F.sum(n).alias(n) for n in figures])
+        members = group_devices.where(F.col("group_id") == group_id)
+        rows = rows.join(sized(members.groupBy("device_id").agg(F.count("*").alias("_members"))), "device_id")
+        times = times * F.col("_members")
+    owner = None if netflow else _owner_filter(owner_classes, site_id, application_id, class_id)
+    if owner is not None:
+        bridge = dev_classes.select("device_id", "ud_class_id", "class_id").join(owner, "class_id")
+        keys = ["device_id", "ud_class_id"]
+        rows = rows.join(sized(bridge.groupBy(*keys).agg(F.count("*").alias("_owners"))), keys)
+        times = times * F.col("_owners")
+    sums = rows.groupBy(entity.alias("entity")).agg(*[F.sum(c * times).alias(n) for n, c in figures.items()])
     best = top(sums, measure, limit, "entity")
     zero = F.lit(0)
     extra = {n: zero.cast("long") if netflow else F.coalesce(n, zero) for n in list(figures)[4:]}

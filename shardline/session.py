@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,7 +46,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
-def cut_lineage(df):
-    """Reliable checkpoint: survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write the rows once to the shared folder and go on from there.
+
+    Unlike an eager checkpoint this computes the rows once, and later reads take only the
+    columns they need. Survives the loss of executors.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

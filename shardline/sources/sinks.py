@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shardline.session import shared_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from shardline.session import cut_lineage, scratch_path
 
 
 def write_report(df: DataFrame, path: str) -> None:
@@ -34,8 +27,8 @@ def month_of(ts: str):
 
 
 def archive_months(df: DataFrame, ts: str, path: str) -> None:
-    """Write month partitions; rows of a month are spread over files before the write."""
-    df.withColumn("yyyymm", month_of(ts)).write.partitionBy("yyyymm").parquet(path)
+    """Write month partitions; the rebalance joins small months and splits big ones."""
+    df.withColumn("yyyymm", month_of(ts)).hint("rebalance", "yyyymm").write.partitionBy("yyyymm").parquet(path)
 
 
 def count_check(source: DataFrame, copied: DataFrame, key: str) -> DataFrame:
@@ -52,9 +45,7 @@ def count_check(source: DataFrame, copied: DataFrame, key: str) -> DataFrame:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result once and read it back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut_lineage(df, name)
 
 
 def distribute(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
@@ -70,7 +61,8 @@ def write_bucketed(df: DataFrame, table: str, buckets: int, *keys: str) -> None:
 def promote(df: DataFrame, path: str, partition: str) -> None:
     """Write a staged frame to its final place, replacing only the partitions it holds."""
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", partition)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
         .parquet(path)
