@@ -36,10 +36,13 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        if f"x_{name}" in SHAPES:
-            return self.sql(SHAPES[f"x_{name}"])
-        raise AttributeError(name)
+            frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        elif f"x_{name}" in SHAPES:
+            frame = self.sql(SHAPES[f"x_{name}"])
+        else:
+            raise AttributeError(name)
+        setattr(self, name, frame)
+        return frame
 
     def sql(self, text: str) -> DataFrame:
         text = PERIOD.sub(r"CAST(DATE_TRUNC('\1', \2) AS TIMESTAMP_NTZ)", text)

@@ -120,7 +120,13 @@ def with_first_before(
             for c in columns
         ],
     )
-    joined = placed.join(firsts, F.col(group) == F.col("_group"), "left")
+    # rows without group match nothing; their own salt keeps them from meeting in one task
+    apart = F.when(F.col(group).isNull(), F.pmod(F.xxhash64("_at"), F.lit(4096)) + 1).otherwise(F.lit(0))
+    placed = placed.withColumn("_apart", apart.cast("long"))
+    firsts = firsts.withColumn("_together", F.lit(0).cast("long"))
+    joined = placed.join(
+        firsts, (F.col(group) == F.col("_group")) & (F.col("_apart") == F.col("_together")), "left"
+    )
     carried = {new: F.when(F.col("_at") > F.col(f"_f_{c}")["at"], F.col(f"_f_{c}")["v"]) for c, new in columns.items()}
     return joined.withColumns({**carried, first_flag: F.coalesce(F.col("_at") == F.col("_start"), F.lit(False))}).select(
         *df.columns, *columns.values(), first_flag

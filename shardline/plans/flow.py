@@ -2,8 +2,9 @@
 
 Facts carry ``grain`` ('raw' or a rollup name), ``period_id`` and ``datetime`` (period
 start); written partitioned by grain and month, the range filter prunes files. The bridge
-tables are joined among themselves first, so the facts meet one narrow bridge, broadcast
-only after a check of its size. What follows are sums and maxima, combined on the map side.
+tables are joined among themselves first and written once, so Spark knows the bridge's size
+when it chooses between a broadcast and a shuffle join with the facts. What follows are sums
+and maxima, combined on the map side.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from shardline.functions.predicates import flow_fields, leaf, period, within
 from shardline.functions.scalars import ipv4_to_binary, ipv4_to_text, mean_delay, ratio
 from shardline.operators.aggregates import bit_rate, efficiency
 from shardline.operators.hierarchy import children_of
-from shardline.operators.joins import sized
 from shardline.operators.ordered import top
+from shardline.session import cut_lineage
 
 RTM_FLOW = 4
 PET_FLOW = 5
@@ -97,11 +98,11 @@ def device_class_timeseries(
     known = classes.where(F.col("class_id") == class_id)
     if is_group:
         owners = group_devices.where(F.col("group_id") == device_id).select("device_id")
-        rows = chosen.join(sized(owners), "device_id")
+        rows = chosen.join(owners, "device_id")
     else:
         owners = devices.where(F.col("device_id") == device_id).select("device_id")
-        rows = chosen.where(F.col("device_id") == device_id).join(sized(owners), "device_id", "left_semi")
-    rows = rows.join(sized(known.select("class_id")), "class_id", "left_semi")
+        rows = chosen.where(F.col("device_id") == device_id).join(owners, "device_id", "left_semi")
+    rows = rows.join(known.select("class_id"), "class_id", "left_semi")
     return (
         rows.groupBy(F.col("datetime").alias("start_time"))
         .agg(
@@ -122,7 +123,7 @@ def _by_site(facts: DataFrame, dims: Bridges, group_id: int, start, end, grain:
         members = dims.group_devices.where(F.col("group_id") == group_id).select("device_id")
         bridge = dims.dev_classes.select("class_id", "device_id").join(members, "device_id").join(bridge, "class_id")
         keys = ["class_id", "device_id"]
-    rows = in_periods(facts, start, end, grain).join(sized(bridge), keys)
+    rows = in_periods(facts, start, end, grain).join(cut_lineage(bridge, "bridge"), keys)
     return _reduced(rows, "datetime", "site_id")
 
 
@@ -237,7 +238,7 @@ def with_partition_use(
     sums of the plain join instead, where each side repeats once per row of the other.
     """
     use = (
-        part_facts.join(sized(partitions.select("part_id", "path")), "part_id")
+        part_facts.join(partitions.select("part_id", "path"), "part_id")
         .groupBy("datetime", "device_id", "path")
         .agg(F.sum("part_size_bps").alias("part_size"), F.sum("bytes").alias("part_bytes"), F.count("*").alias("_parts"))
     )
@@ -273,8 +274,8 @@ def top_n_child_classes(
     """Top n immediate child classes of a class path, with partition size and use."""
     children = children_of(dims.classes, parent_path).select("class_id", "name", "path")
     group = dims.group_devices.where(F.col("group_id") == group_id).select("device_id")
-    rows = in_periods(facts, start, end, grain).join(sized(children.select("class_id", "path")), "class_id")
-    rows = _reduced(rows.join(sized(group), "device_id"), "datetime", "device_id", "class_id", "path")
+    rows = in_periods(facts, start, end, grain).join(children.select("class_id", "path"), "class_id")
+    rows = _reduced(rows.join(group, "device_id"), "datetime", "device_id", "class_id", "path")
     wanted = partitions.join(children.select("path").distinct(), "path", "left_semi")
     used = with_partition_use(rows, in_periods(part_facts, start, end, grain), wanted, repeat_partitions)
     per = used.groupBy("datetime", "class_id").agg(
@@ -357,13 +358,15 @@ def top_n_flow_details(
     times = F.lit(1)
     if group_id > 0:
         members = group_devices.where(F.col("group_id") == group_id)
-        rows = rows.join(sized(members.groupBy("device_id").agg(F.count("*").alias("_members"))), "device_id")
+        counted = members.groupBy("device_id").agg(F.count("*").alias("_members"))
+        rows = rows.join(counted, "device_id")
         times = times * F.col("_members")
     owner = None if netflow else _owner_filter(owner_classes, site_id, application_id, class_id)
     if owner is not None:
         bridge = dev_classes.select("device_id", "ud_class_id", "class_id").join(owner, "class_id")
         keys = ["device_id", "ud_class_id"]
-        rows = rows.join(sized(bridge.groupBy(*keys).agg(F.count("*").alias("_owners"))), keys)
+        counted = bridge.groupBy(*keys).agg(F.count("*").alias("_owners"))
+        rows = rows.join(cut_lineage(counted, "bridge"), keys)
         times = times * F.col("_owners")
     sums = rows.groupBy(entity.alias("entity")).agg(*[F.sum(c * times).alias(n) for n, c in figures.items()])
     best = top(sums, measure, limit, "entity")

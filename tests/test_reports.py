@@ -1,0 +1,106 @@
+import datetime as dt
+import random
+
+import pytest
+
+from shardline.plans import flow
+
+P1, P2 = dt.datetime(2008, 6, 15, 10), dt.datetime(2008, 6, 15, 11)
+LAYOUT = (
+    "grain string, period_id long, datetime timestamp_ntz, device_id long, class_id long, bytes long, pkts long, "
+    "tcp_retx_bytes long, sample_interval_secs long, peak_bps long, guar_rate_fails long"
+)
+
+
+@pytest.fixture(scope="module")
+def dims(spark):
+    return flow.Bridges(
+        classes=spark.createDataFrame(
+            [(1, None, "in", "/In", 1, 8), (2, 1, "web", "/In/Web", 2, 3), (3, 1, "mail", "/In/Mail", 4, 5)],
+            "class_id long, parent_id long, name string, path string, l_idx long, r_idx long",
+        ),
+        group_devices=spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "group_id int, device_id long"),
+        dev_classes=spark.createDataFrame(
+            [(d, c, c) for d in (10, 11, 12) for c in (1, 2, 3)], "device_id long, class_id long, ud_class_id long"
+        ),
+        site_classes=spark.createDataFrame([(7, 2), (8, 3), (9, 3), (9, 1)], "site_id int, class_id long"),
+        sites=spark.createDataFrame([(7, "  Web"), (8, "Mail")], "site_id int, name string"),
+    )
+
+
+def facts(spark, rows):
+    full = [("hour", 1, t, d, c, b, 1, b // 10, 60, b * 2, 0) for t, d, c, b in rows]
+    return spark.createDataFrame(full, LAYOUT)
+
+
+def run(spark, dims, rows, **options):
+    settings = dict(group_id=1, measure="bytes", start=P1, end=P2 + dt.timedelta(hours=1), n=5, grain="hour") | options
+    return flow.top_n_sites(facts(spark, rows), dims, **settings).collect()
+
+
+def test_total_counts_unnamed_sites_and_other_sites_than_the_top(spark, dims):
+    rows = [(P1, 10, 2, 600), (P2, 11, 2, 200), (P1, 10, 3, 100), (P1, 12, 3, 999), (P1, 10, 1, 5000)]
+    got = run(spark, dims, rows, n=1)
+    assert len(got) == 1
+    # sites 8 and 9 share class 3; class 1 is no leaf and device 12 is in another group
+    assert (got[0]["total"], got[0]["site_id"], got[0]["site_name"], got[0]["bytes"]) == (1000, 7, "Web", 800)
+    assert float(got[0]["avg_rate"]) == round((8 * 600 / 60 + 8 * 200 / 60) / 2, 2)
+    assert got[0]["peak_rate"] == 1200
+    everyone = run(spark, dims, rows, group_id=0)
+    assert {r["site_id"]: r["bytes"] for r in everyone} == {7: 800, 8: 1099}
+
+
+def test_equal_periods_merge_only_on_request(spark, dims):
+    rows = [(P1, 10, 2, 600), (P2, 10, 2, 600)]
+    assert [(r["total"], r["bytes"]) for r in run(spark, dims, rows)] == [(1200, 1200)]
+    assert [(r["total"], r["bytes"]) for r in run(spark, dims, rows, distinct_periods=True)] == [(600, 600)]
+
+
+def test_sites_without_traffic_are_left_out(spark, dims):
+    assert run(spark, dims, [(P1, 10, 2, 0)]) == []
+
+
+def test_end_before_start(spark, dims):
+    with pytest.raises(ValueError):
+        run(spark, dims, [(P1, 10, 2, 1)], end=P1 - dt.timedelta(hours=1))
+
+
+def test_timeseries_order(spark, dims):
+    rows = [(P2, 10, 2, 60), (P1, 10, 2, 60), (P1, 10, 3, 600)]
+    got = flow.top_n_sites_timeseries(
+        facts(spark, rows), dims, group_id=1, measure="bytes", start=P1, end=P2 + dt.timedelta(hours=1), n=5, grain="hour"
+    ).collect()
+    assert [(r["ord_num"], r["site_id"], r["start_time"], float(r["avg_rate"])) for r in got] == [
+        (1, 8, P1, 80.0),
+        (2, 7, P1, 8.0),
+        (2, 7, P2, 8.0),
+    ]
+
+
+def test_flow_details_of_binary_addresses(spark):
+    rng = random.Random(2)
+    layout = (
+        "grain string, period_id long, datetime timestamp_ntz, device_id long, ud_class_id long, src_ip binary, dst_ip binary, "
+        "vlan_id int, tos int, service_id int, ftype_num int, bytes long, pkts long, flow_num long, retrans_bytes long, "
+        "measure_1 long, measure_2 long, measure_3 long"
+    )
+    rows = [
+        ("raw", 0, P1, 1, 1, bytearray([10, 0, 0, rng.randrange(2)]), bytearray([10, 0, 1, rng.randrange(3)]), 1, 0, 0,
+         rng.choice([1, 4, 5]), 100, 1, 1, 1, 8, 6, 2)
+        for _ in range(200)
+    ]
+    got = flow.top_n_flow_details(
+        spark.createDataFrame(rows, layout), flow_type="talker", measure="bytes", value="10.0.0.1",
+        start=P1, end=P2, grain="raw", binary_ip=True,
+    ).collect()
+    mine = [r for r in rows if r[5][3] == 1]
+    assert sum(r["flows"] for r in got) == len(mine)
+    by_peer = {r["entity"]: r for r in got}
+    for last in range(3):
+        peer = [r for r in mine if r[6][3] == last]
+        line = by_peer[f"10.0.1.{last}"]
+        assert line["bytes"] == 100 * len(peer)
+        assert line["total_rtm_trans"] == sum(2 for r in peer if r[10] == 4)
+        assert line["pet_server"] == sum(6 for r in peer if r[10] == 5)
+        assert float(line["avg_total_delay"]) == (4.0 if any(r[10] == 4 for r in peer) else 0.0)
+        assert float(line["efficiency_pct"]) == 99.0
