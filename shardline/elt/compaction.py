@@ -19,7 +19,7 @@ def mark_repeats(
     spans: int = SPANS,
 ) -> DataFrame:
     """Log rows with ``is_repeated``: same tracked values as the row before, by (dtm, log key)."""
-    tracked = list(columns) if columns else tracked_columns(log.columns, [master_key, log_key])
+    tracked = list(columns) if columns else tracked_columns(log.columns, [master_key, log_key, dtm])
     printed = log.withColumn("_print", row_fingerprint(tracked))
     looked = with_previous(printed, [master_key], [dtm, log_key], {"_print": "_before"}, spans)
     repeated = F.col("_has_previous") & F.col("_print").eqNullSafe(F.col("_before"))

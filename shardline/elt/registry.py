@@ -46,6 +46,7 @@ def register_sources(columns: DataFrame, shards: DataFrame, host: str, name_filt
         .otherwise(NO_BLOCKS if host == "db1" else MASTER_BLOCK)
     )
     active = shards.where((F.col("host_alias") == host) & (F.col("status") == 1))
+    listed = active.agg(F.collect_list(F.struct("shard_profile_id", "shard_number")).alias("a")).scalar()
     described = tables.select(
         F.col("table_schema").alias("src_schema_name"),
         F.col("table_name").alias("src_table_name"),
@@ -59,7 +60,9 @@ def register_sources(columns: DataFrame, shards: DataFrame, host: str, name_filt
         block.alias("proc_block_size"),
         F.lit(host).alias("host_alias"),
     )
-    return described.join(active.select("host_alias", "shard_profile_id", "shard_number"), "host_alias")
+    return described.withColumn("_shards", listed).select(
+        *described.columns, F.inline("_shards").alias("shard_profile_id", "shard_number")
+    )
 
 
 def validate_sources(sources: DataFrame, columns: DataFrame, host: str) -> DataFrame:
