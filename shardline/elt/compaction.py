@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from shardline.functions.scalars import row_fingerprint, tracked_columns
+from shardline.functions.scalars import tracked_columns
 from shardline.operators.ordered import SPANS, with_previous
 
 
@@ -20,10 +20,10 @@ def mark_repeats(
 ) -> DataFrame:
     """Log rows with ``is_repeated``: same tracked values as the row before, by (dtm, log key)."""
     tracked = list(columns) if columns else tracked_columns(log.columns, [master_key, log_key, dtm])
-    printed = log.withColumn("_print", row_fingerprint(tracked))
-    looked = with_previous(printed, [master_key], [dtm, log_key], {"_print": "_before"}, spans)
-    repeated = F.col("_has_previous") & F.col("_print").eqNullSafe(F.col("_before"))
-    return looked.withColumn("is_repeated", repeated).drop("_print", "_before", "_has_previous")
+    valued = log.withColumn("_now", F.struct(*tracked))
+    looked = with_previous(valued, [master_key], [dtm, log_key], {"_now": "_before"}, spans)
+    repeated = F.col("_has_previous") & F.col("_now").eqNullSafe(F.col("_before"))
+    return looked.withColumn("is_repeated", repeated).drop("_now", "_before", "_has_previous")
 
 
 def compact_log(log: DataFrame, master_key: str, log_key: str, dtm: str, columns=None, spans: int = SPANS) -> DataFrame:
