@@ -1,58 +1,74 @@
-"""Incremental forms: delta files applied to a versioned stage, and windowed rollups."""
+"""Incremental forms: delta files merged into a stage, and windowed rates.
+
+A batch only writes its own rows (``changes/batch=N``), so its cost follows the delta, not
+the stage. Reading puts the changes over the newest base; ``fold`` writes a new base
+(``base/upto=N``) now and then. Writing batch N again replaces it, so a replay is harmless.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from shardline.elt.load import append_new, upsert
+from shardline.operators.ordered import latest
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions below a stage path, oldest first."""
+def _finished(spark: SparkSession, folder: str, label: str) -> list[int]:
+    """Numbers of the completely written ``label=N`` folders, in order."""
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
+    root = jvm.org.apache.hadoop.fs.Path(folder)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(root):
         return []
-    found = []
-    for status in files.listStatus(root):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v=") and files.exists(done):
-            found.append(int(name[2:]))
-    return sorted(found)
-
-
-def read_stage(spark: SparkSession, path: str) -> DataFrame | None:
-    known = versions(spark, path)
-    return spark.read.parquet(f"{path}/v={known[-1]}") if known else None
-
-
-def apply_batch(
-    path: str, keys: Sequence[str], order: Callable[[], Sequence[Column]], ignore_known: bool = False
-) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: old version + batch -> new version; a replayed batch is skipped."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id + 1 in versions(spark, path):
-            return
-        stage = read_stage(spark, path)
-        stage = batch.limit(0) if stage is None else stage
-        merge = append_new if ignore_known else upsert
-        merge(stage, batch, keys, order()).write.mode("overwrite").parquet(f"{path}/v={batch_id + 1}")
+    names = [status.getPath().getName() for status in files.listStatus(root)]
+    done = [n for n in names if files.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in done if n.startswith(f"{label}="))
+
+
+def write_batch(path: str, keys: Sequence[str], order: Callable[[], Sequence[Column]]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: one row per key of the batch, written beside the others."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        latest(batch, keys, order()).write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
 
     return run
 
 
+def read_stage(
+    spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], ignore_known: bool = False
+) -> DataFrame:
+    """The stage as of the last batch: later batches win, or earlier ones with ``ignore_known``."""
+    bases = _finished(spark, f"{path}/base", "upto")
+    upto = bases[-1] if bases else -1
+    base = spark.read.schema(schema).parquet(f"{path}/base/upto={upto}") if bases else spark.createDataFrame([], schema)
+    batches = [n for n in _finished(spark, f"{path}/changes", "batch") if n > upto]
+    if not batches:
+        return base
+    layout = StructType([*schema.fields, StructField("batch", IntegerType())])
+    paths = [f"{path}/changes/batch={n}" for n in batches]
+    changes = spark.read.schema(layout).option("basePath", f"{path}/changes").parquet(*paths)
+    merge = append_new if ignore_known else upsert
+    return merge(base, changes, keys, [F.col("batch").asc() if ignore_known else F.col("batch").desc()])
+
+
+def fold(
+    spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], ignore_known: bool = False
+) -> None:
+    """Write the stage as a new base; the old base and the folded batches are no longer read."""
+    batches = _finished(spark, f"{path}/changes", "batch")
+    if batches and batches[-1] not in _finished(spark, f"{path}/base", "upto"):
+        stage = read_stage(spark, path, schema, keys, ignore_known)
+        stage.write.mode("overwrite").parquet(f"{path}/base/upto={batches[-1]}")
+
+
 def merge_files(
     spark: SparkSession,
     source: str,
     schema: StructType,
-    stage: str,
+    path: str,
     progress: str,
     keys: Sequence[str],
     order: Callable[[], Sequence[Column]],
@@ -65,13 +81,13 @@ def merge_files(
         reader = reader.option("pathGlobFilter", file_filter)
     query = (
         reader.parquet(source)
-        .writeStream.foreachBatch(apply_batch(stage, keys, order, ignore_known))
+        .writeStream.foreachBatch(write_batch(path, keys, order))
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return read_stage(spark, stage)
+    return read_stage(spark, path, schema, keys, ignore_known)
 
 
 def rate_windows(events: DataFrame, ts: str, size: str, late: str, keys: Sequence[str], measure: str) -> DataFrame:

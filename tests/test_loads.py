@@ -207,22 +207,46 @@ def test_bucketed_tables_join_without_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
 
 
-def test_stream_takes_new_files_once(spark, tmp_path):
+@pytest.mark.parametrize("ignore_known", [False, True])
+def test_stream_takes_new_files_once(spark, tmp_path, ignore_known):
     source, stage, progress = (str(tmp_path / n) for n in ("in", "stage", "progress"))
     layout = "k int, v string, t int"
+    schema = spark.createDataFrame([], layout).schema
 
     def newest():
         return [F.col("t").desc()]
 
+    def rows(df):
+        return sorted(map(tuple, df.collect()))
+
     def take():
-        schema = spark.createDataFrame([], layout).schema
-        merged = delta.merge_files(spark, source, schema, stage, progress, ["k"], newest)
-        return sorted(map(tuple, merged.collect()))
+        return rows(delta.merge_files(spark, source, schema, stage, progress, ["k"], newest, ignore_known))
 
-    spark.createDataFrame([(1, "a", 1), (2, "b", 1)], layout).write.parquet(source)
+    spark.createDataFrame([(1, "a", 1), (2, "b", 1), (2, "old", 0)], layout).write.parquet(source)
     assert take() == [(1, "a", 1), (2, "b", 1)]
     spark.createDataFrame([(2, "c", 2), (3, "d", 2)], layout).write.mode("append").parquet(source)
-    assert take() == [(1, "a", 1), (2, "c", 2), (3, "d", 2)]
-    assert delta.versions(spark, stage) == [1, 2]
-    delta.apply_batch(stage, ["k"], newest)(spark.createDataFrame([(9, "z", 9)], layout), 1)
-    assert take() == [(1, "a", 1), (2, "c", 2), (3, "d", 2)]
+    merged = [(1, "a", 1), (2, "b", 1) if ignore_known else (2, "c", 2), (3, "d", 2)]
+    assert take() == merged
+    # a replayed batch replaces itself
+    again = spark.createDataFrame([(2, "c", 2), (3, "d", 2)], layout)
+    delta.write_batch(stage, ["k"], newest)(again, 1)
+    assert take() == merged
+    delta.fold(spark, stage, schema, ["k"], ignore_known)
+    assert take() == merged
+    spark.createDataFrame([(3, "e", 3), (4, "f", 3)], layout).write.mode("append").parquet(source)
+    assert take() == merged[:2] + [(3, "d", 2) if ignore_known else (3, "e", 3), (4, "f", 3)]
+
+
+def test_rate_windows_on_a_stream(spark, tmp_path):
+    rows = [(dt.datetime(2024, 1, 1, 0, m), "a", m) for m in (1, 14, 15, 40)]
+    events = spark.createDataFrame(rows, "ts timestamp, kind string, n int")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    windows = delta.rate_windows(stream, "ts", "15 minutes", "1 hour", ["kind"], "n")
+    query = (
+        windows.writeStream.outputMode("complete").format("memory").queryName("rates")
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = {(r["start_time"].minute, r["events"], r["total"]) for r in spark.table("rates").collect()}
+    assert got == {(0, 2, 15), (15, 1, 15), (30, 1, 40)}
