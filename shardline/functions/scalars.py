@@ -110,9 +110,8 @@ def ipv4_to_binary(c: Column | str) -> Column:
     """Dotted text to four bytes; NULL when the text is no IPv4 address."""
     text = _col(c)
     octet = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    parts = F.split(text, r"\.")
-    digits = [F.lpad(F.hex(F.try_element_at(parts, F.lit(i)).try_cast("bigint")), 2, "0") for i in (1, 2, 3, 4)]
-    return F.when(text.rlike(rf"^{octet}(\.{octet}){{3}}$"), F.unhex(F.concat(*digits)))
+    digits = F.transform(F.split(text, r"\."), lambda part: F.lpad(F.hex(part.cast("bigint")), 2, "0"))
+    return F.when(text.rlike(rf"^{octet}(\.{octet}){{3}}$"), F.unhex(F.array_join(digits, "")))
 
 
 def ipv4_to_text(c: Column | str) -> Column:

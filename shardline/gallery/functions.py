@@ -126,8 +126,8 @@ def _(t):
               src_ip AS back, COUNT(*) AS n FROM x_flows GROUP BY src_ip""",
 )
 def _(t):
-    packed = S.ipv4_to_binary("src_ip")
-    rows = t.flows.select("src_ip", F.hex(packed).alias("code"), S.ipv4_to_text(packed).alias("back"))
+    packed = t.flows.select("src_ip", S.ipv4_to_binary("src_ip").alias("b"))
+    rows = packed.select("src_ip", F.hex("b").alias("code"), S.ipv4_to_text("b").alias("back"))
     return rows.groupBy("src_ip", "code", "back").agg(F.count("*").alias("n"))
 
 

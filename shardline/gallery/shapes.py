@@ -161,7 +161,9 @@ SELECT p_partkey AS store_hierarchy_id, p_name AS store_hierarchy_name, p_size %
 FROM {part}
 """
 
-# ---- catalog: orders as items (five to a relation), parts as content, line items as log ----
+# ---- catalog: orders as items, parts as content, line items as log ----
+# Five consecutive orders make a relation whose first order is the dummy parent; in every
+# third run of five the orders are single items, outside any relation.
 SHAPES["x_item"] = """
 SELECT o_orderkey AS item_id, o_custkey % 10 AS account_id, 1 AS account_type,
        CASE WHEN o_orderstatus <> 'P' THEN 3 ELSE 1 END AS fulfillment_type,

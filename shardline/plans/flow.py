@@ -154,12 +154,10 @@ def _merge_equal_periods(rows: DataFrame) -> DataFrame:
     return rows.drop("datetime", "fact_rows").distinct()
 
 
-def _top_with_total(rolled: DataFrame, names: DataFrame, key: str, measure: str, n: int, only_positive: bool):
-    """Top n named lines with the total beside each; the total line rides along as line n+1."""
+def _top_with_total(rolled: DataFrame, key: str, measure: str, n: int) -> DataFrame:
+    """Top n lines with the total beside each; the total line rides along as line n+1."""
     is_total = F.col("_total") == 1
-    kept = rolled.where(is_total | (F.col(measure) > 0)) if only_positive else rolled
-    named = kept.join(names, key, "left").where(is_total | F.col("_named"))
-    few = named.orderBy(F.col("_total").desc(), F.col(measure).desc(), key).limit(n + 1)
+    few = rolled.orderBy(F.col("_total").desc(), F.col(measure).desc(), key).limit(n + 1)
     total = F.max(F.when(is_total, F.col(measure))).over(Window.partitionBy())  # n + 1 rows at most
     return few.withColumn("total", F.coalesce(total, F.lit(0))).where("_total = 0")
 
@@ -192,7 +190,9 @@ def top_n_sites(
         whole = totals.agg(F.sum("_b").alias(measure), F.lit(1).alias("_total"))
         merged = _across_periods(_merge_equal_periods(rows), "site_id", fails, weighted)
         rolled = merged.where("_total = 0").unionByName(whole, allowMissingColumns=True)
-    return _top_with_total(rolled, names, "site_id", measure, n, True).select(
+    is_total = F.col("_total") == 1
+    named = rolled.where(is_total | (F.col(measure) > 0)).join(names, "site_id", "left")
+    return _top_with_total(named.where(is_total | F.col("_named")), "site_id", measure, n).select(
         "total", "site_id", "site_name", "bytes", "pkts", "efficiency_level", "avg_rate", "peak_rate", "guar_rate_fails"
     )
 
@@ -272,27 +272,27 @@ def top_n_child_classes(
     repeat_partitions: bool = False,
 ) -> DataFrame:
     """Top n immediate child classes of a class path, with partition size and use."""
-    children = children_of(dims.classes, parent_path).select("class_id", "name", "path")
+    children = children_of(dims.classes, parent_path).select("class_id", F.col("name").alias("class_name"), "path")
     group = dims.group_devices.where(F.col("group_id") == group_id).select("device_id")
-    rows = in_periods(facts, start, end, grain).join(children.select("class_id", "path"), "class_id")
-    rows = _reduced(rows.join(group, "device_id"), "datetime", "device_id", "class_id", "path")
+    rows = in_periods(facts, start, end, grain).join(children, "class_id")
+    rows = _reduced(rows.join(group, "device_id"), "datetime", "device_id", "class_id", "class_name", "path")
     wanted = partitions.join(children.select("path").distinct(), "path", "left_semi")
     used = with_partition_use(rows, in_periods(part_facts, start, end, grain), wanted, repeat_partitions)
-    per = used.groupBy("datetime", "class_id").agg(
+    per = used.groupBy("datetime", "class_id", "class_name").agg(
         *[F.sum(c).alias(c) for c in SUMS],
         F.max("peak_bps").alias("peak_bps"),
         F.sum("part_size").alias("part_size"),
         F.sum("part_bytes").alias("part_bytes"),
     )
     extra = [
+        F.max("class_name").alias("class_name"),
         F.coalesce(F.sum("part_size"), F.lit(0)).alias("part_size"),
         F.coalesce(F.avg(ratio(8 * F.col("part_bytes"), F.col("part_size"))), F.lit(0))
         .cast("decimal(14,2)")
         .alias("part_utilization"),
     ]
     rolled = _across_periods(per, "class_id", extra, weighted)
-    names = children.select("class_id", F.col("name").alias("class_name"), F.lit(True).alias("_named"))
-    return _top_with_total(rolled, names, "class_id", measure, n, False).select(
+    return _top_with_total(rolled, "class_id", measure, n).select(
         "total",
         "class_id",
         "class_name",
@@ -369,11 +369,9 @@ def top_n_flow_details(
         rows = rows.join(cut_lineage(counted, "bridge"), keys)
         times = times * F.col("_owners")
     sums = rows.groupBy(entity.alias("entity")).agg(*[F.sum(c * times).alias(n) for n, c in figures.items()])
-    best = top(sums, measure, limit, "entity")
     zero = F.lit(0)
     extra = {n: zero.cast("long") if netflow else F.coalesce(n, zero) for n in list(figures)[4:]}
-    full = best.withColumns(extra)
-    return full.select(
+    full = sums.withColumns(extra).select(
         "entity",
         "bytes",
         "pkts",
@@ -384,7 +382,8 @@ def top_n_flow_details(
         F.col("rtm_trans").alias("total_rtm_trans"),
         "pet_server",
         "pet_client",
-    ).orderBy(F.col(measure).desc(), "entity")
+    )
+    return top(full, measure, limit, "entity")
 
 
 def _owner_filter(owners: DataFrame | None, site_id: int, application_id: int, class_id: int) -> DataFrame | None:
