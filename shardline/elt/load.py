@@ -59,8 +59,8 @@ def upsert(stage: DataFrame, delta: DataFrame, keys: Sequence[str], order: Seque
     Only stage rows without a delta key are kept, so a small delta leaves the stage
     unshuffled.
     """
-    fresh = latest(delta, keys, order)
-    return stage.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh.select(*stage.columns))
+    kept = stage.join(delta.select(*keys).distinct(), list(keys), "left_anti")
+    return kept.unionByName(latest(delta, keys, order).select(*stage.columns))
 
 
 def upsert_counts(stage: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -11,13 +11,14 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DecimalType, TimestampType
+from pyspark.sql.types import DecimalType, StructType, TimestampType
 
 from shardline.gallery.shapes import SHAPES
 from shardline.session import apply_settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+LAYOUTS: dict[str, StructType] = {}  # schema of each table file, read from its footer once
 
 BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -36,7 +37,10 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            path = f"{self.folder}/{name}.parquet"
+            if path not in LAYOUTS:
+                LAYOUTS[path] = self.spark.read.parquet(path).schema
+            frame = self.spark.read.schema(LAYOUTS[path]).parquet(path)
         elif f"x_{name}" in SHAPES:
             frame = self.sql(SHAPES[f"x_{name}"])
         else:

@@ -19,7 +19,7 @@ from shardline.functions.scalars import (
 from shardline.operators.aggregates import joined_distinct, max_where
 from shardline.operators.masks import join_covering
 from shardline.operators.ordered import with_first_before, with_line_number
-from shardline.operators.sets import union_distinct
+from shardline.operators.sets import union_all
 
 SELLER_STATUS_LOOKUP = 19
 CATALOG_STATUS_LOOKUP = 18
@@ -271,7 +271,7 @@ def ban_reasons(rules: DataFrame, item_rules: DataFrame, sticky: DataFrame) -> D
     """(item_id, ban_rule_name): the item's distinct ban reasons in order, as one text."""
     by_rule = item_rules.where("status = 1").join(rules, "ban_rule_id").select("item_id", "ban_rule_name")
     by_item = sticky.where("sticky_ban_state = 1").select("item_id", F.lit("Item level ban").alias("ban_rule_name"))
-    reasons = union_distinct([by_rule, by_item])
+    reasons = union_all([by_rule, by_item])  # the set below drops repeats
     return reasons.groupBy("item_id").agg(joined_distinct("ban_rule_name").alias("ban_rule_name"))
 
 
