@@ -111,6 +111,20 @@ query(
     """SELECT s.shard_index, s.db_host, s.db_port FROM x_shard s, x_shard_type ty WHERE UPPER(ty.shard_type_name) = 'AMERICA'
        AND s.shard_type_bit_value & ty.shard_type_bit_value = ty.shard_type_bit_value AND s.shard_status = 1""",
 )(lambda t: plans.active_shards(t.shard, t.shard_type, "america"))
+query(
+    "s2_active_shard_of_house_account",
+    """SELECT s.shard_index, s.db_host, s.db_port FROM x_shard s, x_shard_type ty, customer va WHERE UPPER(ty.shard_type_name) = 'AMERICA'
+       AND s.shard_type_bit_value & ty.shard_type_bit_value = ty.shard_type_bit_value AND s.shard_status = 1
+       AND s.shard_index = va.c_nationkey AND va.c_custkey = 1""",
+)(
+    lambda t: plans.active_shards(
+        t.shard,
+        t.shard_type,
+        "america",
+        t.customer.select(F.col("c_custkey").alias("account_id"), F.col("c_nationkey").alias("catalog_shard_index")),
+        account_id=1,
+    )
+)
 
 HIERARCHY = """SELECT h.store_hierarchy_id, h.store_hierarchy_name, h.store_id, h.parent_store_hierarchy_id, h.external_hierarchy_id,
   h.store_hierarchy_display_path, h.external_hierarchy_id_path, h.status,
@@ -267,6 +281,21 @@ def _(t):
     return joined
 
 
+query(
+    "e21_ingest_contacts",
+    """SELECT c_custkey AS account_id, c_name AS first_name, c_mktsegment AS phone, 1 AS status, 5 AS modified_id,
+              TIMESTAMP '2000-01-01' AS created_dtm FROM customer""",
+)(
+    lambda t: plans.ingest_contacts(
+        t.customer.select(
+            F.col("c_custkey").alias("account_id"), F.col("c_name").alias("first_name"), F.col("c_mktsegment").alias("phone")
+        ),
+        5,
+        AS_OF,
+    )
+)
+
+
 @query(
     "e21_ingest_messages",
     """SELECT conv_id * 1000 + turn AS account_message_id, conv_id AS account_id, role AS account_message_subject,

@@ -334,6 +334,20 @@ def _(t):
     return t.class_facts.where(P.period("month", 1996 * 12 + 5)).groupBy("device_id").agg(F.sum("bytes").alias("bytes"))
 
 
+@query(
+    "f8_range_covered_by_coarse_rollups",
+    """SELECT device_id, CAST(SUM(bytes) AS BIGINT) AS bytes, CAST(SUM(pkts) AS BIGINT) AS pkts FROM x_raw_facts
+       WHERE datetime >= TIMESTAMP '2024-01-02 05:20:00' AND datetime < TIMESTAMP '2024-01-28 17:45:00' GROUP BY device_id""",
+)
+def _(t):
+    raw = t.raw_facts
+    days, hours = (flow_plans.rollup_facts(raw, g).select(*raw.columns) for g in ("day", "hour"))
+    stored = raw.unionByName(hours).unionByName(days)
+    span = (dt.datetime(2024, 1, 2, 5, 20), dt.datetime(2024, 1, 28, 17, 45))
+    chosen = flow_plans.in_periods(stored, *span, ("day", "hour", "raw"))
+    return chosen.groupBy("device_id").agg(F.sum("bytes").alias("bytes"), F.sum("pkts").alias("pkts"))
+
+
 @query(
     "r1_rollup_builder_hourly",
     """SELECT DATE_TRUNC('hour', datetime) AS datetime, device_id, class_id, CAST(SUM(bytes) AS BIGINT) AS bytes,

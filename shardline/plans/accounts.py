@@ -144,8 +144,17 @@ def all_shards(shards: DataFrame, types: DataFrame) -> DataFrame:
     )
 
 
-def active_shards(shards: DataFrame, types: DataFrame, type_name: str) -> DataFrame:
-    """Active shards whose bits contain those of the named type."""
+def active_shards(
+    shards: DataFrame, types: DataFrame, type_name: str, vendors: DataFrame | None = None, account_id: int = 0
+) -> DataFrame:
+    """Active shards whose bits contain those of the named type.
+
+    With ``vendors`` only the shard that holds the account's catalog (the house account by
+    default).
+    """
+    if vendors is not None:
+        holder = vendors.where(F.col("account_id") == account_id)
+        shards = shards.join(holder.select(F.col("catalog_shard_index").alias("shard_index")), "shard_index", "left_semi")
     bit = types.where(F.upper("shard_type_name") == type_name.upper()).select("shard_type_bit_value").scalar()
     chosen = shards.where((F.col("shard_status") == 1) & covers_bits("shard_type_bit_value", bit))
     return chosen.select("shard_index", "db_host", "db_port")
@@ -279,6 +288,12 @@ def ingest_addresses(requests: DataFrame, editor: int, as_of: dt.datetime) -> tu
     return addresses, links
 
 
+def ingest_contacts(requests: DataFrame, editor: int, as_of: dt.datetime) -> DataFrame:
+    """Active contacts stamped with the editor and time."""
+    stamp = {"status": F.lit(1), "modified_id": F.lit(editor), "created_dtm": F.lit(as_of).cast("timestamp_ntz")}
+    return requests.withColumns(stamp)
+
+
 def ingest_messages(requests: DataFrame, editor: int, as_of: dt.datetime) -> DataFrame:
     return requests.withColumns(
         {

@@ -68,10 +68,42 @@ def rollup_state(expected: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.select("period_id", state.alias("state"), F.coalesce("roll_rows", F.lit(0)).alias("roll_rows"))
 
 
-def in_periods(facts: DataFrame, start: dt.datetime, end: dt.datetime, grain: str) -> DataFrame:
+def _floor(moment: dt.datetime, grain: str) -> dt.datetime:
+    if grain == "month":
+        return dt.datetime(moment.year, moment.month, 1)
+    return dt.datetime(moment.year, moment.month, moment.day, moment.hour if grain == "hour" else 0)
+
+
+def _ceiling(moment: dt.datetime, grain: str) -> dt.datetime:
+    below = _floor(moment, grain)
+    if below == moment:
+        return moment
+    step = {"month": dt.timedelta(days=31), "day": dt.timedelta(days=1), "hour": dt.timedelta(hours=1)}[grain]
+    return _floor(below + step, grain)
+
+
+def covering(start: dt.datetime, end: dt.datetime, grains: Sequence[str]) -> Column:
+    """Rows that cover [start, end) once: whole coarse periods, finer grains for the edges.
+
+    ``grains`` run from coarse to fine and end with the one that has all the rest.
+    """
+    grain, *finer = grains
+    if start >= end:
+        return F.lit(False)
+    if not finer:
+        return period(grain) & within("datetime", start, end)
+    first, last = _ceiling(start, grain), _floor(end, grain)
+    if first >= last:
+        return covering(start, end, finer)
+    whole = period(grain) & within("datetime", first, last)
+    return whole | covering(start, first, finer) | covering(last, end, finer)
+
+
+def in_periods(facts: DataFrame, start: dt.datetime, end: dt.datetime, grain: str | Sequence[str]) -> DataFrame:
+    """Facts of one grain in [start, end), or of several that cover it together."""
     if end < start:
         raise ValueError("end is before start")
-    return facts.where(period(grain) & within("datetime", start, end))
+    return facts.where(covering(start, end, [grain] if isinstance(grain, str) else grain))
 
 
 def _reduced(facts: DataFrame, *keys: str) -> DataFrame:

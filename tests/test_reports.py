@@ -104,3 +104,24 @@ def test_flow_details_of_binary_addresses(spark):
         assert line["pet_server"] == sum(6 for r in peer if r[10] == 5)
         assert float(line["avg_total_delay"]) == (4.0 if any(r[10] == 4 for r in peer) else 0.0)
         assert float(line["efficiency_pct"]) == 99.0
+
+
+@pytest.mark.parametrize(
+    "start,end",
+    [
+        ("2024-01-01 00:00:00", "2024-03-01 00:00:00"),
+        ("2024-01-15 10:20:00", "2024-04-02 03:05:00"),
+        ("2024-01-15 10:20:00", "2024-01-15 10:40:00"),
+        ("2023-12-31 23:00:00", "2024-01-01 01:00:00"),
+        ("2024-02-01 00:00:00", "2024-02-01 00:00:00"),
+    ],
+)
+def test_grains_cover_a_range_once(spark, start, end):
+    start, end = dt.datetime.fromisoformat(start), dt.datetime.fromisoformat(end)
+    times = [dt.datetime(2023, 12, 31, 22) + dt.timedelta(minutes=35 * i) for i in range(4000)]
+    raw = spark.createDataFrame([("raw", 0, t, 1, 1, 1, 1, 0, 1, 1, 0) for t in times], LAYOUT)
+    stored = raw
+    for grain in ("hour", "day", "month"):
+        stored = stored.unionByName(flow.rollup_facts(raw, grain).select(*raw.columns))
+    got = flow.in_periods(stored, start, end, ("month", "day", "hour", "raw")).agg({"bytes": "sum"}).first()[0]
+    assert (got or 0) == sum(start <= t < end for t in times)
