@@ -5,22 +5,34 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DatetimeType, NumericType
 
 from shardline.session import cut_lineage
 
 SPANS = 32
 
 
-def with_time_span(df: DataFrame, order: str, spans: int = SPANS, name: str = "_span") -> DataFrame:
-    """Number each row by the quantile interval its ``order`` value falls in.
+def with_span(df: DataFrame, order: Sequence[str], spans: int = SPANS, name: str = "_span") -> DataFrame:
+    """Number each row by the quantile interval its order values fall in, rising with the order.
 
-    The bounds come from one mergeable sketch over a single column, so a (key, span) group
-    holds about 1/spans of the table at most, however skewed the key or the time is.
+    The bounds come from one pass of mergeable sketches over the order columns, so a
+    (key, span) group holds about 1/spans of the table at most, however skewed the keys and
+    the first column are: a value so frequent that it fills whole intervals is cut further by
+    the second column, when that is a number or a time.
     """
     points = [i / spans for i in range(1, spans)]
-    bounds = df.agg(F.percentile_approx(order, points, 1000).alias("_bounds")).scalar()
-    above = [F.coalesce((F.col("_bounds")[i] < F.col(order)).cast("int"), F.lit(0)) for i in range(spans - 1)]
-    return df.withColumn("_bounds", bounds).withColumn(name, sum(above)).drop("_bounds")
+    lead, *rest = order
+    second = rest[0] if rest and isinstance(df.schema[rest[0]].dataType, (NumericType, DatetimeType)) else lead
+    sketches = df.agg(*[F.percentile_approx(c, points, 1000).alias(b) for b, c in (("_b0", lead), ("_b1", second))])
+    repeated = F.filter("_b0", lambda x, i: (i > 0) & (x == F.element_at("_b0", F.greatest(i, F.lit(1)))))
+    bounds = sketches.select(F.struct("_b0", "_b1", repeated.alias("_frequent")).alias("_bounds")).scalar()
+    edges = F.col("_bounds")
+    span = sum(F.coalesce((edges["_b0"][i] < F.col(lead)).cast("int"), F.lit(0)) for i in range(spans - 1))
+    if second != lead:
+        cut = 1 + F.size(F.filter(edges["_b1"], lambda x: x < F.col(second)))
+        frequent = F.array_contains(edges["_frequent"], F.col(lead))
+        span = span * (spans + 1) + F.when(frequent, cut).otherwise(0)
+    return df.withColumn("_bounds", bounds).withColumn(name, span).drop("_bounds")
 
 
 def with_previous(
@@ -32,12 +44,12 @@ def with_previous(
     last row of the key's previous span, found by a map-side combined aggregate. The flag
     ``_has_previous`` tells a missing row from a NULL value.
     """
-    spanned = with_time_span(df, order[0], spans)
+    spanned = with_span(df, order, spans)
     inside = Window.partitionBy(*keys, "_span").orderBy(*order)
     values = F.struct(*[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)], F.lit(True).alias("_seen"))
     rows = spanned.withColumn("_lag", F.lag(values).over(inside))
     last = spanned.groupBy(*keys, "_span").agg(F.max_by(values, F.struct(*order)).alias("_last"))
-    across = Window.partitionBy(*keys).orderBy("_span")  # at most ``spans`` rows per key
+    across = Window.partitionBy(*keys).orderBy("_span")  # one row per key and span
     carried = last.select(*keys, "_span", F.lag("_last").over(across).alias("_carry"))
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "_span"]]
     joined = rows.alias("r").join(carried.alias("c"), same, "left")

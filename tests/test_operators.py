@@ -28,6 +28,8 @@ def skewed_rows(n=400, seed=1):
 def test_with_previous_equals_walking_each_key(spark, spans):
     rows = skewed_rows()
     df = spark.createDataFrame(rows, "id int, key int, t timestamp_ntz, v string").repartition(7)
+    df = df.withColumn("t", F.when(F.col("id") % 2 == 0, F.lit(START).cast("timestamp_ntz")).otherwise(F.col("t")))
+    rows = [(i, k, START if i % 2 == 0 else t, v) for i, k, t, v in rows]
     got = {
         r["id"]: (r["_has_previous"], r["p"])
         for r in ordered.with_previous(df, ["key"], ["t", "id"], {"v": "p"}, spans).collect()

@@ -64,10 +64,19 @@ def test_day_filter_is_pushed_down(spark):
 def test_spans_split_a_hot_key(spark):
     moment = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("id"))
     rows = spark.range(8000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("k"), moment.alias("t"))
-    groups = ordered.with_time_span(rows, "t", 16).groupBy("k", "_span").count()
+    groups = ordered.with_span(rows, ["t"], 16).groupBy("k", "_span").count()
     assert groups.agg(F.max("count")).first()[0] < 8000 / 16 * 1.2
 
 
+def test_spans_split_a_hot_moment(spark):
+    moment = F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(4000)
+    rows = spark.range(8000).select("id", F.lit(1).alias("k"), moment.alias("t"))
+    spanned = ordered.with_span(rows, ["t", "id"], 16)
+    assert spanned.groupBy("k", "_span").count().agg(F.max("count")).first()[0] < 8000 / 16 * 1.2
+    in_order = spanned.orderBy("t", "id").select("_span").collect()
+    assert [r[0] for r in in_order] == sorted(r[0] for r in in_order)
+
+
 def test_rows_without_group_do_not_meet(spark):
     rows = spark.range(2000).select(F.col("id"), F.when(F.col("id") % 9 == 0, 1).alias("g"), F.lit("x").alias("v"))
     plan = plan_of(ordered.with_first_before(rows, "g", [F.col("id")], {"v": "c"}))
