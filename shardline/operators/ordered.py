@@ -27,7 +27,7 @@ def with_span(df: DataFrame, order: Sequence[str], spans: int = SPANS, name: str
     repeated = F.filter("_b0", lambda x, i: (i > 0) & (x == F.element_at("_b0", F.greatest(i, F.lit(1)))))
     bounds = sketches.select(F.struct("_b0", "_b1", repeated.alias("_frequent")).alias("_bounds")).scalar()
     edges = F.col("_bounds")
-    span = sum(F.coalesce((edges["_b0"][i] < F.col(lead)).cast("int"), F.lit(0)) for i in range(spans - 1))
+    span = F.expr(" + ".join(f"coalesce(cast(_bounds._b0[{i}] < `{lead}` AS int), 0)" for i in range(spans - 1)))
     if second != lead:
         cut = 1 + F.size(F.filter(edges["_b1"], lambda x: x < F.col(second)))
         frequent = F.array_contains(edges["_frequent"], F.col(lead))
