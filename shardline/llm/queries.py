@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shardline.llm.sharding import ring_shards
+from shardline.llm.warc import records, write_archive
+from shardline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -43,3 +45,33 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "home_shard",
     )
+
+
+@query(
+    "op2_warc_archive",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (
+        SELECT page_id, html, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+               list_transform(range(0, 40), lambda i: CAST('0x' || substr(sha1(html), CAST(i + 1 AS INT), 1) AS INT)) AS h
+        FROM p),
+    b AS (
+        SELECT page_id, html, payload_bytes,
+               list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+                   ((h[5 * i // 4 + 1] * 16 + coalesce(h[5 * i // 4 + 2], 0)) // CAST(pow(2, 3 - (5 * i) % 4) AS INT)) % 32
+                   AS INT), 1)), 'string_agg', '') AS payload_digest
+        FROM d),
+    m AS (SELECT html, max(page_id) AS first FROM p GROUP BY html)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM b JOIN m USING (html)
+    """,
+)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written as an archive in the shared folder and read back."""
+    path = scratch_path(spark, "archive")
+    write_archive(table(spark, folder, "pages"), path)
+    return records(spark, path).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
