@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shardline.llm.decontaminate import contamination
 from shardline.llm.sharding import ring_shards
 from shardline.llm.warc import records, write_archive
 from shardline.session import scratch_path
@@ -75,3 +76,47 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return records(spark, path).select(
         F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+_WORDS = """regexp_extract_all(
+    translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+
+@query(
+    "op3_decontaminate",
+    f"""
+    WITH d AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
+    i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
+    windows AS (
+        SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[p:p + least(len(w), 13) - 1], ' ') AS words
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS p FROM i WHERE len(w) > 0)),
+    starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+    seen AS (
+        SELECT s.doc_id, s.p, x.n, x.item_id
+        FROM (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS words
+              FROM starts, (SELECT DISTINCT n FROM windows) WHERE p + n - 1 <= len(w)) s
+        JOIN windows x ON x.n = s.n AND x.words = s.words),
+    hits AS (
+        SELECT doc_id, count(DISTINCT q) AS n_hit
+        FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM seen) GROUP BY doc_id),
+    named AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM seen) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows of 13 words in whole documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = contamination(docs, table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "found.n_words",
+        "found.n_hit",
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
+        "found.contaminated",
+    )
