@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shardline.llm import bpe
 from shardline.llm.decontaminate import contamination
 from shardline.llm.sharding import ring_shards
 from shardline.llm.warc import records, write_archive
@@ -120,3 +122,16 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
         "found.contaminated",
     )
+
+
+@query("op4_word_bpe")
+def op4(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
+    """Ids of whole texts and the text that they decode to; ``path`` names the tokenizer file."""
+    packed = bpe.load(path or public_tokenizers.path("word_bpe_49k.json"))
+    ids = table(spark, folder, "documents").select("doc_id", bpe.encode(F.col("text"), packed).alias("ids"))
+    return ids.select("doc_id", "ids", bpe.decode(F.col("ids"), packed).alias("decoded")).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
