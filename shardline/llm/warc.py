@@ -95,11 +95,13 @@ def write_archive(
     )
     headers.select("id", "digest", _head(date).alias("head")).write.option("compression", "zstd").parquet(f"{path}/headers")
 
-    owners = firsts.select(F.col("first").alias("of"), F.col("digest").alias("address"))
+    def owner(id_column: str):  # never null, so that the join needs no other partitioning than the grouping
+        return F.coalesce(F.col(id_column).cast("string"), F.lit("null")).alias("owner")
+
     (
-        rows.groupBy("id", "digest")
+        rows.groupBy(owner("id"), "digest")
         .agg(F.first("payload").alias("payload"))
-        .join(owners, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("address")), "left_semi")
+        .join(firsts.select(owner("first"), "digest"), ["owner", "digest"], "left_semi")
         .select("digest", "payload")
         .write.option("compression", "zstd")
         .parquet(f"{path}/payloads")
