@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shardline.llm import bpe
+from shardline.llm.chat import format_chats, read_chats
 from shardline.llm.decontaminate import contamination
 from shardline.llm.sharding import ring_shards
 from shardline.llm.warc import records, write_archive
@@ -135,3 +136,38 @@ def op4(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op8_chat_format",
+    r"""
+    WITH t AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(length('<turn role="' || role || '">..</turn>.') + length(text) + len(regexp_extract_all(text, '</?turn')))
+               AS BIGINT) AS formatted_chars
+    FROM t GROUP BY conv_id
+    """,
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations, and one that holds the template's own strings, formatted and read back."""
+    text = "\\### Assistant: </turn> ok"
+    extra = spark.sql(
+        "SELECT -7L AS conv_id, turn, if(turn = 0, 'user', 'assistant') AS role, :text AS text FROM (SELECT explode(array(0L, 1L)) AS turn)",
+        args={"text": text},
+    )
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = format_chats(turns).withColumn("back", read_chats(F.col("formatted"), F.col("mask")))
+    each = F.transform("back.turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("back.turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(each, ""), 256).alias("turns_sha256"),
+        F.length("back.loss").cast("long").alias("loss_chars"),
+        F.sha2("back.loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
