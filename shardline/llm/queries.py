@@ -11,6 +11,7 @@ from shardline.llm import bpe
 from shardline.llm.chat import format_chats, read_chats
 from shardline.llm.decontaminate import contamination
 from shardline.llm.sharding import ring_shards
+from shardline.llm.simhash import near_duplicates
 from shardline.llm.warc import records, write_archive
 from shardline.session import scratch_path
 
@@ -171,3 +172,10 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("back.loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op10_simhash_anchors")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with their fingerprint and component at two bits."""
+    found = near_duplicates(table(spark, folder, "documents"), "doc_id", "text", bits=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
