@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shardline.llm import bpe
+from shardline.llm import bpe, langid
 from shardline.llm.chat import format_chats, read_chats
 from shardline.llm.decontaminate import contamination
 from shardline.llm.sharding import ring_shards
@@ -179,3 +179,14 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with their fingerprint and component at two bits."""
     found = near_duplicates(table(spark, folder, "documents"), "doc_id", "text", bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document by a network fitted on documents outside the held-out quarter."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = langid.held_out("doc_id")
+    model = langid.train(docs.filter(~held_out))
+    return docs.select(
+        "doc_id", held_out.alias("held_out"), langid.predict(F.col("text"), model).alias("found")
+    ).select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
