@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shardline.llm import bpe, langid
+from shardline.llm import bpe, langid, secret_scan
 from shardline.llm.chat import format_chats, read_chats
 from shardline.llm.decontaminate import contamination
 from shardline.llm.sharding import ring_shards
@@ -190,3 +190,24 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(
         "doc_id", held_out.alias("held_out"), langid.predict(F.col("text"), model).alias("found")
     ).select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
+
+
+@query("op7_secret_scan")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in whole documents: counts and digest of the patterns' spans, and all spans."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    field = secret_scan.train(docs)
+    found = docs.select("doc_id", secret_scan.find_secrets(F.col("text"), field).alias("found"))
+
+    def told(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(number, secret_scan.BASE),
+        F.sha2(told(F.filter("found", lambda x: x["kind"] != "crf")), 256).alias("base_sha256"),
+        told(F.col("found")).alias("spans"),
+    )
