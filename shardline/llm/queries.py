@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shardline.llm import bpe, langid, secret_scan
+from shardline.llm.ann import nearest
 from shardline.llm.chat import format_chats, read_chats
 from shardline.llm.decontaminate import contamination
 from shardline.llm.sharding import ring_shards
@@ -211,3 +212,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(told(F.filter("found", lambda x: x["kind"] != "crf")), 256).alias("base_sha256"),
         told(F.col("found")).alias("spans"),
     )
+
+
+@query("op6_posting_lists")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, from posting lists over all vectors."""
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
