@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 #: Words and pairs that a Python worker remembers before it starts afresh; results don't depend on it.
-KEPT_WORDS, KEPT_PAIRS = 400_000, 1_000_000
+KEPT_WORDS, KEPT_PAIRS = 300_000, 300_000
 NEVER = 1 << 40
 #: White space as the tokenizer's \s has it.
 SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -239,6 +239,28 @@ def load(path: str) -> bytes:
         return zlib.compress(f.read())
 
 
+def encode_batch(texts: pa.Array, packed: bytes) -> pa.ListArray:
+    bpe = tokenizer(packed)
+    ids = [bpe.encode(t.as_py() or "") for t in texts]
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
+    values = pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def decode_batch(lists: pa.ListArray, packed: bytes) -> pa.StringArray:
+    shown = tokenizer(packed).shown
+    out = []
+    for row in lists:  # one row's tokens at a time
+        values = row.values
+        if values is None or not len(values):
+            out.append("")
+            continue
+        known = pc.and_(pc.greater_equal(values, 0), pc.less(values, len(shown)))
+        tokens = pc.drop_null(shown.take(pc.if_else(known, values, None)))
+        out.append(" ".join(tokens.to_pylist()))
+    return pa.array(out, pa.string())
+
+
 def encode(text: Column, packed: bytes) -> Column:
     """Ids of each whole text (array of int), as its tokenizer gives them without adding special tokens.
 
@@ -248,11 +270,7 @@ def encode(text: Column, packed: bytes) -> Column:
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        bpe = tokenizer(packed)
-        ids = [bpe.encode(t.as_py() or "") for t in texts]
-        ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
-        values = pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32())
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        return encode_batch(texts, packed)
 
     return run.asNondeterministic()(text)  # else its users would each run it again
 
@@ -265,16 +283,17 @@ def decode(ids: Column, packed: bytes) -> Column:
 
     @F.arrow_udf("string")
     def run(lists: pa.Array) -> pa.Array:
-        shown = tokenizer(packed).shown
-        out = []
-        for row in lists:  # one row's tokens at a time
-            values = row.values
-            if values is None or not len(values):
-                out.append("")
-                continue
-            known = pc.and_(pc.greater_equal(values, 0), pc.less(values, len(shown)))
-            tokens = pc.drop_null(shown.take(pc.if_else(known, values, None)))
-            out.append(" ".join(tokens.to_pylist()))
-        return pa.array(out, pa.string())
+        return decode_batch(lists, packed)
 
     return run(ids)
+
+
+def round_trip(text: Column, packed: bytes) -> Column:
+    """``ids`` as of encode and ``decoded`` as of decode, in one worker with one set of tables."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def run(texts: pa.Array) -> pa.Array:
+        ids = encode_batch(texts, packed)
+        return pa.StructArray.from_arrays([ids, decode_batch(ids, packed)], names=["ids", "decoded"])
+
+    return run(text)

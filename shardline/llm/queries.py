@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shardline.llm import bpe, langid, secret_scan
 from shardline.llm.ann import nearest
+from shardline.llm.batches import bounded_batches
 from shardline.llm.chat import format_chats, read_chats
 from shardline.llm.decontaminate import contamination
 from shardline.llm.sharding import ring_shards
@@ -31,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 @query("op1_ring_shards")
@@ -131,12 +132,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
     """Ids of whole texts and the text that they decode to; ``path`` names the tokenizer file."""
     packed = bpe.load(path or public_tokenizers.path("word_bpe_49k.json"))
-    ids = table(spark, folder, "documents").select("doc_id", bpe.encode(F.col("text"), packed).alias("ids"))
-    return ids.select("doc_id", "ids", bpe.decode(F.col("ids"), packed).alias("decoded")).select(
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", bpe.round_trip(F.col("text"), packed).alias("b")).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.size("b.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("b.ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("b.decoded", 256).alias("decoded_sha256"),
     )
 
 
