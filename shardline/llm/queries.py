@@ -14,6 +14,7 @@ from shardline.llm.chat import format_chats, read_chats
 from shardline.llm.decontaminate import contamination
 from shardline.llm.sharding import ring_shards
 from shardline.llm.simhash import near_duplicates
+from shardline.llm.suffix_dedup import remove_repeats
 from shardline.llm.warc import records, write_archive
 from shardline.session import scratch_path
 
@@ -219,3 +220,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest of every vector whose id is divisible by 20, from posting lists over all vectors."""
     return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of whole documents outside strings of 200 bytes that occur more than once."""
+    found = remove_repeats(table(spark, folder, "documents"), "doc_id", "text", length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
