@@ -116,15 +116,16 @@ def contamination(
     size: int = 13,
     one_in: int = 20,
     item_bytes: int = ITEM_BYTES,
+    into: str = "found",
 ) -> DataFrame:
-    """The documents with a column ``found``: n_words, n_hit, hits (word numbers), items, spans, contaminated.
+    """The documents with a column ``into``: n_words, n_hit, hits (word numbers), items, spans, contaminated.
 
     A window is ``size`` consecutive words of an item, or all words of a shorter one. A document word
     inside any occurrence of a window is hit; ``spans`` are maximal runs of hit words as code points of the
     original text. A document is contaminated if any word is hit and at least one in ``one_in``.
     Null or wordless texts have no words and aren't contaminated; rows that repeat an item id
-    are one item; a null item id is written as the empty string. Other columns stay as they are; a column
-    called ``found`` is replaced. Without items nothing is hit.
+    are one item; a null item id is written as the empty string. Other columns stay as they are; one
+    called ``into`` is replaced. Without items nothing is hit.
 
     The items are broadcast in parts of about ``item_bytes`` of text: a benchmark within that bound takes one
     pass over the documents. A larger one takes a pass for each part, with the documents written between
@@ -138,22 +139,22 @@ def contamination(
     parts = -(-total // item_bytes) or 1
     part = F.pmod(F.xxhash64("id", "text"), F.lit(parts))
     text = F.col(f"`{text_column}`")
-    docs = docs.drop("found")
+    docs, found = docs.drop(into), F.col(f"`{into}`")
     for k in range(parts):
         rows = tuple((r["id"], r["text"].encode()) for r in named.filter(part == k).collect())  # about item_bytes
         scanner = F.arrow_udf(_scanner(rows, size), FOUND)
-        docs = docs.withColumn("found", scanner(text, "found")) if k else docs.withColumn("found", scanner(text))
+        docs = docs.withColumn(into, scanner(text, found) if k else scanner(text))
         if k < parts - 1:
             docs = cut_lineage(docs, "contamination")
-    n_hit = F.size("found.hits").cast("long")
+    n_hit = F.size(found["hits"]).cast("long")
     return docs.withColumn(
-        "found",
+        into,
         F.struct(
-            F.col("found.n_words"),
+            found["n_words"].alias("n_words"),
             n_hit.alias("n_hit"),
-            F.col("found.hits"),
-            F.col("found.items"),
-            F.col("found.spans"),
-            ((n_hit > 0) & (n_hit * one_in >= F.col("found.n_words"))).alias("contaminated"),
+            found["hits"].alias("hits"),
+            found["items"].alias("items"),
+            found["spans"].alias("spans"),
+            ((n_hit > 0) & (n_hit * one_in >= found["n_words"])).alias("contaminated"),
         ),
     )
