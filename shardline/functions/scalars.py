@@ -97,6 +97,10 @@ def nearest_half_hour(c: Column | str) -> Column:
     return ts + F.make_dt_interval(F.lit(0), F.lit(0), minutes, -part.cast("decimal(18,6)"))
 
 
+#: Sums and products of whole or fractional figures, without overflow.
+EXACT = "decimal(38,6)"
+
+
 def later_of(a: Column | str, b: Column | str) -> Column:
     """Later of two times, NULL counts as lowest."""
     return F.greatest(_col(a), _col(b))
@@ -121,9 +125,9 @@ def ipv4_to_text(c: Column | str) -> Column:
 
 
 def ratio(num: Column, den: Column, scale: int = 6) -> Column:
-    """num / den as a decimal, 0 when the divisor is 0."""
-    exact = num.cast("decimal(20,0)") / F.when(den != 0, den).cast("decimal(20,0)")
-    return F.when(den == 0, F.lit(0)).otherwise(exact).cast(f"decimal(28,{scale})")
+    """num / den as a decimal, 0 when the divisor is 0 (to six places, as both sides are taken)."""
+    above, below = num.cast(EXACT), den.cast(EXACT)
+    return F.when(below == 0, F.lit(0)).otherwise(above / F.when(below != 0, below)).cast(f"decimal(28,{scale})")
 
 
 def mean_delay(total: Column, count: Column) -> Column:

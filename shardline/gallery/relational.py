@@ -279,12 +279,12 @@ def _(t):
 
 @query(
     "k4_numeric_order_of_text",
-    """SELECT store_hierarchy_id, external_hierarchy_id FROM x_hierarchy
-       ORDER BY TRY_CAST(external_hierarchy_id AS BIGINT), store_hierarchy_id LIMIT 40""",
+    """SELECT ROW_NUMBER() OVER (ORDER BY TRY_CAST(external_hierarchy_id AS BIGINT) NULLS FIRST, store_hierarchy_id) AS line_num,
+              store_hierarchy_id, external_hierarchy_id FROM x_hierarchy""",
 )
 def _(t):
     rows = t.hierarchy.select("store_hierarchy_id", "external_hierarchy_id")
-    return rows.orderBy(F.col("external_hierarchy_id").try_cast("bigint"), "store_hierarchy_id").limit(40)
+    return ordered.with_line_number(rows, [F.col("external_hierarchy_id").try_cast("bigint"), "store_hierarchy_id"])
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shardline.gallery.base import div, fixed, query
 from shardline.operators.aggregates import column_profile, percent, sum_named
+from shardline.operators.ordered import with_line_number
 from shardline.plans import eventlog, metrics, storage
 
 BLOCK = 8192
@@ -29,7 +30,12 @@ SPACE = """
     FROM x_files f JOIN x_spaces x ON x.ts = f.ts WHERE x.online IN (1, 2) AND f.status = 2)"""
 
 
-@query("r21_tablespace_usage_by_file", f"WITH {SPACE} SELECT tablespace, file_name, {_usage_sql('blocks', 'used')} FROM f")
+@query(
+    "r21_tablespace_usage_by_file",
+    f"""WITH {SPACE}, lines AS (SELECT tablespace, file_name, {_usage_sql("blocks", "used")} FROM f)
+        SELECT * FROM lines
+        UNION ALL SELECT 'Total', NULL, SUM(total), ROUND(SUM(used_mb), 3), ROUND(SUM(free_mb), 3), NULL FROM lines""",
+)
 def _(t):
     return storage.usage_by_file(t.spaces, t.files, t.extents, BLOCK)
 
@@ -91,7 +97,8 @@ RATIOS_SQL = f"""
   SELECT {_r(_named("parse count"), _named("opened cursors cumulative"))} AS pcc,
          {_r(_named("recursive calls"), _named("opened cursors cumulative"))} AS rcc,
          {_r(READS, _named("physical writes"))} AS rwr,
-         (CAST({div(READS, GETS)} + 1000000 * CAST({SEEN} AS HUGEINT) - 1000000 AS DOUBLE) / 1000000) AS hr,
+         (CAST({div(READS, GETS)} + 1000000 * (CAST({SEEN} AS HUGEINT) + 1) AS DOUBLE) / 1000000) AS hr,
+         {_r(f"{GETS} + {SEEN} - {READS}", f"{GETS} + {SEEN}")} AS hit_ratio,
          {_r(f"{_named('table scan blocks gotten')} - 4 * {_named('table scans (short tables)')}", _named("table scans (long tables)"))} AS bpfts
   FROM x_sysstat"""
 query("r23_metric_ratios", RATIOS_SQL)(lambda t: metrics.metric_ratios(t.sysstat))
@@ -182,10 +189,12 @@ def _(t):
 
 @query(
     "k5_newest_first",
-    "SELECT event_id, STRFTIME(ts, '%m/%d/%Y %H:%M:%S') AS ts FROM (SELECT * FROM events ORDER BY events.ts DESC, event_id LIMIT 30)",
+    """SELECT ROW_NUMBER() OVER (ORDER BY events.ts DESC, event_id) AS line_num, event_id, STRFTIME(ts, '%m/%d/%Y %H:%M:%S') AS ts
+       FROM events""",
 )
 def _(t):
-    return eventlog.event_report(t.events, "ts", ["event_id", "ts"], ["event_id"]).limit(30)
+    lines = with_line_number(t.events.select("event_id", "ts"), [F.col("ts").desc(), "event_id"])
+    return eventlog.event_report(lines, "ts", ["line_num", "event_id", "ts"], ["event_id"])
 
 
 @query(

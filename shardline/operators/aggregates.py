@@ -6,20 +6,20 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shardline.functions.scalars import ratio
+from shardline.functions.scalars import EXACT, ratio
 from shardline.operators.sets import union_all
 
 
 def bit_rate(octets: Column, seconds: Column) -> Column:
-    return ratio(8 * octets, seconds)
+    return ratio(8 * octets.cast(EXACT), seconds)
 
 
 def efficiency(octets: Column, resent: Column) -> Column:
-    return ratio(100 * (octets - resent), octets)
+    return ratio(100 * (octets.cast(EXACT) - resent.cast(EXACT)), octets)
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
-    return F.round(ratio(100 * part, whole, 6), digits)
+    return F.round(ratio(100 * part.cast(EXACT), whole, 6), digits)
 
 
 def joined_distinct(c: Column | str, sep: str = ", ") -> Column:

@@ -7,55 +7,48 @@ from pyspark.sql import DataFrame, functions as F
 from shardline.operators.ordered import with_line_number
 from shardline.session import cut_lineage
 
-WIDTH = 20
 
-
-def descend(edges: DataFrame, root: int | None, max_depth: int = 64) -> DataFrame:
-    """(node_id, parent_id, depth, ancestors, sort_path) of every node below ``root``.
+def descend(edges: DataFrame, root: int | None) -> DataFrame:
+    """(node_id, parent_id, depth, ancestors) of every node below ``root``; ancestors end with the node.
 
     ``edges`` holds ``node_id, parent_id``; ``root`` None starts at the nodes without parent.
-    One join per level; each level is written once and only asked whether it is empty.
+    One join per level, which is written once; it goes on until a level is empty. A node that is its
+    own ancestor is an error. Nodes that no start reaches are not in the result.
     """
-    here = F.lpad(F.col("node_id").cast("string"), WIDTH, "0")
     start = edges.where(F.col("parent_id").isNull() if root is None else F.col("node_id") == root)
-    level = start.select(
-        "node_id",
-        "parent_id",
-        F.lit(0).alias("depth"),
-        F.array("node_id").alias("ancestors"),
-        here.alias("sort_path"),
-    )
-    nodes = level
+    level = start.select("node_id", "parent_id", F.lit(0).alias("depth"), F.array("node_id").alias("ancestors"))
+    nodes, depth = level, 0
     links = edges.where(F.col("parent_id").isNotNull() & (F.col("parent_id") != F.col("node_id")))
-    for depth in range(1, max_depth + 2):
-        up = level.select(
-            F.col("node_id").alias("parent_id"),
-            F.col("ancestors").alias("_above"),
-            F.col("sort_path").alias("_path"),
-        )
+    while True:
+        depth += 1
+        up = level.select(F.col("node_id").alias("parent_id"), F.col("ancestors").alias("_above"))
         level = cut_lineage(
             links.join(up, "parent_id").select(
                 "node_id",
                 "parent_id",
                 F.lit(depth).alias("depth"),
                 F.concat("_above", F.array("node_id")).alias("ancestors"),
-                F.concat(F.col("_path"), here).alias("sort_path"),
+                F.array_contains("_above", F.col("node_id")).alias("_again"),
             )
         )
-        if level.isEmpty():
+        rows, again = level.agg(F.count("*"), F.count_if("_again")).first()
+        if again:
+            raise ValueError("a node of the tree is its own ancestor: there is a cycle")
+        if not rows:
             return nodes
+        level = level.drop("_again")
         nodes = nodes.unionByName(level)
-    raise ValueError(f"tree is deeper than {max_depth} levels or has a cycle")
 
 
-def nested_set(edges: DataFrame, root: int | None = None, start: int = 1, max_depth: int = 64) -> DataFrame:
+def nested_set(edges: DataFrame, root: int | None = None, start: int = 1) -> DataFrame:
     """(node_id, parent_id, depth, l_idx, r_idx): depth first, children by id.
 
     l = 2 * preorder - depth + start and r = l + 2 * subtree - 1, so no tree walk is needed.
-    Preorder is the line number by sort path; subtree sizes count each node once per ancestor.
+    Preorder is the line number in the order of the ancestor lists, which compare as their ids do;
+    subtree sizes count each node once per ancestor.
     """
-    nodes = descend(edges, root, max_depth)
-    ordered = with_line_number(nodes, ["sort_path"], "_line")
+    nodes = descend(edges, root)
+    ordered = with_line_number(nodes, ["ancestors"], "_line")
     sizes = (
         ordered.select(F.explode("ancestors").alias("node_id")).groupBy("node_id").agg(F.count("*").alias("_subtree"))
     )

@@ -4,28 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-BITS = 32
+LAST_BIT = 63  # of a long; negative masks have it set
+NO_BIT = -1
 
 
 def _bits(mask: str):
-    """Positions of the set bits, with -1 for every mask so that mask 0 matches too."""
+    """Positions of the set bits, lowest first."""
     value = F.col(mask).cast("long")
-    at = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.getbit(value, i) == 1)
-    return F.explode(F.concat(F.array(F.lit(-1)), at))
+    return F.filter(F.sequence(F.lit(0), F.lit(LAST_BIT)), lambda i: F.getbit(value, i) == 1)
 
 
 def covering_pairs(masks: DataFrame, mask: str, lookup: DataFrame, bits: str) -> DataFrame:
     """(mask, lookup row) pairs where the lookup's bits contain every bit of the mask.
 
-    Works on the distinct masks only, so its size is that of two lookup lists.
+    A mask meets the lookup rows that have its lowest bit, and the plain test decides. Mask 0 is
+    covered by every row; it alone meets them under a key of its own. Works on the distinct masks.
+    NULL masks and NULL lookup bits match nothing; repeated lookup rows all match.
     """
     wanted = masks.select(mask).where(F.col(mask).isNotNull()).distinct()
-    left = wanted.select(mask, _bits(mask).alias("_bit"))
-    keyed = lookup.where(F.col(bits).isNotNull()).withColumn("_row", F.struct(*lookup.columns))
-    right = keyed.select("_row", _bits(bits).alias("_bit"))
-    hits = left.join(right, "_bit").groupBy(mask, "_row").agg(F.count("*").alias("_hits"))
-    full = hits.where(F.col("_hits") == F.bit_count(F.col(mask).cast("long")) + 1)
-    return full.select(mask, "_row.*")
+    left = wanted.select(mask, F.coalesce(F.get(_bits(mask), F.lit(0)), F.lit(NO_BIT)).alias("_bit"))
+    keyed = lookup.where(F.col(bits).isNotNull()).select(
+        F.struct(*lookup.columns).alias("_row"), F.col(bits).cast("long").alias("_has"), _bits(bits).alias("_at")
+    )
+    right = keyed.select("_row", "_has", F.explode(F.concat(F.array(F.lit(NO_BIT)), "_at")).alias("_bit"))
+    wants = F.col(mask).cast("long")
+    met = left.join(right, "_bit").where(F.col("_has").bitwiseAND(wants) == wants)
+    return met.select(mask, "_row.*")
 
 
 def join_covering(

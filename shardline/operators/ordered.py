@@ -5,13 +5,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DatetimeType, NumericType
+from pyspark.sql.types import DatetimeType, NumericType, StringType
 
 from shardline.session import cut_lineage
 
 SPANS = 32
 
 
+def _scale(df: DataFrame, name: str) -> Column | None:
+    """A number or time that rises with the column; text counts by its first seven bytes."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (NumericType, DatetimeType)):
+        return F.col(name)
+    if isinstance(kind, StringType):
+        digits = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 14, "0")
+        return F.conv(digits, 16, 10).cast("bigint")
+    return None
+
+
 def with_span(df: DataFrame, order: Sequence[str], spans: int = SPANS, name: str = "_span") -> DataFrame:
     """Number each row by the quantile interval its order values fall in, rising with the order.
 
@@ -21,7 +32,11 @@ def with_span(df: DataFrame, order: Sequence[str], spans: int = SPANS, name: str
     the second column, when that is a number or a time.
     """
     points = [i / spans for i in range(1, spans)]
-    lead, *rest = order
+    first, *rest = order
+    scale = _scale(df, first)
+    if scale is None:
+        raise TypeError(f"cannot spread rows by {first}: {df.schema[first].dataType.simpleString()}")
+    df, lead = df.withColumn("_lead", scale), "_lead"
     second = rest[0] if rest and isinstance(df.schema[rest[0]].dataType, (NumericType, DatetimeType)) else lead
     sketches = df.agg(*[F.percentile_approx(c, points, 1000).alias(b) for b, c in (("_b0", lead), ("_b1", second))])
     repeated = F.filter("_b0", lambda x, i: (i > 0) & (x == F.element_at("_b0", F.greatest(i, F.lit(1)))))
@@ -32,7 +47,7 @@ def with_span(df: DataFrame, order: Sequence[str], spans: int = SPANS, name: str
         cut = 1 + F.size(F.filter(edges["_b1"], lambda x: x < F.col(second)))
         frequent = F.array_contains(edges["_frequent"], F.col(lead))
         span = span * (spans + 1) + F.when(frequent, cut).otherwise(0)
-    return df.withColumn("_bounds", bounds).withColumn(name, span).drop("_bounds")
+    return df.withColumn("_bounds", bounds).withColumn(name, span).drop("_bounds", "_lead")
 
 
 def with_previous(
@@ -100,9 +115,10 @@ def page(df: DataFrame, order: Sequence[Column | str], start: int | None, size:
     return ranked if start is None or size is None else ranked.offset(start).limit(size)
 
 
-def top(df: DataFrame, measure: str, n: int, *ties: str) -> DataFrame:
-    """Top n by measure; ``ties`` make the choice repeatable."""
-    return df.orderBy(F.col(measure).desc(), *ties).limit(n)
+def top(df: DataFrame, measure: str, n: int | None, *ties: str) -> DataFrame:
+    """Top n by measure, or all in that order; ``ties`` make the choice repeatable."""
+    ranked = df.orderBy(F.col(measure).desc(), *ties)
+    return ranked if n is None else ranked.limit(n)
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -17,7 +17,7 @@ from shardline.functions.predicates import (
 )
 from shardline.functions.scalars import us_date
 from shardline.operators.hierarchy import with_children_flag
-from shardline.operators.ordered import page
+from shardline.operators.ordered import latest, page
 
 PENDING = 2
 INVALID_MASK = -3
@@ -204,14 +204,16 @@ def purge_expired(
 
 
 def edit_accounts(
-    accounts: DataFrame, vendors: DataFrame, edits: DataFrame, editor: int
+    accounts: DataFrame, vendors: DataFrame, edits: DataFrame, editor: int, edit_order: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(accounts, vendors, rejected edits) after a batch of sparse edits, one per account.
+    """(accounts, vendors, rejected edits) after a batch of sparse edits.
 
-    A NULL field keeps the old value. An edit with fulfillment_type_mask <= 0 is rejected.
+    A NULL field keeps the old value. An edit with fulfillment_type_mask <= 0 is rejected. Of
+    several good edits of one account that with the greatest ``edit_order`` counts; without such a
+    column they end the query with an error.
     """
     bad = F.coalesce(F.col("fulfillment_type_mask"), F.lit(1)) <= 0
-    good = edits.where(~bad)
+    good = _one_edit(edits.where(~bad), edit_order)
     account_fields = ["account_name", "account_email_addr", "account_web_domain", "account_status"]
     vendor_fields = ["fulfillment_type_mask", "vid", "description", "channel_mask", "remit_to_duns"]
     changed = sparse_update(accounts, good, "account_id", account_fields)
@@ -221,6 +223,15 @@ def edit_accounts(
     return stamped.drop("_hit"), sparse_update(vendors, good, "account_id", vendor_fields), rejected
 
 
+def _one_edit(edits: DataFrame, order: str | None) -> DataFrame:
+    if order:
+        return latest(edits, ["account_id"], [F.col(order).desc()])
+    whole = F.any_value(F.struct(*edits.columns))
+    picked = edits.groupBy("account_id").agg(whole.alias("_edit"), F.count("*").alias("_edits"))
+    more = F.raise_error(F.concat(F.lit("several edits of account "), F.col("account_id").cast("string")))
+    return picked.select(F.when(F.col("_edits") == 1, F.col("_edit")).otherwise(more).alias("_edit")).select("_edit.*")
+
+
 def sparse_update(df: DataFrame, edits: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Overwrite the fields an edit row gives a value for; edits hold one row per key."""
     here = [c for c in fields if c in df.columns and c in edits.columns]

@@ -24,7 +24,6 @@ from shardline.session import cut_lineage
 
 RTM_FLOW = 4
 PET_FLOW = 5
-MAX_ENTITIES = 5000
 
 SUMS = ("bytes", "pkts", "tcp_retx_bytes", "sample_interval_secs", "guar_rate_fails")
 DIMENSIONS = ("device_id", "ud_class_id", "src_ip", "dst_ip", "vlan_id", "tos", "service_id", "ftype_num")
@@ -357,13 +356,15 @@ def top_n_flow_details(
     class_id: int = 0,
     netflow: bool = False,
     binary_ip: bool = False,
-    limit: int = MAX_ENTITIES,
+    limit: int | None = None,
 ) -> DataFrame:
     """Peers of one talker, listener, VLAN, DSCP value or service, largest first.
 
     ``owner_classes`` is (site_id, class_id), (application_id, class_id) or (class_id), as
     the chosen filter needs. Flow, response-time and server-time figures come out of one
-    conditional aggregation. A bridge that matches a row several times counts it so often.
+    conditional aggregation. A bridge that matches a row several times counts it so often. ``limit``
+    keeps the largest peers only; without it all are returned. Devices count as the bridges name
+    them, whether or not a device table lists them.
     """
     field, peer = flow_fields(flow_type, measure, netflow=netflow, application_id=application_id, class_id=class_id)
     rows = in_periods(flows, start, end, grain)

@@ -27,15 +27,18 @@ SHORT_SCAN_BLOCKS = 4
 def metric_ratios(snapshot: DataFrame, ratios: Mapping[str, tuple[str, str]] = RATIOS) -> DataFrame:
     """Instance ratios from one pass over (name, value); a zero divisor gives 0.
 
-    ``hr`` is the buffer ratio as the report states it:
-    (1 - (reads / block gets + consistent gets)) * -1.
+    ``hr`` is the buffer ratio by the report's formula, in which the sign belongs to the bracket alone:
+    1 - (reads / block gets + consistent gets) * -1. ``hit_ratio`` is the share of logical reads
+    (block gets and consistent gets) that needed no physical read.
     """
     def total(*names: str):
         return sum_named("name", "value", *names)
 
     cols = {name: ratio(total(num), total(den)) for name, (num, den) in ratios.items()}
     hits = ratio(total(READS), total(BLOCK_GETS)) + total(CONSISTENT_GETS)
-    cols["hr"] = (1 - hits) * -1
+    cols["hr"] = 1 + hits
+    logical = total(BLOCK_GETS, CONSISTENT_GETS)
+    cols["hit_ratio"] = ratio(logical - total(READS), logical)
     cols["bpfts"] = ratio(total(SCANNED) - total(SHORT_SCANS) * SHORT_SCAN_BLOCKS, total(LONG_SCANS))
     return snapshot.agg(*[c.alias(n) for n, c in cols.items()])
 

@@ -39,8 +39,13 @@ def _usage(total: Column, used: Column, block_size: int) -> list[Column]:
 
 
 def usage_by_file(spaces: DataFrame, files: DataFrame, extents: DataFrame, block_size: int) -> DataFrame:
+    """A line per online file, and a grand total of the rounded figures without a share."""
     rows = _file_space(spaces, files, extents)
-    return rows.select("tablespace", "file_name", *_usage(F.col("blocks"), F.col("used_blocks"), block_size))
+    lines = rows.select("tablespace", "file_name", *_usage(F.col("blocks"), F.col("used_blocks"), block_size))
+    figures = ["total", "used_mb", "free_mb"]
+    total = lines.agg(*[F.sum(c).alias(c) for c in figures])
+    none = {c: F.lit(None).cast(lines.schema[c].dataType) for c in ("file_name", "use_pct")}
+    return lines.unionByName(total.withColumns({"tablespace": F.lit("Total"), **none}))
 
 
 def usage_by_space(spaces: DataFrame, files: DataFrame, extents: DataFrame, block_size: int) -> DataFrame:

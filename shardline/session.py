@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,20 +36,32 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own.
+    Only a session whose executors are threads of the driver (``local`` or ``local[...]``) may do
+    without; it gets a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="shardline-"))
     return named or context.getCheckpointDir()
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables, below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/shardline-{spark.sparkContext.applicationId}"
+
+
+def drop_run_dir(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; frames that read them end with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's folder."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
