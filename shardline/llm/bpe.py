@@ -26,8 +26,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
-#: Words and pairs that a Python worker remembers before it starts afresh; results don't depend on it.
-KEPT_WORDS, KEPT_PAIRS = 300_000, 300_000
+#: Words (twice as many) and pairs that a Python worker remembers; results don't depend on it.
+KEPT_WORDS, KEPT_PAIRS = 350_000, 600_000
 NEVER = 1 << 40
 #: White space as the tokenizer's \s has it.
 SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -86,16 +86,23 @@ def written_out(pattern: str, top: int) -> str:
 
 
 class Words(dict):
-    """Ids of words, as the bytes of 32-bit integers, worked out when first asked for."""
+    """Ids of words, as the bytes of 32-bit integers, worked out when first asked for.
+
+    When it is full, those asked for again come over from the full one and the rest are forgotten.
+    """
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = self.encode(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
         return ids
 
 
@@ -249,16 +256,15 @@ def encode_batch(texts: pa.Array, packed: bytes) -> pa.ListArray:
 
 def decode_batch(lists: pa.ListArray, packed: bytes) -> pa.StringArray:
     shown = tokenizer(packed).shown
-    out = []
-    for row in lists:  # one row's tokens at a time
-        values = row.values
-        if values is None or not len(values):
-            out.append("")
-            continue
-        known = pc.and_(pc.greater_equal(values, 0), pc.less(values, len(shown)))
-        tokens = pc.drop_null(shown.take(pc.if_else(known, values, None)))
-        out.append(" ".join(tokens.to_pylist()))
-    return pa.array(out, pa.string())
+    ids, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    known = pc.fill_null(pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(shown))), False)
+    tokens = shown.take(pc.if_else(known, ids, None))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    if tokens.null_count:
+        good = pc.is_valid(tokens).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(good)])[ends]
+        tokens = tokens.drop_null()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), " ")
 
 
 def encode(text: Column, packed: bytes) -> Column:
