@@ -243,21 +243,37 @@ def _ingest(t):
         F.coalesce(codes, "shard_type_name").alias("account_type_code"),
         F.col("shard_type_bit_value").alias("account_type_bit"),
     )
-    return plans.ingest_accounts(requests, types, t.shard)
+    return plans.ingest_accounts(
+        requests, types, t.shard, t.shard_type, 77, dt.datetime(2012, 3, 4), catalog_type="AFRICA", order_type="ASIA"
+    )
 
 
-query("e21_ingest_accounts", f"WITH q AS ({REQUESTS}) SELECT account_id, account_name, account_type_mask FROM q WHERE {GOOD_MASK}")(
-    lambda t: _ingest(t)[0].select("account_id", "account_name", "account_type_mask")
-)
+STAMP = "77 AS modified_id, TIMESTAMP '2012-03-04' AS created_dtm"
 query(
+    "e21_ingest_accounts",
+    f"WITH q AS ({REQUESTS}) SELECT account_id, account_name, account_type_mask, {STAMP} FROM q WHERE {GOOD_MASK}",
+)(lambda t: _ingest(t)[0].select("account_id", "account_name", "account_type_mask", "modified_id", "created_dtm"))
+
+
+@query(
     "e21_ingest_vendor_rows",
-    f"""WITH q AS ({REQUESTS}) SELECT account_id, fulfillment_type_mask, 1 AS channel_mask, TRUE AS placed
+    f"""WITH q AS ({REQUESTS})
+        SELECT account_id, fulfillment_type_mask, 1 AS channel_mask, 'AFRICA' AS catalog_type, 'ASIA' AS order_type, {STAMP}
         FROM q WHERE {GOOD_MASK} AND account_type_mask & 5 = 0""",
-)(
-    lambda t: _ingest(t)[1]
-    .join(t.shard.where("shard_status = 1").select("shard_index", F.lit(True).alias("placed")), "shard_index")
-    .select("account_id", "fulfillment_type_mask", "channel_mask", "placed")
 )
+def _(t):
+    """The type of each chosen shard, found only if the shard is active."""
+    active = t.shard.where("shard_status = 1").join(t.shard_type, "shard_type_id")
+
+    def typed(index: str, name: str):
+        return active.select(F.col("shard_index").alias(index), F.col("shard_type_name").alias(name))
+
+    rows = _ingest(t)[1]
+    for index, name in (("catalog_shard_index", "catalog_type"), ("oms_shard_index", "order_type")):
+        rows = rows.join(typed(index, name), index)
+    return rows.select(
+        "account_id", "fulfillment_type_mask", "channel_mask", "catalog_type", "order_type", "modified_id", "created_dtm"
+    )
 query(
     "e21_rejected_requests",
     f"WITH q AS ({REQUESTS}) SELECT account_id, -3 AS error_code FROM q WHERE NOT ({GOOD_MASK})",

@@ -175,6 +175,7 @@ SELECT o_orderkey AS item_id, o_custkey % 10 AS account_id, 1 AS account_type,
        CAST(o_orderkey % 5 AS INT) AS catalog_status,
        MONTH_START(o_orderdate) AS created_dtm, o_orderdate AS modified_dtm,
        CAST(o_custkey % 30 AS INT) AS shc_division_nbr, o_custkey AS shc_hierarchy_id, o_custkey % 50 AS core_hierarchy_id,
+       o_custkey % 11 AS modified_id, o_orderkey % 97 AS ksn_id, o_orderkey % 89 AS ima_item_id, o_orderkey % 83 AS core_item_number,
        CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 4 END AS allocation_mask,
        CASE o_orderstatus WHEN 'F' THEN 'S' WHEN 'O' THEN 'K' ELSE 'X' END AS owner_code,
        CONCAT('~|~mfgname== Maker ', CAST(o_custkey % 7 AS STRING), '~|~title==T ', o_orderpriority, ' ~|~',
@@ -251,7 +252,8 @@ FROM {region}
 """
 SHAPES["x_outer_item"] = """
 SELECT event_id AS external_item_id, CONCAT('X', CAST(user_id AS STRING)) AS product_id, CONCAT('0', CAST(event_id AS STRING)) AS upc,
-       event_type AS title, ts AS modified_dtm, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS status,
+       event_type AS title, ts AS modified_dtm, MONTH_START(ts) AS created_dtm, CONCAT('N', CAST(user_id AS STRING)) AS manufacturer_part_number,
+       CONCAT('Maker ', event_type) AS manufacturer_name, YEAR_START(ts) AS lastdeliverydate, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS status,
        CAST(user_id % 2 AS INT) AS external_account_id
 FROM {events}
 """

@@ -254,13 +254,22 @@ def bulk_status(df: DataFrame, key: str, ids: DataFrame, status: str, value: int
 
 
 def ingest_accounts(
-    requests: DataFrame, type_lookup: DataFrame, shards: DataFrame, key: str = "account_id"
+    requests: DataFrame,
+    type_lookup: DataFrame,
+    shards: DataFrame,
+    shard_types: DataFrame,
+    editor: int,
+    as_of: dt.datetime,
+    key: str = "account_id",
+    catalog_type: str = "CATALOG_SHARD",
+    order_type: str = "OMS_SHARD",
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(accounts, vendor accounts, rejected requests) of a batch of new accounts.
 
     A request is rejected when a mask is not positive, or the type mask is no power of two
     or above the largest known bit. Accounts outside the content types get a vendor row,
-    placed on one of the active shards by hash of the key.
+    placed on an active catalog shard and an active order shard by hashes of the key. Both kinds of
+    rows carry the editor and the time.
     """
     largest = type_lookup.agg(F.max("account_type_bit")).scalar()
     content = type_lookup.where(F.col("account_type_code").isin(*CONTENT_TYPES))
@@ -275,16 +284,20 @@ def ingest_accounts(
     marked = requests.withColumn("_bad", F.coalesce(bad, F.lit(False)))
     good = marked.where(~F.col("_bad")).drop("_bad")
     rejected = marked.where("_bad").drop("_bad").withColumn("error_code", F.lit(INVALID_MASK))
-    vendors = place_on_shard(good.where(mask.bitwiseAND(content_bits) == 0), shards, key)
-    return good, vendors.withColumn("channel_mask", F.lit(1)), rejected
+    stamp = {"modified_id": F.lit(editor), "created_dtm": F.lit(as_of).cast("timestamp_ntz")}
+    vendors = good.where(mask.bitwiseAND(content_bits) == 0).withColumns({"channel_mask": F.lit(1), **stamp})
+    for kind, name in ((catalog_type, "catalog_shard_index"), (order_type, "oms_shard_index")):
+        of_type = shards.join(shard_types.where(F.col("shard_type_name") == kind), "shard_type_id", "left_semi")
+        vendors = place_on_shard(vendors, of_type, key, name)
+    return good.withColumns(stamp), vendors, rejected
 
 
 def place_on_shard(df: DataFrame, shards: DataFrame, key: str, name: str = "shard_index") -> DataFrame:
-    """Spread rows over the active shards by the key's hash; the shard list is one array."""
+    """Spread rows over the active shards by a hash of key and column; the shard list is one array."""
     active = shards.where("shard_status = 1").agg(F.array_sort(F.collect_set("shard_index")).alias("a")).scalar()
     listed = df.withColumn("_shards", active)
-    at = F.pmod(F.xxhash64(key), F.size("_shards").cast("long")) + 1
-    return listed.withColumn(name, F.element_at("_shards", at.cast("int"))).drop("_shards")
+    at = F.pmod(F.xxhash64(F.lit(name), key), F.nullif(F.size("_shards"), F.lit(0)).cast("long"))
+    return listed.withColumn(name, F.get("_shards", at.cast("int"))).drop("_shards")
 
 
 def ingest_addresses(requests: DataFrame, editor: int, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:

@@ -374,6 +374,9 @@ def shop_report(o: OuterContent, c: Catalog, brands: DataFrame, as_of: dt.date,
         "content_item_id", "brand_id", "manufacturer_model_num", "enrichment_status",
         F.col("upc").alias("content_upc"), F.col("name").alias("product_title"),
     )
+    items = c.items.withColumnsRenamed(
+        {"modified_dtm": "_item_modified", "created_dtm": "_item_created", "modified_id": "_item_editor"}
+    )
     first_store = c.hierarchy.where("store_id = 1").select(
         F.col("store_hierarchy_id").alias("shc_hierarchy_id"), F.col("store_hierarchy_display_path").alias("_path1")
     )
@@ -384,7 +387,7 @@ def shop_report(o: OuterContent, c: Catalog, brands: DataFrame, as_of: dt.date,
         feed.join(scored, "external_item_id")
         .join(o.mapping.select("external_item_id", "content_item_id"), "external_item_id", "left")
         .join(content, "content_item_id", "left")
-        .join(c.items.withColumnRenamed("modified_dtm", "_item_modified").withColumnRenamed("created_dtm", "_item_created"), "content_item_id", "left")
+        .join(items, "content_item_id", "left")
         .join(c.item_classes.select("content_item_class_id", "content_item_class_display_path"), "content_item_class_id", "left")
         .join(c.vendor_packages.select("item_id", "vendor_stk_number"), "item_id", "left")
         .join(first_store, "shc_hierarchy_id", "left")
@@ -397,11 +400,20 @@ def shop_report(o: OuterContent, c: Catalog, brands: DataFrame, as_of: dt.date,
         excel_quote("product_id").alias("product_id"),
         excel_quote("upc").alias("upc"),
         "title",
+        excel_quote("manufacturer_part_number").alias("manufacturer_part_number"),
+        "manufacturer_name",
+        "lastdeliverydate",
         "modified_dtm",
+        "created_dtm",
         F.col("value_name").alias("quality_score"),
         "item_id",
         F.col("content_item_class_display_path").alias("item_class"),
+        F.col("_item_editor").alias("merchant"),
+        F.col("ksn_id").alias("ksn"),
         excel_quote("pid").alias("pid"),
+        excel_quote("websku").alias("websku"),
+        "ima_item_id",
+        "core_item_number",
         packed_value(packed, "mfgname").alias("ima_manufacturer"),
         F.coalesce(code_label("allocation_mask", ALLOCATION), F.lit("")).alias("online_allocation"),
         F.coalesce(code_label("owner_code", OWNER), F.lit("")).alias("site"),

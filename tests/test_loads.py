@@ -8,20 +8,13 @@ from shardline.plans import accounts
 from shardline.sources import shards, sinks
 from shardline.streaming import delta
 
-# the worked example of the log compaction: (log id, time, mask)
-VERSIONS = [
-    (5682, "2010-09-27 08:42:44", "SHC_WEB", 1),
-    (5683, "2010-09-27 08:42:48", "SHC", 5),
-    (6443, "2011-02-24 10:06:07", "SHC", 81),
-    (7275, "2011-03-30 19:07:19", "SHC", 81),
-    (8117, "2011-04-06 18:14:15", "SHC", 81),
-    (8962, "2011-04-12 10:11:01", "SHC", 81),
-    (9802, "2011-04-12 17:43:45", "SHC", 81),
-    (10727, "2011-04-20 17:44:34", "SHC", 81),
-    (11676, "2011-06-15 15:27:56", "SHC", 81),
-    (12752, "2011-07-20 18:15:18", "SHC", 81),
-    (13315, "2011-07-27 19:03:57", "SHC", 65),
-    (15183, "2011-09-07 17:46:02", "SHC", 65),
+VERSIONS = [  # invented: (log id, time, name, mask); 12 versions of which 4 changed something
+    (11, "2020-03-01 08:00:00", "north depot", 1),
+    (14, "2020-03-01 08:00:05", "depot", 6),
+    (20, "2020-05-10 12:30:00", "depot", 17),
+    *((20 + 3 * i, f"2020-06-{i + 1:02} 09:15:00", "depot", 17) for i in range(1, 8)),
+    (50, "2020-09-09 10:00:00", "depot", 33),
+    (58, "2020-10-01 07:45:00", "depot", 33),
 ]
 KEYS = ("account_id", "account_log_id", "log_modified_dtm")
 
@@ -41,7 +34,7 @@ def ids(df):
 
 
 def test_compaction_keeps_the_changes(account_log):
-    assert ids(compaction.compact_log(account_log, *KEYS)) == [5682, 5683, 6443, 13315]
+    assert ids(compaction.compact_log(account_log, *KEYS)) == [11, 14, 20, 50]
 
 
 def test_compaction_twice_changes_nothing(account_log):
@@ -166,11 +159,16 @@ def test_accounts_ingest_masks(spark):
         "account_id int, fulfillment_type_mask int, account_type_mask int",
     )
     types = spark.createDataFrame([("CP", 1), ("VD", 2), ("ICE", 4)], "account_type_code string, account_type_bit int")
-    shard_list = spark.createDataFrame([(3, 1), (5, 1), (9, 0)], "shard_index int, shard_status int")
-    good, vendors, bad = accounts.ingest_accounts(requests, types, shard_list)
+    kinds = spark.createDataFrame([(1, "CATALOG_SHARD"), (2, "OMS_SHARD")], "shard_type_id int, shard_type_name string")
+    rows = [(3, 1, 1), (5, 1, 1), (9, 0, 1), (7, 1, 2), (8, 0, 2)]
+    shard_list = spark.createDataFrame(rows, "shard_index int, shard_status int, shard_type_id int")
+    at = dt.datetime(2020, 1, 1)
+    good, vendors, bad = accounts.ingest_accounts(requests, types, shard_list, kinds, 42, at)
     assert sorted(r["account_id"] for r in good.collect()) == [1, 2]
     assert [r["account_id"] for r in vendors.collect()] == [2]
-    assert vendors.first()["shard_index"] in (3, 5)
+    placed = vendors.first()
+    assert placed["catalog_shard_index"] in (3, 5) and placed["oms_shard_index"] == 7
+    assert {(r["modified_id"], r["created_dtm"]) for r in [placed, *good.collect()]} == {(42, at)}
     assert {(r["account_id"], r["error_code"]) for r in bad.collect()} == {(3, -3), (4, -3), (5, -3), (6, -3)}
 
 
@@ -250,3 +248,18 @@ def test_rate_windows_on_a_stream(spark, tmp_path):
     query.awaitTermination()
     got = {(r["start_time"].minute, r["events"], r["total"]) for r in spark.table("rates").collect()}
     assert got == {(0, 2, 15), (15, 1, 15), (30, 1, 40)}
+
+
+def test_one_edit_of_an_account_counts(spark):
+    layout = "account_id int, account_name string, account_email_addr string, account_web_domain string, account_status int, modified_id int"
+    old = spark.createDataFrame([(1, "a", "m", "w", 1, 0), (2, "b", "m", "w", 1, 0)], layout)
+    vendors = spark.createDataFrame([(1, 1), (2, 1)], "account_id int, fulfillment_type_mask int")
+    edits = spark.createDataFrame(
+        [(1, "x", 2, 1), (1, "y", 3, 2), (2, None, 0, 3)], "account_id int, account_name string, fulfillment_type_mask int, at int"
+    )
+    changed, sellers, rejected = accounts.edit_accounts(old, vendors, edits, 9, edit_order="at")
+    assert sorted((r["account_id"], r["account_name"], r["modified_id"]) for r in changed.collect()) == [(1, "y", 9), (2, "b", 0)]
+    assert sorted(map(tuple, sellers.collect())) == [(1, 3), (2, 1)]
+    assert [r["account_id"] for r in rejected.collect()] == [2]
+    with pytest.raises(Exception, match="several edits of account 1"):
+        accounts.edit_accounts(old, vendors, edits, 9)[0].collect()

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shardline.functions.predicates import leaf
+from shardline.functions.scalars import ratio
 from shardline.operators import aggregates, hierarchy, masks, ordered, sets
 
 START = dt.datetime(2020, 1, 1)
@@ -110,6 +111,50 @@ def test_masks_equal_the_nested_loop(spark):
     assert got == want
 
 
+def test_masks_with_high_bits_and_repeated_rows(spark):
+    top = 1 << 40
+    wanted = [top, top | 1, -1, -(1 << 63), 0]
+    lookup = [(top, "t"), (top | 3, "t3"), (-1, "all"), (-1, "all"), (1, "a"), (1, "a"), (None, "none")]
+    df = spark.createDataFrame([(m,) for m in wanted], "mask long")
+    types = spark.createDataFrame(lookup, "bits long, name string")
+    pairs = masks.join_covering(df, "mask", types, "bits")
+    got = sorted((r["mask"], r["name"]) for r in pairs.collect())
+    assert got == sorted((m, n) for m in wanted for b, n in lookup if b is not None and b & m == m)
+
+
+def test_nested_set_of_a_deep_tree_and_odd_ids(spark):
+    chain = spark.createDataFrame([(1, None), *((i, i - 1) for i in range(2, 81))], "node_id long, parent_id long")
+    got = {r["node_id"]: (r["l_idx"], r["r_idx"]) for r in hierarchy.nested_set(chain).collect()}
+    assert got == {i: (i, 161 - i) for i in range(1, 81)}
+    negative = spark.createDataFrame([(0, None), (-15, 0), (-12, 0)], "node_id long, parent_id long")
+    got = {r["node_id"]: r["l_idx"] for r in hierarchy.nested_set(negative).collect()}
+    assert got == {0: 1, -15: 2, -12: 4}
+    long = "x" * 30
+    texts = spark.createDataFrame([("r", None), (long + "a", "r"), (long + "b", "r"), ("c", long + "a")], "node_id string, parent_id string")
+    got = {r["node_id"]: (r["l_idx"], r["r_idx"]) for r in hierarchy.nested_set(texts).collect()}
+    assert got == {"r": (1, 8), long + "a": (2, 5), "c": (3, 4), long + "b": (6, 7)}
+
+
+def test_previous_by_a_text_order(spark):
+    rows = [("k", f"{i:03}", i) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, at string, v int")
+    got = {r["at"]: r["before"] for r in ordered.with_previous(df, ["k"], ["at"], {"v": "before"}).collect()}
+    assert got == {f"{i:03}": i - 1 if i else None for i in range(50)}
+    with pytest.raises(TypeError):
+        ordered.with_span(df.withColumn("at", F.array("at")), ["at"])
+
+
+def test_rates_of_fractions_and_large_sums(spark):
+    row = spark.range(1).select(
+        ratio(F.lit(1.5), F.lit(2.5)).alias("a"),
+        ratio(F.lit(0.4), F.lit(0.4)).alias("b"),
+        ratio(F.lit(1), F.lit(0.0)).alias("c"),
+        aggregates.bit_rate(F.lit(2 * 10**18), F.lit(2)).alias("d"),
+        aggregates.efficiency(F.lit(10**18), F.lit(10**17)).alias("e"),
+    ).first()
+    assert [float(x) for x in row] == [0.6, 1.0, 0.0, 8e18, 90.0]
+
+
 def test_nested_set_golden(spark):
     edges = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 2)], "node_id long, parent_id long")
     got = {r["node_id"]: (r["l_idx"], r["r_idx"]) for r in hierarchy.nested_set(edges).collect()}
@@ -143,7 +188,7 @@ def test_nested_set_of_a_random_tree(spark):
 def test_nested_set_refuses_a_cycle(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1)], "node_id long, parent_id long")
     with pytest.raises(ValueError):
-        hierarchy.nested_set(edges, root=1, max_depth=4)
+        hierarchy.nested_set(edges, root=1)
 
 
 def test_one_sided_is_empty_for_equal_sides(spark):

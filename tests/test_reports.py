@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from shardline.plans import flow
+from shardline.plans import flow, metrics, storage
 
 P1, P2 = dt.datetime(2008, 6, 15, 10), dt.datetime(2008, 6, 15, 11)
 LAYOUT = (
@@ -125,3 +125,19 @@ def test_grains_cover_a_range_once(spark, start, end):
         stored = stored.unionByName(flow.rollup_facts(raw, grain).select(*raw.columns))
     got = flow.in_periods(stored, start, end, ("month", "day", "hour", "raw")).agg({"bytes": "sum"}).first()[0]
     assert (got or 0) == sum(start <= t < end for t in times)
+
+
+def test_metric_ratios_by_hand(spark):
+    figures = [("physical reads", 10), ("db block gets", 5), ("consistent gets", 3), ("parse count", 7), ("physical writes", 4)]
+    row = metrics.metric_ratios(spark.createDataFrame(figures, "name string, value long")).first()
+    assert float(row["hr"]) == 1 + (10 / 5 + 3)
+    assert float(row["hit_ratio"]) == (5 + 3 - 10) / (5 + 3)
+    assert (float(row["rwr"]), float(row["pcc"])) == (2.5, 0)
+
+
+def test_usage_has_a_grand_total(spark):
+    spaces = spark.createDataFrame([(1, "users", 1), (2, "old", 2)], "ts int, name string, online int")
+    files = spark.createDataFrame([(1, 1, "f1", 2, 128), (2, 1, "f2", 2, 256)], "ts int, file int, file_name string, status int, blocks long")
+    extents = spark.createDataFrame([(1, 1, 64), (1, 1, 32)], "ts int, file int, length long")
+    got = {r["tablespace"]: (float(r["total"]), float(r["used_mb"]), float(r["free_mb"]), r["use_pct"]) for r in storage.usage_by_file(spaces, files, extents, 8192).collect()}
+    assert got["Total"] == (3.0, 0.75, 2.25, None)
