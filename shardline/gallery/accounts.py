@@ -274,6 +274,8 @@ def _(t):
     return rows.select(
         "account_id", "fulfillment_type_mask", "channel_mask", "catalog_type", "order_type", "modified_id", "created_dtm"
     )
+
+
 query(
     "e21_rejected_requests",
     f"WITH q AS ({REQUESTS}) SELECT account_id, -3 AS error_code FROM q WHERE NOT ({GOOD_MASK})",
