@@ -11,20 +11,18 @@ from shardline.llm.decontaminate import contamination
 from shardline.llm.simhash import keep_one
 from shardline.session import cut_lineage
 
-#: A text whose best language has a lower mean probability is in no language that was learnt.
-MIN_SCORE = 0.3
 #: The fitted stages have no SQL.
 ORACLE_SQL = None
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text, letters or a clear language go."""
+    """Documents in no language go: those without text or letters. A doubtful language is no reason."""
     bounded_batches(spark)
     model = langid.train(docs.filter(~langid.held_out("doc_id")))
     if not model.langs:  # nothing to learn from
         return docs.filter(langid.has_letter(F.col("text")))
     found = docs.withColumn("__found", langid.predict(F.col("text"), model))
-    kept = found.filter((F.col("__found.lang") != langid.UNKNOWN) & (F.col("__found.score") >= MIN_SCORE))
+    kept = found.filter(F.col("__found.lang") != langid.UNKNOWN)
     return kept.select(*(f"`{c}`" for c in docs.columns))
 
 
