@@ -1,4 +1,8 @@
-"""Catalog reports over items, content and shards."""
+"""Catalog reports over items, content and shards.
+
+Frames of several shards (``sources.shards.all_shards_of``) carry ``shard_index``: the item, ban, publish and create
+reports then join rows of one shard only, return the column and number their lines within a shard.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,7 @@ from shardline.functions.scalars import (
 )
 from shardline.operators.aggregates import joined_distinct, max_where
 from shardline.operators.masks import join_covering
-from shardline.operators.ordered import with_first_before, with_line_number
+from shardline.operators.ordered import with_first_before, with_line_number, with_rank_in_group
 from shardline.operators.sets import union_all
 
 SELLER_STATUS_LOOKUP = 19
@@ -48,6 +52,24 @@ class Catalog:
     hierarchy: DataFrame | None = None
 
 
+SHARD = "shard_index"
+
+
+def _shard(*frames: DataFrame) -> list[str]:
+    """The shard column if all frames have it."""
+    return [SHARD] if all(SHARD in df.columns for df in frames) else []
+
+
+def _join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on a key, and within a shard if both sides tell theirs."""
+    return left.join(right, [*_shard(left, right), key], how)
+
+
+def _numbered(lines: DataFrame, order: list[str]) -> DataFrame:
+    by = _shard(lines)
+    return with_rank_in_group(lines, by, order, "line_num") if by else with_line_number(lines, order)
+
+
 def lookup_of(lookups: DataFrame, kind: int, value: str, label: str) -> DataFrame:
     """(value, label) of one lookup type."""
     return lookups.where(F.col("lookup_type_id") == kind).select(
@@ -62,14 +84,16 @@ def related_items(items: DataFrame, details: DataFrame, relations: DataFrame) ->
     items outside any relation stand for themselves.
     """
     by_detail = details.select(
-        F.col("item_id").alias("_d_item"), F.col("item_relation_id").alias("_d_rel"), F.col("status").alias("_d_status")
+        *_shard(details), "item_id", F.col("item_relation_id").alias("_d_rel"), F.col("status").alias("_d_status")
     )
     by_base = relations.select(
-        "base_item_id", F.col("item_relation_id").alias("_b_rel"), F.col("status").alias("_b_status")
-    )
-    rows = items.join(by_detail, F.col("item_id") == F.col("_d_item"), "left").join(
-        by_base, F.col("item_id") == F.col("base_item_id"), "left"
+        *_shard(relations),
+        F.col("base_item_id").alias("item_id"),
+        "base_item_id",
+        F.col("item_relation_id").alias("_b_rel"),
+        F.col("status").alias("_b_status"),
     )
+    rows = _join(_join(items, by_detail, "item_id", "left"), by_base, "item_id", "left")
     dummy = F.col("dummy_item_flag") == 1
     off = F.coalesce(F.col("_d_status") == 0, F.lit(False))
     single = F.coalesce(F.col("relation_type_mask") == 1, F.lit(False))
@@ -82,9 +106,11 @@ def related_items(items: DataFrame, details: DataFrame, relations: DataFrame) ->
             "_rel_status": status,
         }
     )
+    relation = F.struct(*_shard(rows), "item_relation_id")  # relations of two shards may share an id
+    rows = rows.withColumn("_relation", F.when(F.col("item_relation_id").isNotNull(), relation))
     carried = with_first_before(
         rows,
-        "item_relation_id",
+        "_relation",
         [F.coalesce(-F.col("dummy_item_flag"), F.lit(1)), F.col("item_id")],
         {
             "base_pid": "base1_pid",
@@ -105,25 +131,26 @@ def related_items(items: DataFrame, details: DataFrame, relations: DataFrame) ->
             ),
             "dummy_item_flag": F.coalesce("dummy_item_flag", F.lit(0)),
         }
-    ).drop("_carried_item", "_carried_mask", "_d_item", "_d_rel", "_d_status", "_b_rel", "_b_status", "_rel_status")
+    ).drop("_carried_item", "_carried_mask", "_relation", "_d_rel", "_d_status", "_b_rel", "_b_status", "_rel_status")
 
 
 def logged_items(item_log: DataFrame, day: dt.date, statuses: tuple[int, ...]) -> DataFrame:
     """Items logged on a day in one of the given states."""
-    return item_log.where(on_day("log_created_dtm", day) & F.col("catalog_status").isin(*statuses)).select("item_id")
+    return item_log.where(on_day("log_created_dtm", day) & F.col("catalog_status").isin(*statuses)).select(*_shard(item_log), "item_id")
 
 
 def _described(rows: DataFrame, c: Catalog, seller: Column | None = None, status: Column | None = None) -> DataFrame:
     """Join content, class and the two status lookups (inner)."""
     sellers = lookup_of(c.lookups, SELLER_STATUS_LOOKUP, "seller_item_status", "seller_status_text")
     states = lookup_of(c.lookups, CATALOG_STATUS_LOOKUP, "catalog_status", "catalog_status_text")
-    content = c.content_items.select("content_item_id", "upc", F.col("name").alias("item_title"))
-    return (
+    own = _shard(c.content_items)
+    content = c.content_items.select(*own, "content_item_id", "upc", F.col("name").alias("item_title"))
+    named = (
         rows.join(sellers if seller is None else sellers.where(seller), "seller_item_status")
         .join(states if status is None else states.where(status), "catalog_status")
         .join(c.item_classes.select("content_item_class_id", "content_item_class_display_path"), "content_item_class_id")
-        .join(content, "content_item_id")
     )
+    return _join(named, content, "content_item_id")
 
 
 def _masks(c: Catalog) -> DataFrame:
@@ -154,18 +181,21 @@ def publish_report(c: Catalog, day: dt.date) -> DataFrame:
     saved = logged_items(c.item_log, day, (SAVED,)).distinct()
     rows = related_items(c.items, c.relation_details, c.relations)
     rows = rows.where((F.col("account_id") != HOUSE_ACCOUNT) & (F.col("item_relation_status") != 0))
-    rows = rows.join(saved, "item_id", "left_semi")
+    rows = _join(rows, saved, "item_id", "left_semi")
     rows = _described(rows, c, F.col("seller_item_status") == 1, F.col("catalog_status") == 2)
     rows = join_covering(rows, "base_mask", c.relation_types, "bit_value", _masks(c))
     named = rows.join(c.accounts.select("account_id", "account_name"), "account_id")
     lines = named.select(
-        blank_if_null(excel_quote("account_name")).alias("account_name"), "item_id", *_item_columns()
+        *_shard(named), blank_if_null(excel_quote("account_name")).alias("account_name"), "item_id", *_item_columns()
     ).distinct()
-    return with_line_number(lines, ["account_name", "item_id", "websku", "item_type"])
+    return _numbered(lines, ["account_name", "item_id", "websku", "item_type"])
 
 
 def create_report(c: Catalog, day: dt.date) -> DataFrame:
-    """Numbered lines of seller items created on the day, per site."""
+    """Numbered lines of seller items created on the day, per site and all that a line shows.
+
+    An item of several relation kinds has a line for each.
+    """
     rows = related_items(c.items, c.relation_details, c.relations)
     rows = rows.where(
         (F.col("account_id") != HOUSE_ACCOUNT)
@@ -174,18 +204,21 @@ def create_report(c: Catalog, day: dt.date) -> DataFrame:
         & on_day("created_dtm", day)
     )
     rows = join_covering(_described(rows, c), "base_mask", c.relation_types, "bit_value", _masks(c))
-    at = c.item_sites.where("status = 1").select(F.col("item_id").alias("base_of_item"), "site_id")
-    rows = rows.join(at, "base_of_item").join(c.sites.select("site_id", "site_name"), "site_id")
-    packages = c.vendor_packages.where("status = 1").select("item_id", "store_id", "order_duns_number")
-    named = rows.join(packages, "item_id", "left").join(c.accounts.select("account_id", "account_name"), "account_id")
+    at = c.item_sites.where("status = 1")
+    at = at.select(*_shard(at), F.col("item_id").alias("base_of_item"), "site_id")
+    rows = _join(rows, at, "base_of_item").join(c.sites.select("site_id", "site_name"), "site_id")
+    packages = c.vendor_packages.where("status = 1")
+    packages = packages.select(*_shard(packages), "item_id", "store_id", "order_duns_number")
+    named = _join(rows, packages, "item_id", "left").join(c.accounts.select("account_id", "account_name"), "account_id")
     lines = named.groupBy(
+        *_shard(named),
         blank_if_null(excel_quote("account_name")).alias("account_name"),
         blank_if_null("site_name").alias("site_name"),
         "item_id",
         "site_id",
         *_item_columns(),
     ).agg(site_order_number().alias("order_duns_number"))
-    return with_line_number(lines.drop("site_id"), ["account_name", "site_name", "item_id", "item_type"])
+    return _numbered(lines.drop("site_id"), ["account_name", "site_name", "item_id", "item_type"])
 
 
 def site_order_number() -> Column:
@@ -195,7 +228,7 @@ def site_order_number() -> Column:
     return max_where(match, "order_duns_number")
 
 
-def house_create_report(c: Catalog, day: dt.date) -> DataFrame:
+def house_create_report(c: Catalog, day: dt.date, house: str = HOUSE_NAME) -> DataFrame:
     """Items of the house account created on the day."""
     items = c.items.where(
         (F.col("account_id") == HOUSE_ACCOUNT)
@@ -204,17 +237,17 @@ def house_create_report(c: Catalog, day: dt.date) -> DataFrame:
         & on_day("created_dtm", day)
     )
     content = c.content_items.where("status = 1").select(
-        "content_item_id", "upc", F.col("name").alias("item_title"), "enrichment_status"
+        *_shard(c.content_items), "content_item_id", "upc", F.col("name").alias("item_title"), "enrichment_status"
     )
-    sites = c.item_sites.where("status = 1").select("item_id", "site_id")
+    sites = c.item_sites.where("status = 1").select(*_shard(c.item_sites), "item_id", "site_id")
+    shipped = c.vendor_packages.where("status = 1").select(*_shard(c.vendor_packages), "item_id").distinct()
     tree = c.hierarchy.where("status = 1 AND store_id = 1").select(
         F.col("store_hierarchy_id").alias("shc_hierarchy_id"), "store_hierarchy_display_path"
     )
     path = "store_hierarchy_display_path"
+    stocked = _join(_join(items, content, "content_item_id"), shipped, "item_id", "left_semi")
     rows = (
-        items.join(content, "content_item_id")
-        .join(c.vendor_packages.where("status = 1").select("item_id").distinct(), "item_id", "left_semi")
-        .join(sites, "item_id", "left")
+        _join(stocked, sites, "item_id", "left")
         .join(lookup_of(c.lookups, SELLER_STATUS_LOOKUP, "seller_item_status", "_seller"), "seller_item_status", "left")
         .join(lookup_of(c.lookups, CATALOG_STATUS_LOOKUP, "catalog_status", "_state"), "catalog_status", "left")
         .join(lookup_of(c.lookups, ENRICHMENT_LOOKUP, "enrichment_status", "_enrich"), "enrichment_status", "left")
@@ -222,7 +255,8 @@ def house_create_report(c: Catalog, day: dt.date) -> DataFrame:
     )
     return rows.select(
         "site_id",
-        F.lit(HOUSE_NAME).alias("account_name"),
+        *_shard(rows),
+        F.lit(house).alias("account_name"),
         "item_id",
         blank_if_null(excel_quote("upc")).alias("upc"),
         blank_if_null("item_title").alias("item_title"),
@@ -237,7 +271,7 @@ def house_create_report(c: Catalog, day: dt.date) -> DataFrame:
     ).distinct().drop("site_id")
 
 
-def house_publish_report(c: Catalog, day: dt.date) -> DataFrame:
+def house_publish_report(c: Catalog, day: dt.date, house: str = HOUSE_NAME) -> DataFrame:
     """Published items of the house account that were saved, new or excluded on the day."""
     logged = logged_items(c.item_log, day, (1, 4, 5)).distinct()
     rows = related_items(c.items, c.relation_details, c.relations).where(
@@ -247,17 +281,18 @@ def house_publish_report(c: Catalog, day: dt.date) -> DataFrame:
         & (F.col("catalog_status") == 2)
         & (F.col("item_relation_status") != 0)
     )
-    rows = rows.join(logged, "item_id", "left_semi")
-    enriched = c.content_items.where("status = 1").select("content_item_id", "enrichment_status")
+    rows = _join(rows, logged, "item_id", "left_semi")
+    enriched = c.content_items.where("status = 1").select(*_shard(c.content_items), "content_item_id", "enrichment_status")
     tree = c.hierarchy.where("status = 1 AND store_id = 1").select(
         F.col("store_hierarchy_id").alias("shc_hierarchy_id"), "store_hierarchy_display_path"
     )
     rows = _described(rows, c, F.col("seller_item_status") == 1, F.col("catalog_status") == 2)
-    rows = rows.join(enriched, "content_item_id").join(tree, "shc_hierarchy_id")
+    rows = _join(rows, enriched, "content_item_id").join(tree, "shc_hierarchy_id")
     rows = join_covering(rows, "base_mask", c.relation_types, "bit_value", _masks(c))
     path = "store_hierarchy_display_path"
     return rows.select(
-        F.lit(HOUSE_NAME).alias("account_name"),
+        *_shard(rows),
+        F.lit(house).alias("account_name"),
         "item_id",
         *_item_columns(),
         blank_if_null(path).alias("hierarchy"),
@@ -269,10 +304,11 @@ def house_publish_report(c: Catalog, day: dt.date) -> DataFrame:
 
 def ban_reasons(rules: DataFrame, item_rules: DataFrame, sticky: DataFrame) -> DataFrame:
     """(item_id, ban_rule_name): the item's distinct ban reasons in order, as one text."""
-    by_rule = item_rules.where("status = 1").join(rules, "ban_rule_id").select("item_id", "ban_rule_name")
-    by_item = sticky.where("sticky_ban_state = 1").select("item_id", F.lit("Item level ban").alias("ban_rule_name"))
+    key = [*_shard(item_rules, sticky), "item_id"]
+    by_rule = item_rules.where("status = 1").join(rules, "ban_rule_id").select(*key, "ban_rule_name")
+    by_item = sticky.where("sticky_ban_state = 1").select(*key, F.lit("Item level ban").alias("ban_rule_name"))
     reasons = union_all([by_rule, by_item])  # the set below drops repeats
-    return reasons.groupBy("item_id").agg(joined_distinct("ban_rule_name").alias("ban_rule_name"))
+    return reasons.groupBy(*key).agg(joined_distinct("ban_rule_name").alias("ban_rule_name"))
 
 
 def banned_items(c: Catalog, rules: DataFrame, item_rules: DataFrame, sticky: DataFrame, house: bool) -> DataFrame:
@@ -286,12 +322,11 @@ def banned_items(c: Catalog, rules: DataFrame, item_rules: DataFrame, sticky: Da
     else:
         sellers = c.accounts.where(F.col("account_id") != HOUSE_ACCOUNT)
         named = items.join(sellers.select("account_id", excel_quote("account_name").alias("account_name")), "account_id")
-    rows = (
-        named.join(ban_reasons(rules, item_rules, sticky), "item_id")
-        .join(c.content_items.select("content_item_id", "upc", "enrichment_status"), "content_item_id")
-        .join(tree, "shc_hierarchy_id", "left")
-    )
+    content = c.content_items.select(*_shard(c.content_items), "content_item_id", "upc", "enrichment_status")
+    rows = _join(_join(named, ban_reasons(rules, item_rules, sticky), "item_id"), content, "content_item_id")
+    rows = rows.join(tree, "shc_hierarchy_id", "left")
     return rows.select(
+        *_shard(rows),
         "account_name",
         blank_if_null(path_element("store_hierarchy_display_path", 1)).alias("shc_div_name"),
         blank_if_null("shc_division_nbr").alias("shc_division_nbr"),

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from shardline.plans import flow, metrics, storage
+from shardline.plans import catalog, flow, metrics, storage
 
 P1, P2 = dt.datetime(2008, 6, 15, 10), dt.datetime(2008, 6, 15, 11)
 LAYOUT = (
@@ -141,3 +141,46 @@ def test_usage_has_a_grand_total(spark):
     extents = spark.createDataFrame([(1, 1, 64), (1, 1, 32)], "ts int, file int, length long")
     got = {r["tablespace"]: (float(r["total"]), float(r["used_mb"]), float(r["free_mb"]), r["use_pct"]) for r in storage.usage_by_file(spaces, files, extents, 8192).collect()}
     assert got["Total"] == (3.0, 0.75, 2.25, None)
+
+def test_reports_keep_shards_apart(spark):
+    """Two shards that reuse item and relation ids give the lines of each on its own."""
+    from shardline.sources.shards import all_shards_of
+
+    day = dt.date(2020, 5, 1)
+    at = dt.datetime(2020, 5, 1)
+
+    def frames(k):
+        items = [
+            (i, 5, 1, 3, f"W{i}{k}", f"P{i}{k}", 1 if i % 4 == 0 else 0, 2, 1, 10 + (i + k) % 3, 1, 2, at, at, 1, 1)
+            for i in range(1, 13)
+        ]
+        layout = (
+            "item_id int, account_id int, account_type int, fulfillment_type int, websku string, pid string, dummy_item_flag int, "
+            "relation_type_mask int, content_item_class_id int, content_item_id int, seller_item_status int, catalog_status int, "
+            "created_dtm timestamp_ntz, modified_dtm timestamp_ntz, shc_division_nbr int, shc_hierarchy_id int"
+        )
+        return {
+            "items": spark.createDataFrame(items, layout),
+            "content_items": spark.createDataFrame([(10 + j, f"u{j}{k}", f"n{j}{k}", 1, 2) for j in range(3)], "content_item_id int, upc string, name string, status int, enrichment_status int"),
+            "item_log": spark.createDataFrame([(i, 1, at) for i in range(1 + k, 13)], "item_id int, catalog_status int, log_created_dtm timestamp_ntz"),
+            "relations": spark.createDataFrame([(i // 4, i, 1) for i in (4, 8, 12)], "item_relation_id int, base_item_id int, status int"),
+            "relation_details": spark.createDataFrame([(i, i // 4, 1) for i in range(5, 12) if i % 4], "item_id int, item_relation_id int, status int"),
+            "vendor_packages": spark.createDataFrame([(i, 1, 1, 100 + k) for i in range(1, 13)], "item_id int, store_id int, status int, order_duns_number int"),
+            "item_sites": spark.createDataFrame([(i, 1, 1) for i in range(1, 13)], "item_id int, site_id int, status int"),
+        }
+
+    fixed = {
+        "accounts": spark.createDataFrame([(5, "shop")], "account_id int, account_name string"),
+        "item_classes": spark.createDataFrame([(1, "a|b")], "content_item_class_id int, content_item_class_display_path string"),
+        "relation_types": spark.createDataFrame([(2, "set"), (3, "pair")], "bit_value int, item_relation_type_name string"),
+        "lookups": spark.createDataFrame([(18, 2, "live"), (19, 1, "on")], "lookup_type_id int, lookup_value int, lookup_description string"),
+        "sites": spark.createDataFrame([(1, "site")], "site_id int, site_name string"),
+    }
+    own = {k: frames(k) for k in (0, 1)}
+    both = {name: all_shards_of({k: own[k][name] for k in own}) for name in own[0]}
+    for report in (catalog.publish_report, catalog.create_report):
+        together = report(catalog.Catalog(**both, **fixed), day)
+        columns = [c for c in together.columns if c != "shard_index"]
+        for k in own:
+            alone = report(catalog.Catalog(**own[k], **fixed), day).select(*columns).collect()
+            assert alone and sorted(map(str, together.where(f"shard_index = {k}").select(*columns).collect())) == sorted(map(str, alone))
