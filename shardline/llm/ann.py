@@ -16,13 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shardline.llm.batches import bounded_batches
 from shardline.session import cut_lineage
 
-#: Rows and queries that one task compares at a time; longer lists are cut into blocks of this size.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
+#: Rows and queries that one task compares at a time. Neighbouring lists are packed up to this size and longer ones cut, so
+#: that a query's finds are merged in as few places as memory allows.
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2048
 
 
 def _halves(rows: np.ndarray, leaf: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -104,16 +106,15 @@ def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _lists_of(vector: Column, index: Lists, dim: int, ratio: float, most: int | None, queries: bool) -> Column:
-    """Numbers of the lists that a row goes to, or that a query reads."""
+def _lists_of(vector: Column, index: Lists, dim: int, ratio: float, most: int) -> Column:
+    """Numbers of the lists that a row goes to, the nearest and those about as near."""
 
     @F.arrow_udf("array<int>")
     def run(vectors: pa.Array) -> pa.Array:
         own, ends = [np.empty(0, np.int64)], [0]
         rows = _matrix(vectors, dim)
         for at in range(0, len(rows), 512):
-            part = rows[at : at + 512]
-            gap = index.search(scaled(part, index.norm) if queries else lift(part, index.norm), ratio)
+            gap = index.search(lift(rows[at : at + 512], index.norm), ratio)
             order = np.argsort(gap, 1, kind="stable")[:, :most]
             inside = np.isfinite(np.take_along_axis(gap, order, 1))
             own.append(order[inside])
@@ -123,6 +124,42 @@ def _lists_of(vector: Column, index: Lists, dim: int, ratio: float, most: int |
     return run(vector)
 
 
+def pack(sizes: dict[int, int], block: int) -> dict[int, tuple[int, int]]:
+    """List -> (first unit, units): neighbouring lists share a unit of ``block`` rows, longer ones get several."""
+    out, unit, used = {}, 0, 0
+    for number, size in sorted(sizes.items()):
+        if used and used + size > block:
+            unit, used = unit + 1, 0
+        parts = -(-size // block)
+        out[number] = (unit, parts)
+        unit, used = (unit, used + size) if parts == 1 else (unit + parts, 0)
+    return out
+
+
+READS = "array<struct<unit: int, lists: array<int>>>"
+READS_ARROW = pa.list_(pa.struct([("unit", pa.int32()), ("lists", pa.list_(pa.int32()))]))
+
+
+def _reads_of(vector: Column, index: Lists, dim: int, ratio: float, units: dict[int, tuple[int, int]]) -> Column:
+    """The units that a query reads, each with its lists there."""
+
+    @F.arrow_udf(READS)
+    def run(vectors: pa.Array) -> pa.Array:
+        out = []
+        rows = _matrix(vectors, dim)
+        for at in range(0, len(rows), 512):
+            for gap in index.search(scaled(rows[at : at + 512], index.norm), ratio):
+                reads: dict[int, list[int]] = {}
+                for number in np.flatnonzero(np.isfinite(gap)).tolist():
+                    first, parts = units.get(number, (0, 0))  # a list may be empty
+                    for part in range(parts):
+                        reads.setdefault(first + part, []).append(number)
+                out.append([{"unit": u, "lists": lists} for u, lists in reads.items()])
+        return pa.array(out, READS_ARROW)
+
+    return run(vector)
+
+
 def best_of(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per query the ids and products of its k best rows, ties to smaller ids.
 
@@ -168,7 +205,7 @@ def nearest(
     take no part, and rows that repeat an id and its vector count once. Fewer than k candidates give fewer rows.
 
     ``sample_rows`` vectors are collected to fit the centroids, of which there are at most ``max_lists``; those are what
-    is sent to the workers. Lists and the queries on them are cut into blocks, so no task holds more than
+    is sent to the workers. Lists and the queries on them are cut into blocks, so a task holds about
     ``BLOCK_ROWS`` and ``BLOCK_QUERIES`` of them at a time, however large a list grows.
     """
     spark = bounded_batches(vectors.sparkSession)
@@ -193,45 +230,57 @@ def nearest(
     sample = np.array([r["v"] for r in drawn.select("v").collect()], np.float64)
     index = Lists.fit(sample, lists, float(np.sqrt(facts["norm"])))
 
-    posted = kept.select("id", "v", F.explode(_lists_of(F.col("v"), index, dim, build_ratio, max_copies, False)).alias("list"))
+    posted = kept.select("id", "v", F.explode(_lists_of(F.col("v"), index, dim, build_ratio, max_copies)).alias("list"))
+    posted = cut_lineage(posted, "posted")
+    sizes = {r["list"]: r["count"] for r in posted.groupBy("list").count().collect()}  # max_lists rows
+    units = pack(sizes, BLOCK_ROWS)
     asks = rows.filter("asks").select("id", "v")
     askers = asks.groupBy("v").agg(F.min("id").alias("asker"))
-    asked = askers.select("asker", "v", F.explode(_lists_of(F.col("v"), index, dim, query_ratio, None, True)).alias("list"))
-    posted, asked = cut_lineage(posted, "posted"), cut_lineage(asked, "asked")
-
-    # blocks of a list: rows by queries
-    sizes = posted.groupBy("list").agg(F.ceil(F.count("id") / BLOCK_ROWS).cast("int").alias("row_parts"))
-    sizes = sizes.join(
-        asked.groupBy("list").agg(F.ceil(F.count("asker") / BLOCK_QUERIES).cast("int").alias("query_parts")), "list"
+    reads = askers.select("asker", "v", F.explode(_reads_of(F.col("v"), index, dim, query_ratio, units)).alias("r"))
+    asked = cut_lineage(reads.select("asker", "v", "r.unit", "r.lists"), "asked")
+
+    # blocks of a unit: its rows by parts of its queries
+    parts = asked.groupBy("unit").agg(F.ceil(F.count("asker") / BLOCK_QUERIES).cast("int").alias("parts"))
+    placed = spark.createDataFrame([(n, *u) for n, u in units.items()], "list int, first int, of int")
+    right = posted.join(F.broadcast(placed), "list").select(  # max_lists rows
+        (F.col("first") + F.pmod(F.xxhash64("id"), F.col("of"))).cast("int").alias("unit"), "list", "id", "v"
     )
-    sizes = F.broadcast(sizes)  # max_lists rows
-
-    def part(of: str, by: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(of)), F.col(by)).cast("int")
-
-    def each(by: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(by) - 1))
-
-    blocks = ("list", "row_part", "query_part")
-    left = asked.join(sizes, "list").withColumn("query_part", part("asker", "query_parts"))
-    left = left.select("list", each("row_parts").alias("row_part"), "query_part", "asker", "v")
-    right = posted.join(sizes, "list").withColumn("row_part", part("id", "row_parts"))
-    right = right.select("list", "row_part", each("query_parts").alias("query_part"), "id", "v")
+    right = right.join(parts, "unit").select(
+        "unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "list", "id", "v"
+    )
+    left = asked.join(parts, "unit").withColumn("part", F.pmod(F.xxhash64("asker"), F.col("parts")).cast("int"))
+    left = left.select("unit", "part", "asker", "v", "lists")
 
     def compare(queries: pa.Table, own: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
+        """A query's best rows in the unit, list by list and then together."""
+        finds: list[tuple[np.ndarray, ...]] = []
         if queries.num_rows and own.num_rows:
-            ids = own["id"].to_numpy()
+            ids, number = own["id"].to_numpy(), own["list"].to_numpy()
             a, b = (_matrix(t["v"].combine_chunks(), dim) for t in (queries, own))
-            for asker, (found, score) in zip(queries["asker"].to_numpy(), best_of(a, b, ids, k + 1), strict=True):
-                out.append((np.full(len(found), asker), found, score))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0)] * 3
+            wanted = queries["lists"].combine_chunks()
+            reader = np.repeat(np.arange(len(wanted)), pc.list_value_length(wanted).to_numpy())
+            read = wanted.flatten().to_numpy()
+            for n in np.unique(number):
+                who, here = reader[read == n], number == n
+                for q, (found, score) in zip(who, best_of(a[who], b[here], ids[here], k + 1), strict=True):
+                    finds.append((np.full(len(found), q), found, score))
+        q, found, score = (np.concatenate(c) for c in zip(*finds, strict=True)) if finds else [np.empty(0, np.int64)] * 3
+        order = np.lexsort((found, -score, q))
+        q, found, score = q[order], found[order], score[order]
+        # a row that stands in two lists has one product, so its finds lie side by side
+        new = np.concatenate([[True], (q[1:] != q[:-1]) | (found[1:] != found[:-1])])[: len(q)]
+        q, found, score = q[new], found[new], score[new]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        top = place <= k
+        askers_ = queries["asker"].to_numpy()[q[top]] if len(q) else q
+        columns = (askers_, found[top], score[top])
         kinds = pa.int64(), pa.int64(), pa.float64()
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["asker", "id", "score"])
 
-    found = left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInArrow(compare, "asker long, id long, score double")
+    by = ("unit", "part")
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "asker long, id long, score double")
     best = Window.partitionBy("asker").orderBy(F.desc("score"), "id")
-    found = found.groupBy("asker", "id").agg(F.max("score").alias("score"))  # a row may stand in several lists
+    found = found.groupBy("asker", "id").agg(F.max("score").alias("score"))  # a row may stand in several units
     found = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
     members = asks.distinct().join(askers, "v").select(F.col("id").alias("query_id"), "asker")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
