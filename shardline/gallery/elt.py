@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shardline.elt import compaction, ledger, load, registry, schema_diff
 from shardline.functions import predicates as P
 from shardline.gallery.base import query
+from shardline.operators.ordered import latest
 from shardline.sources import shards, sinks
 from shardline.streaming import delta as streaming
 
@@ -320,7 +321,9 @@ query(
 def _(t):
     order = [F.col("l_shipdate").desc(), F.col("l_extendedprice").desc(), "l_partkey", "l_suppkey"]
     lines = t.lineitem
-    merged = load.upsert(lines.limit(0), lines, ["l_orderkey", "l_linenumber"], order)
+    keys = ["l_orderkey", "l_linenumber"]
+    stage = latest(lines.where("l_returnflag = 'N'"), keys, order)
+    merged = load.upsert(stage, lines, keys, order)
     return merged.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
@@ -351,7 +354,7 @@ def _(t):
     path = sinks.scratch_path(t.spark, "final")
     year = F.date_format("o_orderdate", "yyyy")
     sinks.promote(t.stage.withColumn("year", year), path, "year")
-    fresh = load.upsert(t.stage.limit(0), t.delta, ["o_orderkey"], newest())
+    fresh = latest(t.delta, ["o_orderkey"], newest())
     sinks.promote(fresh.withColumn("year", year), path, "year")
     final = t.spark.read.parquet(path)
     return final.groupBy(F.col("year").cast("string").alias("year")).agg(F.count("*").alias("n"))
@@ -418,8 +421,8 @@ query(
 query(
     "e15_table_actions",
     """SELECT MIN(s) AS table_schema, table_name, CASE WHEN MIN(side) = 1 THEN 'CREATE TABLE ' ELSE 'DROP TABLE ' END || MIN(s) || '.' || table_name || '()' AS statement
-       FROM (SELECT DISTINCT 1 AS side, p_type AS s, REPLACE(p_name, ' ', '_') AS table_name FROM part WHERE p_size < 20
-             UNION ALL SELECT DISTINCT 2, p_type, REPLACE(p_name, ' ', '_') FROM part WHERE p_size > 30)
+       FROM (SELECT DISTINCT 1 AS side, p_type AS s, REPLACE(p_name, ' ', '_') AS table_name FROM part WHERE p_size < 25
+             UNION ALL SELECT DISTINCT 2, p_type, REPLACE(p_name, ' ', '_') FROM part WHERE p_size >= 25)
        GROUP BY s, table_name HAVING COUNT(*) = 1""",
 )(
     lambda t: schema_diff.table_actions(
@@ -427,7 +430,7 @@ query(
             t.part.where(test).select(
                 F.col("p_type").alias("table_schema"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("table_name")
             )
-            for test in ("p_size < 20", "p_size > 30")
+            for test in ("p_size < 25", "p_size >= 25")
         ]
     )
 )

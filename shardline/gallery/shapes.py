@@ -59,7 +59,7 @@ SELECT 'month' AS grain,
        l_suppkey AS device_id, l_partkey AS part_id,
        CAST(l_quantity * 1000 AS BIGINT) AS part_size_bps,
        CAST(ROUND(l_extendedprice * 10) AS BIGINT) AS bytes
-FROM {lineitem} WHERE l_linenumber <= 4
+FROM {lineitem}
 """
 SHAPES["x_flows"] = """
 SELECT 'month' AS grain,
@@ -117,7 +117,7 @@ FROM {orders}
 SHAPES["x_pending_user"] = """
 SELECT l_orderkey AS account_id, CASE l_linestatus WHEN 'O' THEN 2 ELSE 1 END AS account_user_status,
        l_shipdate AS token_expiration_date, l_linenumber AS line
-FROM {lineitem} WHERE l_linenumber <= 2
+FROM {lineitem}
 """
 SHAPES["x_store"] = """
 SELECT s_suppkey AS store_id, s_name AS store_name, s_nationkey % 3 AS store_type_id,
@@ -410,12 +410,12 @@ FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE n_regionkey = 1
 SHAPES["x_free_space"] = """
 SELECT n_name AS tablespace_name, l_suppkey AS file_id, CAST(l_quantity * 1024 AS BIGINT) AS bytes
 FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey
-WHERE l_linenumber = 1 AND n_regionkey <> 1
+WHERE n_regionkey <> 1
 """
 SHAPES["x_temp_free"] = """
 SELECT n_name AS tablespace_name, l_suppkey AS file_id, CAST(l_quantity * 512 AS BIGINT) AS bytes
 FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey
-WHERE l_linenumber = 2 AND n_regionkey = 1
+WHERE n_regionkey = 1
 """
 SHAPES["x_sysstat"] = """
 SELECT CASE CAST(l_partkey % 10 AS INT) WHEN 0 THEN 'parse count' WHEN 1 THEN 'opened cursors cumulative' WHEN 2 THEN 'recursive calls'
