@@ -1,12 +1,13 @@
 """Removal of every byte in a long string that occurs more than once, by run-length compressed suffix indexes.
 
-Two equal strings of ``length`` bytes choose the same anchors: of their substrings of ``GRAM`` bytes those
-with the smallest hash. So anchors with equal hashes are where to look, and the rest of the corpus needs no
-comparison:
+Each string of ``length`` bytes chooses an anchor, the one of its substrings of ``GRAM`` bytes with the smallest
+hash, and equal strings choose the same. Neighbouring strings mostly share their anchor; the bytes that
+they span are its context. So anchors with equal hashes are where to look, and the rest of the corpus
+needs no comparison:
 
 * anchors whose hash occurs once are dropped, after a count that is combined before the shuffle;
-* anchors whose whole context (all strings of ``length`` bytes around the anchor) occurs more than once are
-  covered without looking further, however many copies there are;
+* anchors whose whole context occurs more than once are covered without looking further, however many
+  copies there are;
 * the other contexts meet, a representative of each distinct one, in buckets of bounded size. A bucket is indexed by its
   run-length Burrows-Wheeler transform. At the ends of runs suffix positions are sampled and their
   common prefixes with the preceding suffix compared; all others follow by stepping through
@@ -38,6 +39,7 @@ STEP = 1 << 20
 #: Distinct contexts in a bucket, and most that one anchor may bring to one.
 BUCKET, CROWD = 4000, 500
 BASE = 0x9E3779B97F4A7C15  # odd, so that powers have inverses
+PLACE = np.uint64((1 << 21) - 1)  # more than the substrings of a step
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -83,36 +85,39 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return f(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of texts behind each other (text i from starts[i] to starts[i + 1]): place, hash, hash of context."""
-    width, before = length - GRAM + 1, length - GRAM
-    room = STEP + 4 * length
-    sizes = np.diff(starts)
+def anchors(data: np.ndarray, starts: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """Anchors of texts behind each other (text i from starts[i] to starts[i + 1]).
+
+    ``place`` and the first and last start of the strings that chose it, all in data, its hash ``gram``
+    and that of its ``context``, which lies from the first start to ``length`` beyond the last.
+    """
+    width = length - GRAM + 1
+    n_starts = len(data) - length + 1
     edges = np.zeros(len(data) + 1, np.int32)
-    whole = sizes >= length
+    whole = np.diff(starts) >= length
     np.add.at(edges, starts[:-1][whole], 1)
     np.add.at(edges, starts[1:][whole] - length + 1, -1)
     valid = np.cumsum(edges[:-1]) > 0  # strings of full length start here
-    places, grams, contexts = [], [], []
-    for s in range(0, max(0, len(data) - length + 1), STEP):
-        low, stop = max(0, s - before), min(s + STEP, len(data) - length + 1)
-        high = min(len(data), stop + width + length)
-        hashes = Hashes(data[low:high], room)
+    found: dict[str, list[np.ndarray]] = {k: [] for k in ("place", "first", "last", "gram", "context")}
+    for s in range(0, max(0, n_starts), STEP):
+        # a string more before, to see where strings with one anchor begin, and all that may go on behind
+        low, stop = max(0, s - 1), min(s + STEP + width, n_starts)
+        hashes = Hashes(data[low : stop + length - 1], STEP + 4 * length)
         gram = _mix(hashes.of_length(GRAM))
-        own = gram[s - low : stop - low + width - 1]
-        least = np.where(valid[s:stop], _sliding(own, width, True), np.uint64(0))
-        pad = np.zeros(width - 1, np.uint64)
-        at = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, False) == own) + s
-        text = np.searchsorted(starts, at, "right") - 1
-        left, right = np.maximum(starts[text], at - before), np.minimum(starts[text + 1], at + length)
-        shape = ((at - left) * (2 * length) + right - at).astype(np.uint64)
-        places.append(at)
-        grams.append(gram[at - low])
-        contexts.append(_mix(hashes.of(left - low, right - low) + _mix(shape + np.uint64(1))))
-    if not places:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    places, first = np.unique(np.concatenate(places), return_index=True)  # steps overlap
-    return places, np.concatenate(grams)[first].view(np.int64), np.concatenate(contexts)[first].view(np.int64)
+        # the hash with its low bits replaced by the place: of equal ones the first is least
+        chosen = _sliding((gram & ~PLACE) | np.arange(len(gram), dtype=np.uint64), width, True) & PLACE
+        chosen = np.where(valid[low:stop], chosen.astype(np.int64), -1)
+        turn = np.flatnonzero(np.diff(chosen, prepend=-2, append=-2))
+        first, last, place = turn[:-1], turn[1:] - 1, chosen[turn[:-1]]
+        own = (place >= 0) & (first + low >= s) & (first + low < s + STEP)
+        first, last, place = first[own], last[own], place[own]
+        shape = ((place - first) * (2 * length) + last - first).astype(np.uint64)
+        context = _mix(hashes.of(first, last + length) + _mix(shape + np.uint64(1)))
+        for k, v in (("place", place + low), ("first", first + low), ("last", last + low)):
+            found[k].append(v)
+        found["gram"].append(gram[place].view(np.int64))
+        found["context"].append(context.view(np.int64))
+    return {k: np.concatenate([np.empty(0, np.int64), *v]) for k, v in found.items()}
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +188,8 @@ def long_matches(groups: np.ndarray, left: np.ndarray, contexts: list[bytes], le
     statistics = matching_statistics(np.concatenate(parts))
     out = []
     for i, (begin, before) in enumerate(zip(begins, left.tolist(), strict=True)):
-        hit = np.flatnonzero(statistics[begin : begin + before + 1] > length)  # the anchor's symbol is one more
+        strings = len(contexts[i]) - length + 1
+        hit = np.flatnonzero(statistics[begin : begin + strings] > length)  # the anchor's symbol is one more
         for run in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1) if len(hit) else ():
             out.append((i, int(run[0]) - before, int(run[-1]) - before + length))
     return out
@@ -199,17 +205,19 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts = _buffer(batch["text"])
-            places, grams, contexts = anchors(data, starts, length)
-            text = np.searchsorted(starts, places, "right") - 1
-            rows = pa.array(text)
+            found = anchors(data, starts, length)
+            text = np.searchsorted(starts, found["place"], "right") - 1
+            place, first, last = (found[k] - starts[text] for k in ("place", "first", "last"))
             yield pa.RecordBatch.from_arrays(
-                [batch["id"].take(rows), batch["hash"].take(rows), pa.array((places - starts[text]).astype(np.int32)),
-                 pa.array(grams), pa.array(contexts)],
-                ["id", "hash", "place", "gram", "context"],
+                [batch["key"].take(pa.array(text)), pa.array(place.astype(np.int32)),
+                 pa.array((place - first).astype(np.int16)), pa.array((last + length - place).astype(np.int16)),
+                 pa.array(found["gram"]), pa.array(found["context"])],
+                ["key", "place", "before", "after", "gram", "context"],
             )
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "hash", "text").mapInArrow(run, f"id {kind}, hash long, place int, gram long, context long")
+    return docs.select("key", "text").mapInArrow(
+        run, "key long, place int, before short, after short, gram long, context long"
+    )
 
 
 def _context_rows(stored: DataFrame, length: int) -> DataFrame:
@@ -222,11 +230,10 @@ def _context_rows(stored: DataFrame, length: int) -> DataFrame:
                 data = memoryview(text.as_buffer())
                 for m in marks.as_py():
                     if m["stands"]:
-                        low = max(0, m["place"] - (length - GRAM))
+                        low, high = m["place"] - m["before"], m["place"] + m["after"]
                         rows.append(
-                            (m["gram"], m["context"], m["crowded"], m["covered"], m["place"] - low,
-                             bytes(data[low : m["place"] + length]))
-                        )
+                            (m["gram"], m["context"], m["crowded"], m["covered"], m["before"], bytes(data[low:high]))
+                        )
             kinds = pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary()
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays(
@@ -266,16 +273,16 @@ def _crowd_matches(contexts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             data, starts = _buffer(batch["bytes"])
             before = batch["before"].to_numpy()
-            n = np.maximum(0, np.minimum(before + 1, np.diff(starts) - length + 1))
+            n = np.diff(starts) - length + 1  # strings of a context
             row = np.repeat(np.arange(len(n)), n)
             q = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             one, two = np.empty(len(row), np.uint64), np.empty(len(row), np.uint64)
-            at = np.concatenate([[0], np.cumsum(n)])
-            for i in range(len(n)):
-                hashes = Hashes(data[starts[i] : starts[i + 1]], STEP + 4 * length)
-                k = q[at[i] : at[i + 1]]
-                one[at[i] : at[i + 1]] = hashes.of(k, k + length // 2)
-                two[at[i] : at[i + 1]] = hashes.of(k + length // 2, k + length)
+            at = starts[row] + q
+            for low in range(0, len(data), STEP):
+                part = (at >= low) & (at < low + STEP)
+                hashes, k = Hashes(data[low : low + STEP + length], STEP + 4 * length), at[part] - low
+                one[part] = hashes.of(k, k + length // 2)
+                two[part] = hashes.of(k + length // 2, k + length)
             pick = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [batch["gram"].take(pick), batch["context"].take(pick), batch["covered"].take(pick),
@@ -286,7 +293,6 @@ def _crowd_matches(contexts: DataFrame, length: int) -> DataFrame:
 
     schema = "gram long, context long, covered boolean, start int, one long, two long"
     strings = contexts.select("gram", "context", "covered", "before", "bytes").mapInArrow(run, schema)
-    strings = cut_lineage(strings, "strings")
     key = ["gram", "start", "one", "two"]
     often = strings.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     return (
@@ -324,38 +330,37 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text")
-    ).withColumn("hash", F.xxhash64("text"))
+    ).withColumn("key", F.xxhash64("id", "text"))
 
-    found = cut_lineage(_anchor_rows(rows, length), "anchors")
-    often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    # worked out twice: the first time only the hashes are counted, the second time most rows are dropped
+    found = _anchor_rows(rows, length)
+    often = cut_lineage(
+        found.select("gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "grams"
+    )
     repeated = cut_lineage(found.join(often, "gram", "left_semi"), "repeated")
-    # distinct contexts, a row that stands for each, and how many there are of an anchor
+    # distinct contexts, a place that stands for each, and how many there are of an anchor
     context = repeated.groupBy("gram", "context").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "hash", "place")).alias("stands")
+        F.count(F.lit(1)).alias("n"), F.min("key").alias("text_of")
     )
-    context = cut_lineage(context, "contexts")
     crowd = context.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"))
-    per_row = (
-        repeated.distinct()
-        .join(context, ["gram", "context"])
-        .join(crowd, "gram")
+    context = cut_lineage(context.join(crowd, "gram").filter("n > 1 OR contexts > 1"), "contexts")
+    marks = (
+        repeated.join(context, ["gram", "context"])
         .select(
-            "id", "hash", "place", "gram", "context",
+            "key", "place", "before", "after", "gram", "context",
             (F.col("n") > 1).alias("covered"),
-            ((F.col("contexts") > 1) & (F.col("stands") == F.struct("id", "hash", "place"))).alias("stands"),
+            # of copies any stands for all; the first in the text with the least key does
+            ((F.col("contexts") > 1) & (F.col("key") == F.col("text_of"))).alias("stands"),
             (F.col("contexts") > CROWD).alias("crowded"),
         )
-        .filter("covered OR stands")
     )
-    marks = cut_lineage(per_row, "marks")
-    of_text = marks.groupBy("id", "hash").agg(
-        F.collect_list(F.struct("place", "gram", "context", "covered", "stands", "crowded")).alias("marks")
+    marks = cut_lineage(marks, "marks")
+    of_text = marks.groupBy("key").agg(
+        F.collect_set(F.struct("place", "before", "after", "gram", "context", "covered", "stands", "crowded")).alias("marks")
     )  # of one text
-    of_text = of_text.select(F.col("id").alias("of"), F.col("hash").alias("of_hash"), "marks")
-    on = F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash"))
-    stored = rows.join(of_text.hint("merge"), on, "left").select(
+    stored = rows.join(of_text.hint("merge"), "key", "left").select(
         "id",
-        "hash",
+        "key",
         F.octet_length("text").cast("long").alias("n_bytes"),
         F.when(F.col("marks").isNull(), F.sha2("text", 256)).alias("whole"),
         F.when(F.col("marks").isNotNull(), F.col("text")).alias("text"),
@@ -364,22 +369,19 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     stored = cut_lineage(stored, "marked-texts")
     marked = stored.filter("marks IS NOT NULL")
 
-    contexts = cut_lineage(_context_rows(marked, length), "context-bytes")
+    # a text that holds a context twice, or repeated rows, stand for it more than once
+    contexts = cut_lineage(_context_rows(marked, length).dropDuplicates(["gram", "context"]), "context-bytes")
     few, many = contexts.filter("NOT crowded"), contexts.filter("crowded")
     matches = _bucket_matches(few, length, few.count()).unionByName(_crowd_matches(many, length))
-    alone = marks.filter("stands AND NOT covered").select("id", "hash", "place", "gram", "context")
-    spans = (
-        matches.join(alone, ["gram", "context"])
-        .groupBy("id", "hash")
-        .agg(F.collect_list(F.struct((F.col("place") + F.col("start")).alias("start"), (F.col("place") + F.col("end")).alias("end"))).alias("spans"))
-        .select(F.col("id").alias("of"), F.col("hash").alias("of_hash"), "spans")
-    )
+    alone = marks.filter("stands AND NOT covered").select("key", "place", "gram", "context")
+    span = F.struct((F.col("place") + F.col("start")).alias("start"), (F.col("place") + F.col("end")).alias("end"))
+    spans = matches.join(alone, ["gram", "context"]).groupBy("key").agg(F.collect_set(span).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, marks_, spans_ in zip(batch["text"].cast(pa.binary()), batch["marks"], batch["spans"], strict=True):
-                own = [(m["place"] - (length - GRAM), m["place"] + length) for m in marks_.as_py() if m["covered"]]
+                own = [(m["place"] - m["before"], m["place"] + m["after"]) for m in marks_.as_py() if m["covered"]]
                 own += [(s["start"], s["end"]) for s in spans_.as_py() or ()]
                 kept, removed, runs = cut(text.as_py(), own)
                 out.append((kept if removed else None, removed, runs, hashlib.sha256(kept).hexdigest()))
@@ -392,7 +394,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, kept binary, n_removed long, n_spans long, kept_sha256 string"
-    done = marked.join(spans.hint("merge"), on, "left").select("id", "n_bytes", "text", "marks", "spans").mapInArrow(run, schema)
+    done = marked.join(spans.hint("merge"), "key", "left").select("id", "n_bytes", "text", "marks", "spans").mapInArrow(run, schema)
     untouched = stored.filter("marks IS NULL").select(
         "id", "n_bytes", F.lit(None).cast("binary").alias("kept"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.col("whole").alias("kept_sha256"),

@@ -62,16 +62,18 @@ def test_matching_statistics():
 def test_equal_strings_choose_equal_anchors(monkeypatch):
     random.seed(17)
     one = bytes(random.choice(b"abcdef") for _ in range(700))
-    data = b"x" * 300 + one + b"y" * 77 + one[5:650] + b"z"
-    places = lambda parts: sd.anchors(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]), 200)
-    at, gram, _ = places([data])
-    a = {p - 305: g for p, g in zip(at, gram, strict=True) if 305 <= p < 305 + 605}
-    b = {p - 1077: g for p, g in zip(at, gram, strict=True) if 1077 <= p < 1077 + 605}
-    inner = lambda d: {p: g for p, g in d.items() if 160 <= p < 445}
-    assert inner(a) == inner(b) and len(inner(a)) > 1
+    texts = [b"x" * 300 + one + b"y" * 77 + one[5:650] + b"z", b"short", one[100:300], b"q" * 500, b""]
+    data, starts = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    found = sd.anchors(data, starts, 200)
+    chosen = {}  # string -> its anchor's place in it and hash
+    for place, first, last, gram in zip(*(found[k].tolist() for k in ("place", "first", "last", "gram")), strict=True):
+        for s in range(first, last + 1):
+            assert chosen.setdefault(bytes(data[s : s + 200]), (place - s, gram)) == (place - s, gram)
+    every = [s for a, b in zip(starts[:-1], starts[1:], strict=True) for s in range(a, b - 199)]
+    assert sum(found["last"] - found["first"] + 1) == len(every) and set(chosen) == {bytes(data[s : s + 200]) for s in every}
     monkeypatch.setattr(sd, "STEP", 256)  # in small steps
-    again = places([data])
-    assert all((x == y).all() for x, y in zip(places([data]), again, strict=True)) and (again[0] == at).all()
+    again = sd.anchors(data, starts, 200)
+    assert all((found[k] == again[k]).all() for k in found)
 
 
 @pytest.mark.parametrize(("length", "crowd", "bucket"), [(200, 500, 4000), (200, 2, 10), (60, 3, 30)])
