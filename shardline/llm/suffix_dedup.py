@@ -37,7 +37,7 @@ GRAM = 40
 #: Bytes hashed at a time.
 STEP = 1 << 20
 #: Distinct contexts in a bucket, and most that one anchor may bring to one.
-BUCKET, CROWD = 4000, 500
+BUCKET, CROWD = 4000, 8000
 BASE = 0x9E3779B97F4A7C15  # odd, so that powers have inverses
 PLACE = np.uint64((1 << 21) - 1)  # more than the substrings of a step
 
