@@ -2,7 +2,7 @@
 
 from pyspark.sql import SparkSession
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:

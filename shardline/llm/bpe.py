@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 #: Words (twice as many) and pairs that a Python worker remembers; results don't depend on it.
-KEPT_WORDS, KEPT_PAIRS = 350_000, 600_000
+KEPT_WORDS, KEPT_PAIRS = 120_000, 250_000
 NEVER = 1 << 40
 #: White space as the tokenizer's \s has it.
 SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"

@@ -194,8 +194,10 @@ def train(
     rows = docs.select(F.col(f"`{text_column}`").alias("text"), F.col(f"`{lang_column}`").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & has_letter(text))
     langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
-    pieces = rows.join(F.broadcast(langs), "lang", "left_semi").select(  # max_langs rows
-        "lang", text.substr(at.cast("int"), F.lit(PIECE)).alias("piece"), F.rand(11).alias("r")
+    # about 4 * per_lang rows of a language go on to be ranked, however many there are
+    drawn = rows.join(F.broadcast(langs), "lang").withColumn("r", F.rand(11))  # max_langs rows
+    pieces = drawn.filter(F.col("r") * F.col("count") < 4 * per_lang).select(
+        "lang", "r", text.substr(at.cast("int"), F.lit(PIECE)).alias("piece")
     )
     order = "row_number() OVER (PARTITION BY lang ORDER BY r, piece)"
     chosen = pieces.withColumn("n", F.expr(order)).filter(F.col("n") <= per_lang)

@@ -35,7 +35,7 @@ WORD_BYTES = (b"passw", b"secret", b"token", b"api")
 OUT, BEGIN, IN = 0, 1, 2
 CLASSES, FORMS, FILES = 9, 8, 6
 #: Tokens that a Python worker remembers before it starts afresh; results don't depend on it.
-KEPT = 300_000
+KEPT = 120_000
 #: Shortest added span, in characters.
 MIN_ADDED = 8
 
@@ -363,7 +363,7 @@ def fit(texts: list[str], length: int = 32, batch: int = 192, steps: int = 150,
     return field
 
 
-def train(docs: DataFrame, text_column: str = "text", pool: int = 200_000, each: int = 400, piece: int = 4000) -> Field | None:
+def train(docs: DataFrame, text_column: str = "text", pool: int = 50_000, each: int = 400, piece: int = 4000) -> Field | None:
     """Fit on at most ``each`` pieces of texts with a key word and as many without, of ``piece`` characters at most.
 
     They are drawn by hash from a pool of about ``pool`` rows, so the driver holds ``2 * each * piece`` characters.
@@ -376,6 +376,7 @@ def train(docs: DataFrame, text_column: str = "text", pool: int = 200_000, each:
     anywhere = F.pmod(F.xxhash64(F.lit("piece"), text), F.greatest(F.length(text) - piece, F.lit(0)) + 1) + 1
     at = F.when(named > 0, F.greatest(named - piece // 2, F.lit(1))).otherwise(anywhere).cast("int")
     drawn = rows.withColumn("r", F.rand(13)).filter(F.col("r") < share)
+    drawn = drawn.filter((named > 0) | (F.col("r") * pool < 4 * each * share))  # texts without abound
     pieces = drawn.select((named > 0).alias("named"), "r", text.substr(at, F.lit(piece)).alias("piece"))
     order = "row_number() OVER (PARTITION BY named ORDER BY r, piece)"
     chosen = pieces.withColumn("n", F.expr(order)).filter(F.col("n") <= each).select("piece")
