@@ -3,7 +3,8 @@
 Centroids come from a bounded sample, halved again and again into equal parts. Every row goes to the list of its
 nearest centroid and, if it lies near a border, to further lists. Centroids are searched by a
 neighbour graph in memory. A query reads the lists whose centroid is not farther than the nearest by more than
-a ratio, so queries within a cluster read few lists and queries between clusters read more.
+a ratio, so queries within a cluster read few lists and queries between clusters read more. The ratio is widened
+until held-out queries, compared with all rows, find the share of their neighbours asked for.
 
 Largest inner products become smallest distances by one more dimension that brings all rows to the
 largest norm; queries are scaled to it and have 0 there.
@@ -25,6 +26,8 @@ from shardline.session import cut_lineage
 #: Rows and queries that one task compares at a time. Neighbouring lists are packed up to this size and longer ones cut, so
 #: that a query's finds are merged in as few places as memory allows.
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2048
+#: Queries on which the recall is measured.
+PROBES = 256
 
 
 def _halves(rows: np.ndarray, leaf: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -65,6 +68,8 @@ class Lists:
 
         All centroids within the ratio that are evaluated are expanded, and the ``breadth`` nearest.
         """
+        if np.isinf(ratio):
+            return distances(points, self.centroids)
         n, k = len(points), len(self.centroids)
         gap = np.full((n, k), np.inf, np.float32)
         done = np.zeros((n, k), bool)
@@ -178,6 +183,60 @@ def best_of(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> I
             yield ids[near][order], product[order]
 
 
+def _compared(posted: DataFrame, queries: np.ndarray, most: int) -> DataFrame:
+    """Per query (its row number) the ``most`` best of all posted rows: query, id, list, score."""
+    dim = queries.shape[1]
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "id", "list")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))] * len(queries)
+        for batch in batches:
+            ids, lists = batch["id"].to_numpy(), batch["list"].to_numpy()
+            order = np.lexsort((lists, ids))
+            ids, lists, rows = ids[order], lists[order], _matrix(batch["v"], dim)[order]
+            for q, (at, score) in enumerate(best_of(queries, rows, np.arange(len(ids)), most)):
+                i, n, s = (np.concatenate(x) for x in zip(held[q], (ids[at], lists[at], score), strict=True))
+                top = np.lexsort((n, i, -s))[:most]
+                held[q] = i[top], n[top], s[top]
+        who = np.repeat(np.arange(len(queries)), [len(h[0]) for h in held])
+        columns = [who, *(np.concatenate(c) for c in zip(*held, strict=True))]
+        kinds = pa.int32(), pa.int64(), pa.int32(), pa.float64()
+        arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["query", "id", "list", "score"])
+
+    found = posted.select("id", "list", "v").mapInArrow(run, "query int, id long, list int, score double")
+    return found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= most).drop("n")
+
+
+def wide_enough(
+    index: Lists, posted: DataFrame, ids: list[int], queries: np.ndarray, k: int, copies: int, ratio: float, recall: float
+) -> float:
+    """The ratio, or the next wider one at which the queries' reads hold ``recall`` of their k nearest other rows.
+
+    ``copies`` lists hold a row at most. Infinite, for all lists, if no ratio is enough.
+    """
+    lists: dict[tuple[int, int], set[int]] = {}
+    score: dict[tuple[int, int], float] = {}
+    count = [0] * len(ids)
+    rows = _compared(posted, queries, (k + 1) * copies).collect()
+    for r in sorted(rows, key=lambda r: (r["query"], -r["score"], r["id"])):
+        q, key = r["query"], (r["query"], r["id"])
+        if r["id"] == ids[q]:
+            continue
+        if key not in lists and count[q] < k:
+            count[q] += 1
+            lists[key], score[key] = set(), r["score"]
+        if key in lists and score[key] == r["score"]:
+            lists[key].add(r["list"])
+    points = scaled(queries, index.norm)
+    while lists and not np.isinf(ratio):
+        read = np.isfinite(index.search(points, ratio))
+        if np.mean([read[q, list(own)].any() for (q, _), own in lists.items()]) >= recall:
+            break
+        ratio = ratio * 1.05 + 0.001 if ratio < 4 and not read.all() else np.inf
+    return ratio
+
+
 def usable(vector: Column) -> Column:
     """Not null, no null or non-finite component, not all zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -196,6 +255,7 @@ def nearest(
     build_ratio: float = 0.03,
     max_copies: int = 2,
     query_ratio: float = 0.13,
+    recall: float = 0.98,
 ) -> DataFrame:
     """For every query row its k nearest other rows found: query_id, rank, vec_id, score (the exact inner product).
 
@@ -204,8 +264,11 @@ def nearest(
     indexed: no other can be among anyone's k nearest; equal queries are searched once. Null ids
     take no part, and rows that repeat an id and its vector count once. Fewer than k candidates give fewer rows.
 
+    ``query_ratio`` is the least ratio. It is widened until ``PROBES`` of the queries, not among the rows that fit the
+    centroids where there are others, find ``recall`` of their true neighbours over the lists of this very table.
+
     ``sample_rows`` vectors are collected to fit the centroids, of which there are at most ``max_lists``; those are what
-    is sent to the workers. Lists and the queries on them are cut into blocks, so a task holds about
+    is sent to the workers, and the probes. Lists and the queries on them are cut into blocks, so a task holds about
     ``BLOCK_ROWS`` and ``BLOCK_QUERIES`` of them at a time, however large a list grows.
     """
     spark = bounded_batches(vectors.sparkSession)
@@ -227,7 +290,8 @@ def nearest(
     lists = min(max_lists, -(-facts["n"] // list_rows))
     share = min(1.0, 1.5 * sample_rows / facts["n"])
     drawn = kept.filter(F.rand(17) < share).limit(sample_rows) if share < 1 else kept.limit(sample_rows)
-    sample = np.array([r["v"] for r in drawn.select("v").collect()], np.float64)
+    drawn = drawn.select("id", "v").collect()
+    sample = np.array([r["v"] for r in drawn], np.float64)
     index = Lists.fit(sample, lists, float(np.sqrt(facts["norm"])))
 
     posted = kept.select("id", "v", F.explode(_lists_of(F.col("v"), index, dim, build_ratio, max_copies)).alias("list"))
@@ -235,7 +299,13 @@ def nearest(
     sizes = {r["list"]: r["count"] for r in posted.groupBy("list").count().collect()}  # max_lists rows
     units = pack(sizes, BLOCK_ROWS)
     asks = rows.filter("asks").select("id", "v")
-    askers = asks.groupBy("v").agg(F.min("id").alias("asker"))
+    askers = cut_lineage(asks.groupBy("v").agg(F.min("id").alias("asker")), "askers")
+    fitted = {r["id"] for r in drawn}
+    probes = askers.orderBy(F.xxhash64(F.lit("probe"), "asker"), "asker").limit(4 * PROBES).collect()
+    probes = sorted(probes, key=lambda r: r["asker"] in fitted)[:PROBES]
+    if probes and len(index.centroids) > 1:
+        tried = np.array([r["v"] for r in probes], np.float64)
+        query_ratio = wide_enough(index, posted, [r["asker"] for r in probes], tried, k, max_copies, query_ratio, recall)
     reads = askers.select("asker", "v", F.explode(_reads_of(F.col("v"), index, dim, query_ratio, units)).alias("r"))
     asked = cut_lineage(reads.select("asker", "v", "r.unit", "r.lists"), "asked")
 

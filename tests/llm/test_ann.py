@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,21 @@ def test_recall_with_many_lists_and_blocks(spark, monkeypatch):
         assert all(abs(s - float(np.dot(np.float64(exact[q]), np.float64(exact[i])))) < 1e-9 for i, s in found)
 
 
+def test_recall_with_hundreds_of_lists(spark):
+    """Directions spread evenly, with the ratio, sample and copies of production."""
+    x = np.random.default_rng(6).normal(size=(12000, 64))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x.astype(np.float32))}))
+    asked = np.arange(0, len(x), 40)
+    got = {}
+    for r in ann.nearest(rows, F.col("vec_id") % 40 == 0, list_rows=24).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    product = x[asked] @ x.T
+    product[np.arange(len(asked)), asked] = -2
+    want = np.argsort(-product, 1)[:, :20]
+    assert np.mean([len(got[q] & set(w)) / 20 for q, w in zip(asked.tolist(), want.tolist(), strict=True)]) >= 0.97
+
+
 def test_copies_ties_and_few_rows(spark):
     random.seed(3)
     one, two = [1.0, 0.0], [0.5, 0.5]
