@@ -146,12 +146,12 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int = 2) -> DataFrame:
-    """Id, ``text_hash``, ``print`` and ``component_id`` of every row: the smallest id reachable over links.
+    """Id, ``text_hash``, ``print``, ``root`` and ``component_id`` of every row: the smallest id reachable over links.
 
     Texts are lowered in A-Z and cut at ASCII white space into shingles of three words; a shorter text is
     one shingle, a text without words (or null) has fingerprint 0 and links like any other. Null ids take
     part but name no component, unless a component has no other. Repeated rows and copies share a
-    fingerprint. ``text_hash`` tells rows of one id apart. An empty table gives an empty one.
+    fingerprint. ``text_hash`` tells rows of one id apart, ``root`` (the least print) components without ids. An empty table gives an empty one.
     """
     rows = docs.select(
         F.col(f"`{id_column}`").alias("id"),
@@ -163,8 +163,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     roots = components(links(nodes, bits)).withColumnRenamed("node", "print")
     rooted = nodes.join(roots, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = rooted.select("print", "root").join(named, "root").select("print", "component_id")
-    return rows.join(of_print, "print").select(F.col("id").alias(id_column), "text_hash", "print", "component_id")
+    of_print = rooted.select("print", "root").join(named, "root").select("print", "root", "component_id")
+    return rows.join(of_print, "print").select(F.col("id").alias(id_column), "text_hash", "print", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int = 2) -> DataFrame:
@@ -175,8 +175,8 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     found = near_duplicates(docs, id_column, text_column, bits)
     owner = F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("null")).alias("owner")
     one = F.min(F.struct(F.col(f"`{id_column}`").isNull(), F.col(f"`{id_column}`"), "text_hash", owner)).alias("kept")
-    # a component is named by its smallest id; those without ids are told apart by their fingerprints' root
-    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("print"))).agg(one)
+    # a component is named by its smallest id; those without ids are told apart by their root
+    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("root"))).agg(one)
     kept = kept.select("kept.owner", F.col("kept.text_hash").alias("hash"))
     marked = docs.withColumns({"__owner": owner, "__hash": F.xxhash64(F.col(f"`{text_column}`"))})
     marked = marked.dropDuplicates(["__owner", "__hash"])

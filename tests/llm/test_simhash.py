@@ -106,6 +106,17 @@ def test_one_of_each_stays(spark):
     assert all(r.doc_id == c for r, c in zip(kept, own, strict=True))
 
 
+def test_one_of_linked_rows_without_ids_stays(spark):
+    random.seed(15)
+    while True:
+        text = " ".join(random.choice("abcdefghijkl") for _ in range(300))
+        if 1 <= (plain_print(text) ^ plain_print(text + " z")).bit_count() <= 2:
+            break
+    df = spark.createDataFrame([(None, text), (None, text + " z"), (None, "far away")], "doc_id long, text string")
+    kept = [r.text for r in simhash.keep_one(df).collect()]
+    assert len(kept) == 2 and "far away" in kept
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
