@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shardline.llm import bpe, langid, secret_scan
+from shardline.llm import bpe, langid, secret_scan, whitening
 from shardline.llm.ann import nearest
 from shardline.llm.batches import bounded_batches
 from shardline.llm.chat import format_chats, read_chats
@@ -227,3 +227,28 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes of whole documents outside strings of 200 bytes that occur more than once."""
     found = remove_repeats(table(spark, folder, "documents"), "doc_id", "text", length=200)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op11_exact_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each vector and component: the vector's whitened coordinate, and figures of the fit.
+
+    Vectors that are null or hold null or non-finite entries are left out. No rows if all vectors are equal. A
+    deviation that a long can't hold is null.
+    """
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows, F.col("embedding"), scale=64.0, most=32)
+    if model is None:
+        model = whitening.Whitening.nothing()
+    found = rows.select("vec_id", whitening.apply(F.col("embedding"), model).alias("f")).filter("f IS NOT NULL")
+    each = found.select("vec_id", "f.deviation", F.posexplode("f.whitened").alias("at", "whitened"))
+    shares = F.array(*map(F.lit, model.explained)).cast("array<double>")
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        F.expr("try_cast(deviation AS BIGINT)").alias("deviation"),
+        "whitened",
+        F.get(shares, "at").alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
