@@ -62,7 +62,7 @@ def _rows(vectors: pa.Array, dim: int, scale: float) -> np.ndarray:
     """floor(scale * entry) as a matrix of int64."""
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = np.floor(scale * flat)
-    return np.clip(x, -float(LARGEST), float(LARGEST)).astype(np.int64).reshape(-1, dim)
+    return np.clip(x, -float(LARGEST), float(LARGEST)).astype(np.int64).reshape(len(vectors), dim)
 
 
 def _scatter(x: np.ndarray) -> np.ndarray:
