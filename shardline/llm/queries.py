@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shardline.llm import bpe, langid, secret_scan, whitening
+from shardline.llm import alignment, bpe, langid, secret_scan, whitening
 from shardline.llm.ann import nearest
 from shardline.llm.batches import bounded_batches
 from shardline.llm.chat import format_chats, read_chats
@@ -16,7 +16,7 @@ from shardline.llm.sharding import ring_shards
 from shardline.llm.simhash import near_duplicates
 from shardline.llm.suffix_dedup import remove_repeats
 from shardline.llm.warc import records, write_archive
-from shardline.session import scratch_path
+from shardline.session import cut_lineage, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -252,3 +252,20 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
         F.get(shares, "at").alias("explained"),
         F.lit(model.identity_error).alias("identity_error"),
     )
+
+
+@query("op13_pair_bitmaps")
+def op13(spark: SparkSession, folder: str, a: str | None = None, b: str | None = None) -> DataFrame:
+    """Links between the tokens of two tokenizers in every document, weighed by the corpus; ``a`` and ``b`` name the files."""
+    index = alignment.index_pairs(
+        table(spark, folder, "documents"),
+        "doc_id",
+        "text",
+        alignment.load(a or public_tokenizers.path("byte_bpe_50k.json")),
+        alignment.load(b or public_tokenizers.path("piece_bpe_32k.model")),
+    )
+    counts = cut_lineage(alignment.pair_counts(index), "counts")
+    found = alignment.document_scores(index, counts)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
