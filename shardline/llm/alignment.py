@@ -340,7 +340,8 @@ def document_scores(index: DataFrame, counts: DataFrame) -> DataFrame:
     # one row for each token of the vocabulary at most
     marked = counts.join(F.broadcast(best), "b").select("a", "b", "links", (F.col("links") == F.col("most")).alias("best"))
     postings = index.filter("a IS NOT NULL").select(F.col("container").alias("home"), "a", "b", "planes")
-    scored = postings.join(marked, ["a", "b"]).select("home", "links", "best", "planes")
+    # counts grow with the corpus, so they are never broadcast
+    scored = postings.join(marked.hint("merge"), ["a", "b"]).select("home", "links", "best", "planes")
     documents = index.filter("low IS NOT NULL").select("container", "id", *DOCUMENT)
 
     def give(docs: pa.Table, found: pa.Table) -> pa.Table:
