@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shardline.llm import alignment, bpe, langid, secret_scan, whitening
+from shardline.llm import alignment, bpe, langid, pii, secret_scan, whitening
 from shardline.llm.ann import nearest
 from shardline.llm.batches import bounded_batches
 from shardline.llm.chat import format_chats, read_chats
@@ -269,3 +269,23 @@ def op13(spark: SparkSession, folder: str, a: str | None = None, b: str | None =
     return found.select(
         F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
     )
+
+
+@query("op12_disclosing_terms")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in whole documents: counts and digest of the patterns' spans, all spans, and the text without them."""
+    found = pii.sanitise(table(spark, folder, "documents").select("doc_id", "text"), "text")
+
+    def told(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(number, pii.BASE),
+        F.sha2(told(F.filter("spans", lambda x: x["kind"].isin(*pii.BASE))), 256).alias("base_sha256"),
+        told(F.col("spans")).alias("spans"),
+        F.sha2("sanitised", 256).alias("sanitised_sha256"),
+    )
