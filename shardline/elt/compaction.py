@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from shardline.functions.scalars import tracked_columns
-from shardline.operators.ordered import SPANS, with_previous
+from shardline.operators.ordered import with_previous
 
 
 def mark_repeats(
@@ -16,7 +16,7 @@ def mark_repeats(
     log_key: str,
     dtm: str,
     columns: Sequence[str] | None = None,
-    spans: int = SPANS,
+    spans: int | None = None,
 ) -> DataFrame:
     """Log rows with ``is_repeated``: same tracked values as the row before, by (dtm, log key)."""
     tracked = list(columns) if columns else tracked_columns(log.columns, [master_key, log_key, dtm])
@@ -26,7 +26,7 @@ def mark_repeats(
     return looked.withColumn("is_repeated", repeated).drop("_now", "_before", "_has_previous")
 
 
-def compact_log(log: DataFrame, master_key: str, log_key: str, dtm: str, columns=None, spans: int = SPANS) -> DataFrame:
+def compact_log(log: DataFrame, master_key: str, log_key: str, dtm: str, columns=None, spans: int | None = None) -> DataFrame:
     """First row of every run of equal versions; running it twice changes nothing."""
     marked = mark_repeats(log, master_key, log_key, dtm, columns, spans)
     return marked.where(~F.col("is_repeated")).drop("is_repeated")

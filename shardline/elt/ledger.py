@@ -126,9 +126,12 @@ def appended_rows(ledger: DataFrame, stage_rows: DataFrame, number: int | None =
         F.coalesce(F.sum("proc_rows"), F.lit(0)).alias("proc_rows"),
         F.coalesce(F.sum("proc_duration"), F.lit(0)).alias("proc_duration"),
     ).where(F.col("download_num").isNotNull())
-    spans = entries.select("src_table_name", "control_start_dtm", "control_end_dtm")
-    # one row per registered source table and shard, so one big table is no hot join key
-    hits = stage_rows.join(F.broadcast(spans), "src_table_name").where(
+    # by table and day, so that one big table is no hot join key; a row has one day and meets each window once
+    days = F.sequence(F.to_date("control_start_dtm"), F.to_date("control_end_dtm"))
+    spans = entries.where("control_start_dtm <= control_end_dtm").select(
+        "src_table_name", "control_start_dtm", "control_end_dtm", F.explode(days).alias("_day")
+    )
+    hits = stage_rows.withColumn("_day", F.to_date("dtm")).join(spans, ["src_table_name", "_day"]).where(
         F.col("dtm").between(F.col("control_start_dtm"), F.col("control_end_dtm"))
     )
     appended = hits.agg(F.count("*")).scalar()
@@ -144,8 +147,7 @@ def appended_rows(ledger: DataFrame, stage_rows: DataFrame, number: int | None =
 def initial_rows(sources: DataFrame, rows: DataFrame, keys: list[str], only_missing: bool = False) -> DataFrame:
     """Row count per source table and shard; ``only_missing`` keeps counts already known."""
     todo = sources.where(F.coalesce("initial_rows", F.lit(0)) <= 0) if only_missing else sources
-    # one row per registered source table and shard
-    wanted = F.broadcast(todo.select(*keys).distinct())
+    wanted = todo.select(*keys).distinct()
     counted = rows.join(wanted, keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("_counted"))
     known = F.col("initial_rows")
     fresh = F.coalesce("_counted", F.lit(0))

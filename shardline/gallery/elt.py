@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from shardline.elt import compaction, ledger, load, registry, schema_diff
+from shardline.elt import compaction, incremental, ledger, load, registry, schema_diff
 from shardline.functions import predicates as P
 from shardline.gallery.base import query
 from shardline.operators.ordered import latest
@@ -456,3 +456,114 @@ query(
         t.events.withColumn("cents", F.round(F.col("value") * 100).cast("long")), "ts", "15 minutes", "1 hour", ["event_type"], "cents"
     )
 )
+
+
+# ---- the load from ledger to stage ----
+FIRST, SECOND = dt.datetime(1996, 6, 1, 12), dt.datetime(1996, 6, 3, 12)
+
+
+def _remote(t, second: bool):
+    """Link rows of a shard. By the second download some orders have changed, some came late and some customers are gone."""
+
+    def link(name: str, shard: int):
+        if name == "customer":
+            rows = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("amount"), F.lit(None).cast("timestamp_ntz").alias("dtm"))
+            rows = rows.where("id % 5 <> 0") if second else rows
+            return rows.where(F.col("id") % 2 + 1 == shard)
+        rows = t.orders.where(F.col("o_custkey") % 2 + 1 == shard).select(
+            F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"), F.col("o_orderdate").cast("timestamp_ntz").alias("dtm")
+        )
+        if not second:
+            return rows.where("id % 11 <> 0")
+        old = F.col("dtm") < F.lit(FIRST).cast("timestamp_ntz")
+        changed, late = old & (F.col("id") % 7 == 0), old & (F.col("id") % 11 == 0)
+        moved = F.when(changed, F.lit(SECOND - dt.timedelta(hours=10))).when(late, F.lit(FIRST - dt.timedelta(minutes=30)))
+        return rows.select(
+            "id", (F.col("amount") + changed.cast("int")).alias("amount"), F.coalesce(moved.cast("timestamp_ntz"), F.col("dtm")).alias("dtm")
+        )
+
+    return link
+
+
+@query(
+    "e6_load_resumed_over_two_downloads",
+    """
+    WITH one AS (
+      SELECT o_orderkey AS id, CAST(o_custkey % 2 + 1 AS INT) AS shard_number, o_totalprice AS amount, o_orderdate AS dtm
+      FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderdate <= TIMESTAMP '1996-06-01 12:00:00'),
+    seen AS (
+      SELECT o_orderkey AS id, CAST(o_custkey % 2 + 1 AS INT) AS shard_number,
+             CASE WHEN o_orderdate < TIMESTAMP '1996-06-01 12:00:00' AND o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS amount,
+             CASE WHEN o_orderdate >= TIMESTAMP '1996-06-01 12:00:00' THEN o_orderdate
+                  WHEN o_orderkey % 7 = 0 THEN TIMESTAMP '1996-06-03 02:00:00'
+                  WHEN o_orderkey % 11 = 0 THEN TIMESTAMP '1996-06-01 11:30:00' ELSE o_orderdate END AS dtm
+      FROM orders),
+    two AS (SELECT * FROM seen WHERE dtm BETWEEN TIMESTAMP '1996-06-01 11:00:00' AND TIMESTAMP '1996-06-03 12:00:00'),
+    people AS (SELECT c_custkey AS id, CAST(c_custkey % 2 + 1 AS INT) AS shard_number, c_acctbal AS amount FROM customer),
+    loads AS (
+      SELECT 1 AS n, 'orders' AS name, shard_number FROM one UNION ALL SELECT 2, 'orders', shard_number FROM two
+      UNION ALL SELECT 1, 'customer', shard_number FROM people UNION ALL SELECT 2, 'customer', shard_number FROM people WHERE id % 5 <> 0)
+    SELECT 'stage' AS part, 'orders' AS src_table_name, shard_number, id, CAST(amount AS DOUBLE) AS amount, dtm AS from_dtm,
+           CAST(NULL AS TIMESTAMP) AS to_dtm, CAST(NULL AS INT) AS status
+    FROM (SELECT * FROM two UNION ALL SELECT * FROM one WHERE id NOT IN (SELECT id FROM two))
+    UNION ALL
+    SELECT 'stage', 'customer', shard_number, id, CAST(amount AS DOUBLE), NULL, NULL, NULL FROM people WHERE id % 5 <> 0
+    UNION ALL
+    SELECT 'ledger', name, shard_number, n, CAST(COUNT(l.n) AS DOUBLE),
+           CASE WHEN n = 1 THEN TIMESTAMP '1900-01-01' ELSE TIMESTAMP '1996-06-01 11:00:00' END,
+           CASE WHEN n = 1 THEN TIMESTAMP '1996-06-01 12:00:00' ELSE TIMESTAMP '1996-06-03 12:00:00' END, 11
+    FROM (SELECT * FROM range(1, 3) a(n), (VALUES ('orders'), ('customer')) b(name), (VALUES (1), (2)) c(shard_number))
+    LEFT JOIN loads l USING (n, name, shard_number) GROUP BY n, name, shard_number""",
+)
+def _(t):
+    sources = registry.choose_load_mode(
+        t.spark.sql(
+            f"""SELECT id AS src_table_id, 'db2' AS host_alias, shard AS shard_number, shard AS shard_profile_id, 'db' AS src_schema_name,
+                       name AS src_table_name, dtm AS dtm_column_name, 'id' AS proc_pk_column_name, 100000 AS proc_block_size,
+                       if(dtm IS NULL, '{registry.NO_DTM}', NULL) AS comments, if(dtm IS NULL, 0, 1) AS src_table_valid_status,
+                       1 AS src_table_load_status, TIMESTAMP_NTZ '1900-01-01' AS override_dtm
+                FROM VALUES (1L, 'orders', 'dtm'), (2L, 'customer', NULL) AS s(id, name, dtm), VALUES (1), (2) AS n(shard)"""
+        )
+    )
+    profiles = t.spark.sql("SELECT id AS shard_profile_id, 'accounts' AS shard_table_name, 1 AS status FROM VALUES (1), (2) AS v(id)")
+    stage = incremental.Stage(t.spark, sinks.scratch_path(t.spark, "load"))
+    incremental.run_load(stage, sources, profiles, _remote(t, False), FIRST, max_tables=1)  # stops half way
+    later = FIRST + dt.timedelta(minutes=20)
+    incremental.run_load(stage, sources, profiles, _remote(t, False), later)  # goes on with what was left
+    incremental.run_load(stage, sources, profiles, _remote(t, False), later)  # too early for the next
+    sources = sources.withColumn("override_dtm", F.lit(None).cast("timestamp_ntz"))
+    incremental.run_load(stage, sources, profiles, _remote(t, True), SECOND)
+    none = {"to_dtm": F.lit(None).cast("timestamp_ntz"), "status": F.lit(None).cast("int")}
+    rows = [
+        stage.table(name, ["id"]).select(
+            F.lit("stage").alias("part"), F.lit(name).alias("src_table_name"), "shard_number", F.col("id").cast("long").alias("id"),
+            F.col("amount").cast("double").alias("amount"), F.col("dtm").alias("from_dtm"), *(c.alias(n) for n, c in none.items())
+        )
+        for name in ("orders", "customer")
+    ]
+    entries = stage.ledger().select(
+        F.lit("ledger").alias("part"), "src_table_name", "shard_number", F.col("download_num").cast("long").alias("id"),
+        F.col("proc_rows").cast("double").alias("amount"), F.col("control_start_dtm").alias("from_dtm"),
+        F.col("control_end_dtm").alias("to_dtm"), (10 * F.col("download_status") + F.col("append_status")).cast("int").alias("status"),
+    )
+    return rows[0].unionByName(rows[1]).unionByName(entries)
+
+
+def _streamed(t, ignore_known: bool):
+    """A stage that is there already, and files with new, repeated and known keys put over it."""
+    root = sinks.scratch_path(t.spark, "streamed")
+    streaming.start_stage(t.stage, f"{root}/stage")
+    latest(t.delta, ["o_orderkey", "o_orderdate", "o_orderstatus"], newest()).repartition(3).write.parquet(f"{root}/in")
+    return streaming.merge_files(
+        t.spark, f"{root}/in", t.stage.schema, f"{root}/stage", f"{root}/progress", ["o_orderkey"], newest, ignore_known
+    )
+
+
+query(
+    "e7_upsert_stream_over_a_stage",
+    f"""WITH f AS ({FRESH}) SELECT * FROM x_stage WHERE o_orderkey NOT IN (SELECT o_orderkey FROM f) UNION ALL SELECT * FROM f""",
+)(lambda t: _streamed(t, False))
+query(
+    "e8_append_stream_over_a_stage",
+    f"""WITH f AS ({FRESH}) SELECT * FROM x_stage UNION ALL SELECT * FROM f WHERE o_orderkey NOT IN (SELECT o_orderkey FROM x_stage)""",
+)(lambda t: _streamed(t, True))

@@ -311,6 +311,38 @@ def _(t):
     return flow_plans.rollup_state(expected, flow_plans.period_stats(t.flows, ["device_id"]))
 
 
+def _steps(t):
+    """What was recorded of each month: every fifth fails, every seventh is ended twice, months without flows have none."""
+    months = t.orders.select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("period_id")).distinct()
+    rows = t.flows.groupBy("period_id").agg(F.count("*").alias("rows"))
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    done = [("n", 0), ("c", 10), ("r", 15), ("l", 20), ("d", 50)]
+    listed = F.when(F.col("period_id") % 5 == 0, _taken([("n", 0), ("c", 10), ("f", 17)])).when(
+        F.col("period_id") % 7 == 0, _taken([*done, ("d", 60)])
+    ).otherwise(_taken(done))
+    seen = months.where("period_id % 11 <> 0").join(rows, "period_id", "left").select("period_id", "rows", F.inline(listed))
+    moment = start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("second"))
+    return months, seen.select("period_id", moment.alias("at"), "state", F.when(F.col("state") == "d", F.col("rows")).alias("roll_rows"))
+
+
+def _taken(steps):
+    return F.array(*(F.struct(F.lit(s).alias("state"), F.lit(at).alias("second")) for s, at in steps))
+
+
+@query(
+    "a18_rollup_ledger_of_steps",
+    """SELECT p.period_id, CASE WHEN p.period_id % 11 = 0 THEN 'n' WHEN p.period_id % 5 = 0 THEN 'f' WHEN COUNT(f.period_id) = 0 THEN 'e' ELSE 'd' END AS state,
+              CAST(CASE WHEN p.period_id % 11 = 0 THEN 0 WHEN p.period_id % 5 = 0 THEN 7 ELSE 5 END AS BIGINT) AS copy_time,
+              CAST(CASE WHEN p.period_id % 11 = 0 OR p.period_id % 5 = 0 THEN 0 ELSE 30 END AS BIGINT) AS rollup_time,
+              CAST(CASE WHEN p.period_id % 11 <> 0 AND p.period_id % 5 <> 0 AND p.period_id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS illegal,
+              CASE WHEN p.period_id % 11 = 0 OR p.period_id % 5 = 0 THEN 0 ELSE COUNT(f.period_id) END AS roll_rows
+       FROM (SELECT DISTINCT CAST(EXTRACT(YEAR FROM o_orderdate) * 12 + EXTRACT(MONTH FROM o_orderdate) AS BIGINT) AS period_id FROM orders) p
+       LEFT JOIN x_flows f ON f.period_id = p.period_id GROUP BY p.period_id""",
+)
+def _(t):
+    return flow_plans.rollup_ledger(*_steps(t))
+
+
 @query(
     "f8_whole_rollup_and_raw_periods",
     """SELECT device_id, SUM(CAST(1 AS BIGINT))::BIGINT AS raw_rows, COUNT(DISTINCT DATE_TRUNC('day', datetime)) AS day_rows

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, StructType
 
 from shardline.functions.scalars import EXACT, ratio
-from shardline.operators.sets import union_all
 
 
 def bit_rate(octets: Column, seconds: Column) -> Column:
@@ -54,31 +54,62 @@ def with_total_row(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column
     )
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str], prefix: str = "nd_") -> DataFrame:
-    """(column_name, distinct_count) exactly, one column-pruned pass per column.
+def _cell(df: DataFrame, c: str) -> Column:
+    """A value as text that is equal for equal values only."""
+    kind, value = df.schema[c].dataType, F.col(f"`{c}`")
+    if isinstance(kind, (FloatType, DoubleType)):
+        value = value + 0.0  # one zero
+    if isinstance(kind, BinaryType):
+        return F.hex(value)
+    return F.when(value.isNotNull(), F.to_json(F.struct(value))) if isinstance(kind, (ArrayType, StructType)) else value.cast("string")
+
+
+def cells(df: DataFrame, columns: Sequence[str], *kept: str) -> DataFrame:
+    """(kept columns, column_name, value, length) for every row and column, from one scan.
 
-    A single aggregate with several exact distincts would copy every row once per column.
+    Grouped by value right away, so that each task sends a value of a column once, and the repetition by the
+    number of columns stays within the task.
     """
-    counts = [
-        df.agg(F.lit(f"{prefix}{c}").alias("column_name"), F.count_distinct(c).alias("distinct_count"))
-        for c in columns
+    each = [
+        F.struct(F.lit(c).alias("column_name"), _cell(df, c).alias("value"), F.length(F.col(f"`{c}`").cast("string")).alias("length"))
+        for c in dict.fromkeys(columns)
     ]
-    return union_all(counts)
+    return df.select(*kept, F.inline(F.array(*each)))
+
+
+def _of_columns(df: DataFrame, columns: Sequence[str], counted: DataFrame) -> DataFrame:
+    """A line for each column, those without rows too."""
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    return names.join(counted, "column_name", "left")
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str], prefix: str = "nd_") -> DataFrame:
+    """(column_name, distinct_count) exactly, from one scan of all columns."""
+    values = cells(df, columns).groupBy("column_name", "value").agg(F.lit(1).alias("_one"))
+    counted = values.groupBy("column_name").agg(F.count("value").alias("_n"))
+    return _of_columns(df, columns, counted).select(
+        F.concat(F.lit(prefix), "column_name").alias("column_name"), F.coalesce("_n", F.lit(0)).alias("distinct_count")
+    )
 
 
 def column_profile(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
-    """Rows, distinct, nulls, density (1 / distinct) and mean length of each column."""
-
-    def one(c: str) -> DataFrame:
-        distinct = F.approx_count_distinct(c) if approximate else F.count_distinct(c)
-        text = F.col(c).cast("string")
-        return df.agg(
-            F.lit(c).alias("column_name"),
-            F.count("*").alias("num_rows"),
-            distinct.alias("num_distinct"),
-            F.count_if(F.col(c).isNull()).alias("num_nulls"),
-            ratio(F.sum(F.length(text)), F.count(text)).alias("avg_length"),
-        )
+    """Rows, distinct, nulls, density (1 / distinct) and mean length of each column, from one scan of all of them.
 
+    Exact counts group by value first; approximate ones keep a sketch for each column instead.
+    """
+    each = cells(df, columns)
+    if approximate:
+        values, times, distinct = each, F.lit(1), F.approx_count_distinct("value")
+    else:
+        values = each.groupBy("column_name", "value", "length").agg(F.count("*").alias("_times"))
+        times, distinct = F.col("_times"), F.count("value")
+    present = F.col("value").isNotNull()
+    counted = values.groupBy("column_name").agg(
+        F.sum(times).alias("num_rows"),
+        distinct.alias("num_distinct"),
+        F.coalesce(F.sum(F.when(~present, times)), F.lit(0)).alias("num_nulls"),
+        ratio(F.sum(F.when(present, times * F.col("length"))), F.sum(F.when(present, times))).alias("avg_length"),
+    )
     density = F.when(F.col("num_distinct") > 0, F.lit(1.0) / F.col("num_distinct"))
-    return union_all([one(c) for c in columns]).withColumn("density", density)
+    none = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("num_rows", "num_distinct", "num_nulls")}
+    return _of_columns(df, columns, counted).withColumns(none).withColumn("density", density)

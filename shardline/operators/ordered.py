@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -10,6 +11,8 @@ from pyspark.sql.types import DatetimeType, NumericType, StringType
 from shardline.session import cut_lineage
 
 SPANS = 32
+#: Rows that a range of ordered rows holds about.
+SPAN_ROWS = 1_000_000
 
 
 def _scale(df: DataFrame, name: str) -> Column | None:
@@ -51,28 +54,37 @@ def with_span(df: DataFrame, order: Sequence[str], spans: int = SPANS, name: str
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], spans: int = SPANS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    columns: dict[str, str],
+    spans: int | None = None,
+    rows_a_span: int = SPAN_ROWS,
 ) -> DataFrame:
     """Add the previous row's values within ``keys``: {source column: new column}.
 
-    ``lag`` runs inside (keys, span); the first row of a span takes its values from the
-    last row of the key's previous span, found by a map-side combined aggregate. The flag
-    ``_has_previous`` tells a missing row from a NULL value.
+    The rows are dealt out in ranges of (keys, order), of any types that can be sorted: about ``rows_a_span`` rows each, or
+    ``spans`` ranges. A hot key thus covers as many ranges as its rows fill. They are written once; ``lag`` runs within a
+    range, and its first row looks at the last row of the range before, of which there is one a range. Only rows
+    equal in all of ``keys`` and ``order`` stay together. ``_has_previous`` tells a missing row from a NULL value.
     """
-    spanned = with_span(df, order, spans)
-    inside = Window.partitionBy(*keys, "_span").orderBy(*order)
-    values = F.struct(*[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)], F.lit(True).alias("_seen"))
-    rows = spanned.withColumn("_lag", F.lag(values).over(inside))
-    last = spanned.groupBy(*keys, "_span").agg(F.max_by(values, F.struct(*order)).alias("_last"))
-    across = Window.partitionBy(*keys).orderBy("_span")  # one row per key and span
-    carried = last.select(*keys, "_span", F.lag("_last").over(across).alias("_carry"))
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "_span"]]
-    joined = rows.alias("r").join(carried.alias("c"), same, "left")
-    previous = F.coalesce(F.col("r._lag"), F.col("c._carry"))
-    return joined.select(
-        *[F.col(f"r.{c}") for c in df.columns],
-        *[previous[f"_v{i}"].alias(new) for i, new in enumerate(columns.values())],
-        previous.isNotNull().alias("_has_previous"),
+    sorting = [*keys, *order]
+    spans = spans or max(1, math.ceil(df.count() / rows_a_span))
+    ranged = df.repartitionByRange(spans, *sorting).sortWithinPartitions(*sorting)
+    base = cut_lineage(ranged.withColumn("_slot", F.monotonically_increasing_id()), "ranges")
+    base = base.withColumn("_span", F.shiftright("_slot", 33))
+    kept = F.struct(*[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    owner = F.struct(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    seen = F.struct(owner.alias("owner"), kept.alias("kept"))
+    rows = base.withColumn("_lag", F.lag(seen).over(Window.partitionBy("_span").orderBy("_slot")))
+    last = base.groupBy("_span").agg(F.max_by(seen, "_slot").alias("_last"))
+    carried = last.select("_span", F.lag("_last").over(Window.orderBy("_span")).alias("_carry"))  # one row a range
+    joined = rows.join(carried, "_span").withColumn("_previous", F.coalesce("_lag", "_carry"))
+    same = F.col("_previous.owner").eqNullSafe(owner)
+    return joined.withColumn("_has_previous", F.col("_previous").isNotNull() & same).select(
+        *df.columns,
+        *[F.when(F.col("_has_previous"), F.col(f"_previous.kept._v{i}")).alias(new) for i, new in enumerate(columns.values())],
+        "_has_previous",
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shardline.functions.predicates import flow_fields, leaf, period, within
 from shardline.functions.scalars import ipv4_to_binary, ipv4_to_text, mean_delay, ratio
-from shardline.operators.aggregates import bit_rate, efficiency
+from shardline.operators.aggregates import bit_rate, cells, efficiency
 from shardline.operators.hierarchy import children_of
 from shardline.operators.ordered import top
 from shardline.session import cut_lineage
@@ -26,6 +26,8 @@ RTM_FLOW = 4
 PET_FLOW = 5
 
 SUMS = ("bytes", "pkts", "tcp_retx_bytes", "sample_interval_secs", "guar_rate_fails")
+#: States of a period table, and the steps that may follow each ('': none was recorded).
+NEXT_STATES = {"": "nc", "n": "c", "c": "rf", "r": "l", "l": "def", "f": "c", "d": "l", "e": "l"}
 DIMENSIONS = ("device_id", "ud_class_id", "src_ip", "dst_ip", "vlan_id", "tos", "service_id", "ftype_num")
 
 
@@ -50,14 +52,21 @@ def rollup_facts(raw: DataFrame, grain: str, keys: Sequence[str] = ("device_id",
 
 
 def period_stats(facts: DataFrame, dimensions: Sequence[str]) -> DataFrame:
-    """Ledger line per period: rows and the exact distinct count of each dimension."""
-    rows = facts.groupBy("period_id").agg(
-        F.min("datetime").alias("start_time"), F.count("*").cast("long").alias("roll_rows")
+    """Ledger line per period: rows and the exact distinct count of each dimension, from one scan.
+
+    Every row gives a cell for each dimension and one for itself; equal cells are combined within the task.
+    """
+    row = facts.where("period_id IS NOT NULL").withColumn("_row", F.lit(None).cast("string"))
+    each = cells(row, ["_row", *dimensions], "period_id", "datetime")
+    combined = each.groupBy("period_id", "column_name", "value").agg(
+        F.count("*").alias("_times"), F.min("datetime").alias("_start")
+    )
+    counts = [F.count(F.when(F.col("column_name") == c, F.col("value"))).alias(f"nd_{c}") for c in dimensions]
+    return combined.groupBy("period_id").agg(
+        F.min("_start").alias("start_time"),
+        F.sum(F.when(F.col("column_name") == "_row", F.col("_times"))).alias("roll_rows"),
+        *counts,
     )
-    for c in dimensions:
-        counts = facts.groupBy("period_id").agg(F.count_distinct(c).alias(f"nd_{c}"))
-        rows = rows.join(counts, "period_id")
-    return rows
 
 
 def rollup_state(expected: DataFrame, stats: DataFrame) -> DataFrame:
@@ -67,6 +76,36 @@ def rollup_state(expected: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.select("period_id", state.alias("state"), F.coalesce("roll_rows", F.lit(0)).alias("roll_rows"))
 
 
+def rollup_ledger(expected: DataFrame, steps: DataFrame) -> DataFrame:
+    """State of each expected period from the steps recorded of it, with the seconds that copy and rollup took.
+
+    ``steps`` holds (period_id, at, state, roll_rows): new, copy, ready, rollup and then done, empty or failure; a
+    failure may be copied again, and a done or empty period may be rolled up once more. A step that the state recorded
+    before it doesn't allow counts as ``illegal`` and doesn't become the state. Without steps a period is new. A rollup
+    that ended without rows is empty, whatever the step says.
+    """
+    kept = expected.select("period_id").distinct()
+    order = Window.partitionBy("period_id").orderBy("at", "state")  # the few steps of one period
+    before, since = F.lag("state", 1, "").over(order), F.lag("at").over(order)
+    told = steps.join(kept, "period_id", "left_semi").withColumns({"_before": before, "_since": since})
+    legal = F.concat("_before", "state").isin([a + b for a, after in NEXT_STATES.items() for b in after])
+    seconds = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("_since").cast("timestamp"))
+    took = F.floor(seconds / 1_000_000)
+    told = told.withColumns({"_legal": legal, "_took": took})
+    ended = F.col("_legal") & (F.col("_before") == "l")
+    folded = told.groupBy("period_id").agg(
+        F.max_by("state", F.when(F.col("_legal"), F.struct("at", "state"))).alias("_state"),
+        F.sum(F.when(F.col("_legal") & (F.col("_before") == "c"), F.col("_took"))).alias("copy_time"),
+        F.sum(F.when(ended, F.col("_took"))).alias("rollup_time"),
+        F.max_by(F.coalesce("roll_rows", F.lit(0)), F.when(ended, F.struct("at", "state"))).alias("roll_rows"),
+        F.count_if(~F.col("_legal")).alias("illegal"),
+    )
+    rows = F.coalesce("roll_rows", F.lit(0)).cast("long")
+    state = F.when(F.col("_state").isin("d", "e"), F.when(rows > 0, "d").otherwise("e")).otherwise(F.coalesce("_state", F.lit("n")))
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("copy_time", "rollup_time", "illegal")}
+    return kept.join(folded, "period_id", "left").select("period_id", state.alias("state"), *zero.values(), rows.alias("roll_rows"))
+
+
 def _floor(moment: dt.datetime, grain: str) -> dt.datetime:
     if grain == "month":
         return dt.datetime(moment.year, moment.month, 1)
@@ -106,8 +145,10 @@ def in_periods(facts: DataFrame, start: dt.datetime, end: dt.datetime, grain: st
 
 
 def _reduced(facts: DataFrame, *keys: str) -> DataFrame:
+    """Sums per key; of rows that were reduced before, with their numbers of facts."""
+    number = F.sum("fact_rows") if "fact_rows" in facts.columns else F.count("*")
     return facts.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in SUMS], F.max("peak_bps").alias("peak_bps"), F.count("*").alias("fact_rows")
+        *[F.sum(c).alias(c) for c in SUMS], F.max("peak_bps").alias("peak_bps"), number.alias("fact_rows")
     )
 
 
@@ -145,7 +186,11 @@ def device_class_timeseries(
 
 
 def _by_site(facts: DataFrame, dims: Bridges, group_id: int, start, end, grain: str) -> DataFrame:
-    """Measures per (datetime, site) over leaf classes, of one device group (0: all)."""
+    """Measures per (datetime, site) over leaf classes, of one device group (0: all).
+
+    Facts are summed by what the bridge asks of them before they meet it, and once more after: sums and maxima
+    come out the same, and a class of many sites repeats sums, not facts.
+    """
     bridge = dims.site_classes.select("class_id", "site_id").join(
         dims.classes.where(leaf()).select("class_id"), "class_id"
     )
@@ -154,8 +199,8 @@ def _by_site(facts: DataFrame, dims: Bridges, group_id: int, start, end, grain:
         members = dims.group_devices.where(F.col("group_id") == group_id).select("device_id")
         bridge = dims.dev_classes.select("class_id", "device_id").join(members, "device_id").join(bridge, "class_id")
         keys = ["class_id", "device_id"]
-    rows = in_periods(facts, start, end, grain).join(cut_lineage(bridge, "bridge"), keys)
-    return _reduced(rows, "datetime", "site_id")
+    rows = _reduced(in_periods(facts, start, end, grain), "datetime", *keys)
+    return _reduced(rows.join(cut_lineage(bridge, "bridge"), keys), "datetime", "site_id")
 
 
 def _across_periods(rows: DataFrame, key: str, extra: Sequence[Column], weighted: bool) -> DataFrame:
@@ -241,22 +286,20 @@ def top_n_sites_timeseries(
 ) -> DataFrame:
     """Rate over time of the top n sites, from one pass over the facts.
 
-    A site carries its list of period sums (one entry per period of the range) into the
-    top-n choice, and only the chosen sites are unfolded again.
+    The sums per period and site are written once; the n chosen sites then pick their lines from them.
     """
-    rows = _by_site(facts, dims, group_id, start, end, grain)
-    slices = F.collect_list(F.struct("datetime", "bytes", "sample_interval_secs"))
-    sites = rows.groupBy("site_id").agg(F.sum(measure).alias("_m"), slices.alias("_slices")).where("_m > 0")
+    rows = cut_lineage(_by_site(facts, dims, group_id, start, end, grain), "periods")
+    sites = rows.groupBy("site_id").agg(F.sum(measure).alias("_m")).where("_m > 0")
     names = dims.sites.select("site_id", F.ltrim("name").alias("site_name"))
     best = top(sites.join(names, "site_id"), "_m", n, "site_id")
     place = F.row_number().over(Window.orderBy(F.col("_m").desc(), "site_id"))  # n rows
-    lines = best.withColumn("ord_num", place).withColumn("s", F.explode("_slices"))
+    lines = rows.join(F.broadcast(best.withColumn("ord_num", place)), "site_id")  # n rows
     return lines.select(
         "ord_num",
         "site_id",
         "site_name",
-        F.col("s.datetime").alias("start_time"),
-        bit_rate(F.col("s.bytes"), F.col("s.sample_interval_secs")).cast("decimal(14,2)").alias("avg_rate"),
+        F.col("datetime").alias("start_time"),
+        bit_rate(F.col("bytes"), F.col("sample_interval_secs")).cast("decimal(14,2)").alias("avg_rate"),
     ).orderBy("ord_num", "start_time")
 
 
@@ -305,7 +348,7 @@ def top_n_child_classes(
     """Top n immediate child classes of a class path, with partition size and use."""
     children = children_of(dims.classes, parent_path).select("class_id", F.col("name").alias("class_name"), "path")
     group = dims.group_devices.where(F.col("group_id") == group_id).select("device_id")
-    rows = in_periods(facts, start, end, grain).join(children, "class_id")
+    rows = _reduced(in_periods(facts, start, end, grain), "datetime", "device_id", "class_id").join(children, "class_id")
     rows = _reduced(rows.join(group, "device_id"), "datetime", "device_id", "class_id", "class_name", "path")
     wanted = partitions.join(children.select("path").distinct(), "path", "left_semi")
     used = with_partition_use(rows, in_periods(part_facts, start, end, grain), wanted, repeat_partitions)

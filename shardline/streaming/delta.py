@@ -16,7 +16,7 @@ from shardline.elt.load import append_new, upsert
 from shardline.operators.ordered import latest
 
 
-def _finished(spark: SparkSession, folder: str, label: str) -> list[int]:
+def finished(spark: SparkSession, folder: str, label: str) -> list[int]:
     """Numbers of the completely written ``label=N`` folders, in order."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(folder)
@@ -41,10 +41,10 @@ def read_stage(
     spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], ignore_known: bool = False
 ) -> DataFrame:
     """The stage as of the last batch: later batches win, or earlier ones with ``ignore_known``."""
-    bases = _finished(spark, f"{path}/base", "upto")
+    bases = finished(spark, f"{path}/base", "upto")
     upto = bases[-1] if bases else -1
     base = spark.read.schema(schema).parquet(f"{path}/base/upto={upto}") if bases else spark.createDataFrame([], schema)
-    batches = [n for n in _finished(spark, f"{path}/changes", "batch") if n > upto]
+    batches = [n for n in finished(spark, f"{path}/changes", "batch") if n > upto]
     if not batches:
         return base
     layout = StructType([*schema.fields, StructField("batch", IntegerType())])
@@ -54,12 +54,26 @@ def read_stage(
     return merge(base, changes, keys, [F.col("batch").asc() if ignore_known else F.col("batch").desc()])
 
 
+def start_stage(stage: DataFrame, path: str) -> None:
+    """Make the rows, one for each key, the base that later batches are put over."""
+    stage.write.mode("overwrite").parquet(f"{path}/base/upto=-1")
+
+
+def unfolded(spark: SparkSession, path: str, schema: StructType) -> tuple[int, int]:
+    """Rows of the newest base, and of the batches since; counted from the files' footers."""
+    bases = finished(spark, f"{path}/base", "upto")
+    upto = bases[-1] if bases else -1
+    base = spark.read.schema(schema).parquet(f"{path}/base/upto={upto}").count() if bases else 0
+    paths = [f"{path}/changes/batch={n}" for n in finished(spark, f"{path}/changes", "batch") if n > upto]
+    return base, spark.read.schema(schema).parquet(*paths).count() if paths else 0
+
+
 def fold(
     spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], ignore_known: bool = False
 ) -> None:
     """Write the stage as a new base; the old base and the folded batches are no longer read."""
-    batches = _finished(spark, f"{path}/changes", "batch")
-    if batches and batches[-1] not in _finished(spark, f"{path}/base", "upto"):
+    batches = finished(spark, f"{path}/changes", "batch")
+    if batches and batches[-1] not in finished(spark, f"{path}/base", "upto"):
         stage = read_stage(spark, path, schema, keys, ignore_known)
         stage.write.mode("overwrite").parquet(f"{path}/base/upto={batches[-1]}")
 
@@ -74,8 +88,13 @@ def merge_files(
     order: Callable[[], Sequence[Column]],
     ignore_known: bool = False,
     file_filter: str | None = None,
+    fold_share: float = 0.5,
 ) -> DataFrame:
-    """Take in all new files below ``source`` and return the stage after them."""
+    """Take in all new files below ``source`` and return the stage after them.
+
+    When the batches since the base hold more than ``fold_share`` of its rows they are folded in, so that reading
+    the stage never costs much more than its base.
+    """
     reader = spark.readStream.schema(schema)
     if file_filter:
         reader = reader.option("pathGlobFilter", file_filter)
@@ -87,6 +106,9 @@ def merge_files(
         .start()
     )
     query.awaitTermination()
+    based, waiting = unfolded(spark, path, schema)
+    if waiting > fold_share * based:
+        fold(spark, path, schema, keys, ignore_known)
     return read_stage(spark, path, schema, keys, ignore_known)
 
 
