@@ -58,7 +58,7 @@ def _cell(df: DataFrame, c: str) -> Column:
     """A value as text that is equal for equal values only."""
     kind, value = df.schema[c].dataType, F.col(f"`{c}`")
     if isinstance(kind, (FloatType, DoubleType)):
-        value = value + 0.0  # one zero
+        value = F.when(value == 0, 0.0).otherwise(value)  # one zero
     if isinstance(kind, BinaryType):
         return F.hex(value)
     return F.when(value.isNotNull(), F.to_json(F.struct(value))) if isinstance(kind, (ArrayType, StructType)) else value.cast("string")
