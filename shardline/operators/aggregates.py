@@ -101,7 +101,7 @@ def column_profile(df: DataFrame, columns: Sequence[str], approximate: bool = Fa
     if approximate:
         values, times, distinct = each, F.lit(1), F.approx_count_distinct("value")
     else:
-        values = each.groupBy("column_name", "value", "length").agg(F.count("*").alias("_times"))
+        values = each.groupBy("column_name", "value").agg(F.count("*").alias("_times"), F.min("length").alias("length"))
         times, distinct = F.col("_times"), F.count("value")
     present = F.col("value").isNotNull()
     counted = values.groupBy("column_name").agg(
