@@ -53,6 +53,39 @@ def with_span(df: DataFrame, order: Sequence[str], spans: int = SPANS, name: str
     return df.withColumn("_bounds", bounds).withColumn(name, span).drop("_bounds", "_lead")
 
 
+def in_ranges(df: DataFrame, order: Sequence[str], spans: int | None = None, rows_a_span: int = SPAN_ROWS) -> DataFrame:
+    """The rows, written once in ranges of ``order`` of about ``rows_a_span`` rows (or ``spans`` ranges).
+
+    ``_span`` numbers the ranges and ``_slot`` the rows, both rising with the order.
+    """
+    spans = spans or max(1, math.ceil(df.count() / rows_a_span))
+    ranged = df.repartitionByRange(spans, *order).sortWithinPartitions(*order)
+    base = cut_lineage(ranged.withColumn("_slot", F.monotonically_increasing_id()), "ranges")
+    return base.withColumn("_span", F.shiftright("_slot", 33))
+
+
+def with_sum_before(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, rows_a_span: int = SPAN_ROWS
+) -> DataFrame:
+    """Add the sum of ``value`` over the rows before within ``keys``, for groups of any size; 0 for the first.
+
+    Sums run over all rows, by ranges: within each, and over the ranges before it (one row a range). What had been
+    summed up at the first row of a group is taken off again. ``order`` should tell the rows of a group apart.
+    """
+    base = in_ranges(df, [*keys, *order], None, rows_a_span)
+    whole = Window.unboundedPreceding
+    inside = F.sum(value).over(Window.partitionBy("_span").orderBy("_slot").rowsBetween(whole, -1))
+    rows = base.withColumn("_inside", F.coalesce(inside, F.lit(0)))
+    totals = base.groupBy("_span").agg(F.sum(value).alias("_total"))
+    before = F.sum("_total").over(Window.orderBy("_span").rowsBetween(whole, -1))  # one row a range
+    shifts = totals.select("_span", F.coalesce(before, F.lit(0)).alias("_shift"))
+    summed = rows.join(shifts, "_span").withColumn("_sum", F.col("_inside") + F.col("_shift"))
+    firsts = summed.groupBy(*keys).agg(F.min_by("_sum", "_slot").alias("_first"))
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    joined = summed.alias("s").join(firsts.alias("f"), same)
+    return joined.select(*[F.col(f"s.{c}") for c in df.columns], (F.col("s._sum") - F.col("f._first")).alias(name))
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
@@ -68,11 +101,7 @@ def with_previous(
     range, and its first row looks at the last row of the range before, of which there is one a range. Only rows
     equal in all of ``keys`` and ``order`` stay together. ``_has_previous`` tells a missing row from a NULL value.
     """
-    sorting = [*keys, *order]
-    spans = spans or max(1, math.ceil(df.count() / rows_a_span))
-    ranged = df.repartitionByRange(spans, *sorting).sortWithinPartitions(*sorting)
-    base = cut_lineage(ranged.withColumn("_slot", F.monotonically_increasing_id()), "ranges")
-    base = base.withColumn("_span", F.shiftright("_slot", 33))
+    base = in_ranges(df, [*keys, *order], spans, rows_a_span)
     kept = F.struct(*[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)])
     owner = F.struct(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
     seen = F.struct(owner.alias("owner"), kept.alias("kept"))

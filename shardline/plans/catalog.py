@@ -77,12 +77,27 @@ def lookup_of(lookups: DataFrame, kind: int, value: str, label: str) -> DataFram
     )
 
 
-def related_items(items: DataFrame, details: DataFrame, relations: DataFrame) -> DataFrame:
+def _of_relations(chosen: DataFrame, details: DataFrame, relations: DataFrame) -> DataFrame:
+    """The chosen items and all that share a relation with one of them: what a report of the chosen ones looks at."""
+    members = details.select(*_shard(details), "item_id", "item_relation_id").unionByName(
+        relations.select(*_shard(relations), F.col("base_item_id").alias("item_id"), "item_relation_id")
+    )
+    touched = _join(members, chosen, "item_id", "left_semi").drop("item_id").distinct()
+    beside = _join(members, touched, "item_relation_id", "left_semi").drop("item_relation_id")
+    return chosen.unionByName(beside.select(*chosen.columns)).distinct()
+
+
+def related_items(
+    items: DataFrame, details: DataFrame, relations: DataFrame, chosen: DataFrame | None = None
+) -> DataFrame:
     """Items with their relation, its status, and the parent's pid, websku, item and mask.
 
     Children take the values of the dummy parent; the first row of a relation has none, and
-    items outside any relation stand for themselves.
+    items outside any relation stand for themselves. With ``chosen`` (item_id, and the shard) only these items are right
+    and the rest of their relations is there to carry from; all others are left out before anything is joined.
     """
+    if chosen is not None:
+        items = _join(items, _of_relations(chosen, details, relations), "item_id", "left_semi")
     by_detail = details.select(
         *_shard(details), "item_id", F.col("item_relation_id").alias("_d_rel"), F.col("status").alias("_d_status")
     )
@@ -179,7 +194,7 @@ def _item_columns() -> list[Column]:
 def publish_report(c: Catalog, day: dt.date) -> DataFrame:
     """Numbered lines of seller items saved on the day, active and published now."""
     saved = logged_items(c.item_log, day, (SAVED,)).distinct()
-    rows = related_items(c.items, c.relation_details, c.relations)
+    rows = related_items(c.items, c.relation_details, c.relations, saved)
     rows = rows.where((F.col("account_id") != HOUSE_ACCOUNT) & (F.col("item_relation_status") != 0))
     rows = _join(rows, saved, "item_id", "left_semi")
     rows = _described(rows, c, F.col("seller_item_status") == 1, F.col("catalog_status") == 2)
@@ -196,7 +211,8 @@ def create_report(c: Catalog, day: dt.date) -> DataFrame:
 
     An item of several relation kinds has a line for each.
     """
-    rows = related_items(c.items, c.relation_details, c.relations)
+    created = c.items.where((F.col("account_id") != HOUSE_ACCOUNT) & on_day("created_dtm", day))
+    rows = related_items(c.items, c.relation_details, c.relations, created.select(*_shard(created), "item_id").distinct())
     rows = rows.where(
         (F.col("account_id") != HOUSE_ACCOUNT)
         & (F.col("dummy_item_flag") != 1)
@@ -274,7 +290,7 @@ def house_create_report(c: Catalog, day: dt.date, house: str = HOUSE_NAME) -> Da
 def house_publish_report(c: Catalog, day: dt.date, house: str = HOUSE_NAME) -> DataFrame:
     """Published items of the house account that were saved, new or excluded on the day."""
     logged = logged_items(c.item_log, day, (1, 4, 5)).distinct()
-    rows = related_items(c.items, c.relation_details, c.relations).where(
+    rows = related_items(c.items, c.relation_details, c.relations, logged).where(
         (F.col("account_id") == HOUSE_ACCOUNT)
         & (F.col("account_type") == 1)
         & (F.col("fulfillment_type") == 3)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from shardline.elt import ledger
 from shardline.gallery import QUERIES
 from shardline.gallery.base import Tables
-from shardline.operators import aggregates, ordered
-from shardline.plans import flow
+from shardline.operators import aggregates, hierarchy, ordered
+from shardline.plans import catalog, flow
 
 SMALL = "/root/testdata/sf0.001"
 REPO = Path(__file__).parents[1]
@@ -165,3 +165,56 @@ def test_entry_without_the_subpackage(tmp_path):
         assert int(said[-2]) > 150 and said[-1] == "0"
         (copy / "corpus_pipeline.py").unlink(missing_ok=True)
     assert not re.search("llm", (copy / "shardline" / "gallery" / "__init__.py").read_text())
+
+
+def test_nested_set_of_a_deep_chain_and_a_wide_tree(spark, monkeypatch):
+    """Rounds grow with the logarithm of the depth."""
+    written = []
+    cut = hierarchy.cut_lineage
+    monkeypatch.setattr(hierarchy, "cut_lineage", lambda d, name: written.append(name) or cut(d, name))
+    deep = 5000
+    chain = spark.createDataFrame([(1, None), *((i, i - 1) for i in range(2, deep + 1))], "node_id long, parent_id long")
+    got = hierarchy.nested_set(chain)
+    assert len(written) <= 2 * (deep.bit_length() + 2)
+    assert got.where("l_idx <> node_id OR r_idx <> 10001 - node_id OR depth <> node_id - 1").isEmpty() and got.count() == deep
+    wide = spark.range(2, 20_002).select(F.col("id").alias("node_id"), F.lit(1).cast("long").alias("parent_id"))
+    wide = wide.unionByName(spark.createDataFrame([(1, None)], "node_id long, parent_id long"))
+    got = hierarchy.nested_set(wide)
+    assert got.where("node_id > 1 AND (l_idx <> 2 * (node_id - 1) OR r_idx <> l_idx + 1)").isEmpty()
+    assert got.where("node_id = 1").select("l_idx", "r_idx").first() == (1, 40_002)
+
+
+def test_nested_set_of_a_forest_with_strays(spark):
+    """Two trees; a node that is its own parent, one of an unknown parent and a ring are reached from no start."""
+    rows = [(5, None), (2, None), (9, 5), (3, 2), (4, 3), (7, 7), (8, 77), (10, 11), (11, 10), (12, 11)]
+    edges = spark.createDataFrame(rows, "node_id long, parent_id long")
+    got = {r.node_id: (r.depth, r.l_idx, r.r_idx) for r in hierarchy.nested_set(edges).collect()}
+    assert got == {2: (0, 1, 6), 3: (1, 2, 5), 4: (2, 3, 4), 5: (0, 7, 10), 9: (1, 8, 9)}
+    assert hierarchy.nested_set(edges.limit(0)).collect() == []
+
+
+def test_sums_before_in_groups_of_any_size(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, "hot").alias("k"), "id", (F.col("id") % 7).alias("v"))
+    got = {r.id: r.s for r in ordered.with_sum_before(df.repartition(6), ["k"], ["id"], "v", "s", rows_a_span=300).collect()}
+    sums, want = {}, {}
+    for i in range(5000):
+        want[i] = sums.get(i % 3 > 0, 0)
+        sums[i % 3 > 0] = want[i] + i % 7
+    assert got == want
+
+
+def test_reports_of_a_day_look_at_its_relations_only(spark, monkeypatch):
+    items = spark.createDataFrame(
+        [(i, 1 if i % 10 == 0 else 0, f"p{i}", f"w{i}", 2, 1) for i in range(100)],
+        "item_id int, dummy_item_flag int, pid string, websku string, relation_type_mask int, seller_item_status int",
+    )
+    details = spark.createDataFrame([(i, i // 10, 1) for i in range(90)], "item_id int, item_relation_id int, status int")
+    relations = spark.createDataFrame([(10 * r, r, 1) for r in range(9)], "base_item_id int, item_relation_id int, status int")
+    whole = {r.item_id: r for r in catalog.related_items(items, details, relations).collect()}
+    looked = []
+    carry = catalog.with_first_before
+    monkeypatch.setattr(catalog, "with_first_before", lambda rows, *a: looked.append(rows) or carry(rows, *a))
+    chosen = spark.createDataFrame([(13,), (14,), (50,), (95,), (500,)], "item_id int")
+    got = {r.item_id: r for r in catalog.related_items(items, details, relations, chosen).collect()}
+    assert {r.item_id for r in looked[0].collect()} == {*range(10, 20), *range(50, 60), 95}
+    assert all(got[i] == whole[i] for i in (13, 14, 50, 95))
