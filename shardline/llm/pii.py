@@ -218,9 +218,11 @@ def disclosures(
     with_entity = mentions.groupBy("entity", "key").agg(F.max("n").alias("n")).groupBy("entity").agg(F.sum("n").alias("with_entity"))
     context = F.xxhash64(F.array_join(F.array_sort("words"), " "))
     each = mentions.select("key", "n", "entity", context.alias("context"), F.explode(_with_initials(F.col("words"))).alias("term"))
-    texts_of = each.groupBy("entity", "term", "key").agg(F.max("n").alias("n"), F.min("context").alias("context"))
+    texts_of = cut_lineage(
+        each.groupBy("entity", "term", "key").agg(F.max("n").alias("n"), F.min("context").alias("context")), "near"
+    )
     seen = texts_of.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count_distinct("context").alias("contexts"))
-    known = seen.filter(F.col("contexts") >= support)
+    known = cut_lineage(seen.filter(F.col("contexts") >= support), "known")
     # the number of documents comes along with the terms' counts, and has one row
     counts = cut_lineage(terms.join(known.select("term").distinct().union(spark.sql("SELECT ''")), "term", "left_semi"), "terms")
     documents = counts.filter("term = ''").agg(F.coalesce(F.first("with_term"), F.lit(0))).first()[0]
