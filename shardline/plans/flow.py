@@ -286,15 +286,15 @@ def top_n_sites_timeseries(
 ) -> DataFrame:
     """Rate over time of the top n sites, from one pass over the facts.
 
-    The sums per period and site are written once; the n chosen sites then pick their lines from them.
+    Every line of a period carries its site's sum, and sites are ranked by it. The limit on the rank holds in each task before
+    the lines meet, so that no more than the periods of n sites come from any of them.
     """
-    rows = cut_lineage(_by_site(facts, dims, group_id, start, end, grain), "periods")
-    sites = rows.groupBy("site_id").agg(F.sum(measure).alias("_m")).where("_m > 0")
+    rows = _by_site(facts, dims, group_id, start, end, grain)
+    whole = F.sum(measure).over(Window.partitionBy("site_id"))  # a line for each period
     names = dims.sites.select("site_id", F.ltrim("name").alias("site_name"))
-    best = top(sites.join(names, "site_id"), "_m", n, "site_id")
-    place = F.row_number().over(Window.orderBy(F.col("_m").desc(), "site_id"))  # n rows
-    lines = rows.join(F.broadcast(best.withColumn("ord_num", place)), "site_id")  # n rows
-    return lines.select(
+    named = rows.withColumn("_m", whole).where("_m > 0").join(names, "site_id")
+    place = F.dense_rank().over(Window.orderBy(F.col("_m").desc(), "site_id"))
+    return named.withColumn("ord_num", place).where(F.col("ord_num") <= n).select(
         "ord_num",
         "site_id",
         "site_name",

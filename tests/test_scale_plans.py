@@ -90,6 +90,8 @@ def test_facts_are_summed_before_they_meet_a_bridge(shuffled, name, monkeypatch)
 def test_top_sites_over_time_gather_no_lists(shuffled):
     plan = "\n".join(lines(QUERIES["r4_top_n_sites_timeseries"](shuffled, SMALL)))
     assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+    ranked = plan[plan.index("dense_rank") :]
+    assert "WindowGroupLimit" in ranked and ranked.index("Partial") < ranked.index("Scan")  # limited in each task
 
 
 def test_reconciliation_lets_spark_choose_the_join(shuffled):
