@@ -102,15 +102,15 @@ def test_delta_window(spark, last, now, due, start, end):
 def test_appended_rows_line(spark):
     at = [dt.datetime(2011, 11, 12, h) for h in range(3)]
     entries = spark.createDataFrame(
-        [(5, "t1", "DELTA", 1, 1, at[0], at[1], 600, 500), (5, "t2", "DELTA", 1, 1, at[0], at[1], 98, 56),
+        [(5, "t1", "DELTA", 1, 1, at[0], at[1], 1410, 70), (5, "t2", "DELTA", 1, 1, at[0], at[1], 25, 9),
          (5, "t3", "DELTA", 0, 0, at[0], at[1], 7, 7), (4, "t1", "DELTA", 1, 1, at[0], at[1], 9, 9)],
         "download_num int, src_table_name string, control_type string, download_status int, append_status int, "
         "control_start_dtm timestamp_ntz, control_end_dtm timestamp_ntz, proc_rows long, proc_duration long",
     )
-    rows = [("t1", at[1])] * 600 + [("t2", at[0])] * 66 + [("t2", at[2])] * 9
+    rows = [("t1", at[1])] * 1200 + [("t2", at[0])] * 31 + [("t2", at[2])] * 9
     stage = spark.createDataFrame(rows, "src_table_name string, dtm timestamp_ntz")
     line = ledger.appended_rows(entries, stage).first()
-    assert line["summary"] == "Download # 5; Rows= 698; Duration= 556 sec; Appended Rows= 666"
+    assert line["summary"] == "Download # 5; Rows= 1,435; Duration= 79 sec; Appended Rows= 1,231"
 
 
 def test_sources_are_validated_and_made_loadable(spark):
