@@ -82,9 +82,9 @@ def _of_relations(chosen: DataFrame, details: DataFrame, relations: DataFrame) -
     members = details.select(*_shard(details), "item_id", "item_relation_id").unionByName(
         relations.select(*_shard(relations), F.col("base_item_id").alias("item_id"), "item_relation_id")
     )
-    touched = _join(members, chosen, "item_id", "left_semi").drop("item_id").distinct()
+    touched = _join(members, chosen, "item_id", "left_semi").drop("item_id")
     beside = _join(members, touched, "item_relation_id", "left_semi").drop("item_relation_id")
-    return chosen.unionByName(beside.select(*chosen.columns)).distinct()
+    return chosen.unionByName(beside.select(*chosen.columns))  # for a semi join, so repeats do no harm
 
 
 def related_items(
@@ -212,7 +212,7 @@ def create_report(c: Catalog, day: dt.date) -> DataFrame:
     An item of several relation kinds has a line for each.
     """
     created = c.items.where((F.col("account_id") != HOUSE_ACCOUNT) & on_day("created_dtm", day))
-    rows = related_items(c.items, c.relation_details, c.relations, created.select(*_shard(created), "item_id").distinct())
+    rows = related_items(c.items, c.relation_details, c.relations, created.select(*_shard(created), "item_id"))
     rows = rows.where(
         (F.col("account_id") != HOUSE_ACCOUNT)
         & (F.col("dummy_item_flag") != 1)
