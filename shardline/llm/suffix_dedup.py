@@ -121,24 +121,33 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int) -> dict[str, np.n
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order, and the place of each in it; only suffixes that still tie are sorted again."""
+    """Suffixes in order, and the place of each in it; only suffixes that still tie are sorted again.
+
+    As many symbols as fit a number (three or four of a bucket's) are compared at once to begin with.
+    """
     n = len(text)
-    order = np.argsort(text, kind="stable")
-    ranked = text[order]
+    width = max(1, int(text.max() + 1).bit_length())  # 0 stands for what lies behind the end
+    step = max(1, 63 // width)
+    ahead = np.zeros(n + step, np.int64)
+    ahead[:n] = text + 1
+    key = np.zeros(n, np.int64)
+    for i in range(step):
+        key = key << width | ahead[i : n + i]
+    order = np.argsort(key)
+    ranked = key[order]
     first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    step = 1
     tied = ~(first & np.append(first[1:], True))
     open_at = np.flatnonzero(tied)  # places in the order
     while len(open_at):
         suffix = order[open_at]
-        old = rank[suffix]
-        ahead = np.where(suffix + step < n, rank[np.minimum(suffix + step, n - 1)] + 1, 0)
-        by = np.lexsort((ahead, old))
-        suffix, old, ahead = suffix[by], old[by], ahead[by]
+        behind = np.where(suffix + step < n, rank[np.minimum(suffix + step, n - 1)] + 1, 0)
+        key = rank[suffix] * (n + 1) + behind  # under 2^63 up to three thousand million symbols
+        by = np.argsort(key)
+        suffix, key = suffix[by], key[by]
         order[open_at] = suffix  # a group keeps its places
-        first = np.concatenate([[True], (old[1:] != old[:-1]) | (ahead[1:] != ahead[:-1])])
+        first = np.concatenate([[True], key[1:] != key[:-1]])
         rank[suffix] = np.maximum.accumulate(np.where(first, open_at, 0))
         open_at = open_at[~(first & np.append(first[1:], True))]
         step *= 2
