@@ -45,6 +45,19 @@ def _(t):
     return placed.groupBy("l_suppkey").agg(F.sum("n").alias("n"), F.count("*").alias("partitions"))
 
 
+@query(
+    "s7_join_of_bucketed_tables",
+    """SELECT o_orderkey, o_orderpriority, COUNT(*) AS n, CAST(SUM(l_quantity) AS BIGINT) AS quantity
+       FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority""",
+)
+def _(t):
+    orders = sinks.bucketed(t.orders.select("o_orderkey", "o_orderpriority"), "orders", 16, "o_orderkey")
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity")
+    lines = sinks.bucketed(lines, "lines", 16, "o_orderkey")
+    sums = orders.join(lines, "o_orderkey").groupBy("o_orderkey", "o_orderpriority")
+    return sums.agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
+
+
 @query(
     "s8_month_partition_layout",
     "SELECT '199712' AS yyyymm, l_linestatus, COUNT(*) AS n FROM lineitem WHERE STRFTIME(l_shipdate, '%Y%m') = '199712' GROUP BY 2",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shardline.gallery.base import div, fixed, query
 from shardline.operators import aggregates as A
 from shardline.operators import masks, ordered, sets
+from shardline.plans import accounts
 from shardline.plans.catalog import over_threshold, site_order_number
 
 
@@ -109,8 +110,8 @@ def _(t):
        LEFT JOIN x_account_user u ON u.account_id = a.account_id AND u.is_owner = 1""",
 )
 def _(t):
-    owners = t.account_user.where("is_owner = 1").select("account_id", "user_id")
-    return t.account.select("account_id", "account_name").join(owners, "account_id", "left")
+    rows = accounts.find_accounts(t.account, t.vendor_account, t.account_user)
+    return rows.select("account_id", "account_name", "user_id")
 
 
 @query(

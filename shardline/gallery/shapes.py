@@ -41,7 +41,10 @@ SELECT CAST(1000000000 + p_size AS BIGINT), CAST(NULL AS BIGINT), CONCAT('Size '
        CONCAT('/Size', CAST(p_size AS STRING)), CAST(-1 AS BIGINT), CAST(1000000000 AS BIGINT)
 FROM {part} GROUP BY p_size
 """
-SHAPES["x_sites"] = "SELECT n_nationkey AS site_id, CONCAT('  ', n_name) AS name FROM {nation} WHERE n_nationkey < 23"
+SHAPES["x_sites"] = """
+SELECT CASE WHEN n_nationkey < 23 THEN n_nationkey ELSE n_nationkey + 100 END AS site_id, CONCAT('  ', n_name) AS name
+FROM {nation}
+"""
 SHAPES["x_site_classes"] = "SELECT p_size % 25 AS site_id, p_partkey AS class_id FROM {part}"
 SHAPES["x_dev_classes"] = """
 SELECT DISTINCT l_suppkey AS device_id, l_partkey AS class_id, l_partkey % 7 AS ud_class_id FROM {lineitem}
@@ -49,8 +52,9 @@ SELECT DISTINCT l_suppkey AS device_id, l_partkey AS class_id, l_partkey % 7 AS
 SHAPES["x_group_devices"] = "SELECT s_nationkey % 5 + 1 AS group_id, s_suppkey AS device_id FROM {supplier}"
 SHAPES["x_devices"] = "SELECT s_suppkey AS device_id, s_name AS name FROM {supplier}"
 SHAPES["x_partitions"] = """
-SELECT p_partkey AS part_id, CONCAT('/Size', CAST(p_size AS STRING), '/', CAST(p_partkey AS STRING)) AS path
-FROM {part} WHERE p_type <> 'PROMO'
+SELECT CASE WHEN p_type = 'PROMO' THEN -p_partkey ELSE p_partkey END AS part_id,
+       CONCAT('/Size', CAST(p_size AS STRING), '/', CAST(p_partkey AS STRING)) AS path
+FROM {part}
 """
 SHAPES["x_part_facts"] = """
 SELECT 'month' AS grain,
@@ -94,11 +98,12 @@ SELECT c_custkey AS account_id, c_name AS account_name, UPPER(c_name) AS account
 FROM {customer}
 """
 SHAPES["x_vendor_account"] = """
-SELECT c_custkey AS account_id, CAST(c_custkey % 8 AS INT) AS fulfillment_type_mask,
+SELECT CASE WHEN c_acctbal < 2000 THEN -c_custkey ELSE c_custkey END AS account_id,
+       CAST(c_custkey % 8 AS INT) AS fulfillment_type_mask,
        c_nationkey AS external_seller_id, c_custkey % 10 AS parent_id,
        CAST(100000 + c_nationkey AS BIGINT) AS remit_to_duns, CAST(c_nationkey AS STRING) AS vid,
        c_mktsegment AS description, CAST(c_custkey % 2 AS INT) AS channel_mask
-FROM {customer} WHERE c_acctbal >= 2000
+FROM {customer}
 """
 SHAPES["x_account_user"] = """
 SELECT o_orderkey AS account_user_id, o_custkey AS account_id, CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS is_owner,
@@ -274,7 +279,8 @@ SHAPES["x_outer_account"] = """
 SELECT r_regionkey AS external_account_id, CASE WHEN r_regionkey = 1 THEN 'Shop' ELSE r_name END AS account_name, 1 AS status FROM {region}
 """
 SHAPES["x_outer_mapping"] = """
-SELECT event_id AS external_item_id, event_id % 50 AS content_item_id FROM {events} WHERE event_type <> 'click'
+SELECT CASE WHEN event_type = 'click' THEN -event_id ELSE event_id END AS external_item_id, event_id % 50 AS content_item_id
+FROM {events}
 """
 
 # ---- sales ----
@@ -391,8 +397,9 @@ SELECT s_nationkey AS ts, s_suppkey AS file, CONCAT('/data/', s_name) AS file_na
 FROM {supplier}
 """
 SHAPES["x_extents"] = """
-SELECT s_nationkey AS ts, l_suppkey AS file, CAST(l_quantity AS BIGINT) AS length
-FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey WHERE s_acctbal > 500
+SELECT s_nationkey AS ts, CASE WHEN s_acctbal > 500 THEN l_suppkey ELSE -l_suppkey END AS file,
+       CAST(l_quantity AS BIGINT) AS length
+FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey
 """
 SHAPES["x_tablespaces"] = """
 SELECT n_name AS tablespace_name, CASE WHEN n_regionkey = 1 THEN 'TEMPORARY' ELSE 'PERMANENT' END AS contents,

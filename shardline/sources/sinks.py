@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shardline.session import cut_lineage, scratch_path
@@ -53,9 +55,21 @@ def distribute(df: DataFrame, *keys: str, partitions: int | None = None) -> Data
     return df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, *keys: str) -> None:
-    """Table whose later joins and aggregates on ``keys`` need no shuffle."""
-    df.write.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, buckets: int, *keys: str, path: str | None = None) -> None:
+    """Table whose later joins and aggregates on ``keys`` need no shuffle.
+
+    The rows are dealt to the buckets first, so each bucket is one file however many tasks the source
+    has. ``path`` puts the files outside the warehouse.
+    """
+    writer = distribute(df, *keys, partitions=buckets).write.bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+    """The rows from a bucketed table below the application's folder."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    write_bucketed(df, table, buckets, *keys, path=scratch_path(df.sparkSession, name))
+    return df.sparkSession.table(table)
 
 
 def promote(df: DataFrame, path: str, partition: str) -> None:

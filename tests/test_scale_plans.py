@@ -15,6 +15,7 @@ from shardline.gallery import QUERIES
 from shardline.gallery.base import Tables
 from shardline.operators import aggregates, hierarchy, ordered
 from shardline.plans import catalog, flow
+from shardline.sources import sinks
 
 SMALL = "/root/testdata/sf0.001"
 REPO = Path(__file__).parents[1]
@@ -220,3 +221,20 @@ def test_reports_of_a_day_look_at_its_relations_only(spark, monkeypatch):
     got = {r.item_id: r for r in catalog.related_items(items, details, relations, chosen).collect()}
     assert {r.item_id for r in looked[0].collect()} == {*range(10, 20), *range(50, 60), 95}
     assert all(got[i] == whole[i] for i in (13, 14, 50, 95))
+
+
+def test_bucketed_tables_meet_without_an_exchange(shuffled):
+    plan = lines(QUERIES["s7_join_of_bucketed_tables"](shuffled, SMALL))
+    assert any("SortMergeJoin" in x for x in plan)
+    assert not any("Exchange" in x for x in plan)
+    table = sinks.bucketed(shuffled.range(0, 5000, 1, 8), "spread", 4, "id")
+    assert len(table.inputFiles()) == 4  # one file a bucket, not one a task
+
+
+def test_shapes_keep_every_row(spark):
+    t = Tables(spark, SMALL)
+    for shape, table in (("sites", "nation"), ("partitions", "part"), ("vendor_account", "customer"), ("outer_mapping", "events")):
+        assert getattr(t, shape).count() == getattr(t, table).count()
+    assert t.extents.count() == t.lineitem.count()
+    owners = t.account.join(t.vendor_account, "account_id", "left_anti")
+    assert 0 < owners.count() < t.account.count()  # misses come from the keys
