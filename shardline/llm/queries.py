@@ -58,30 +58,52 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "op2_warc_archive",
     """
-    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
     d AS (
-        SELECT page_id, html, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+        SELECT page_id, url, html, CAST(strlen(html) AS BIGINT) AS payload_bytes,
                list_transform(range(0, 40), lambda i: CAST('0x' || substr(sha1(html), CAST(i + 1 AS INT), 1) AS INT)) AS h
         FROM p),
     b AS (
-        SELECT page_id, html, payload_bytes,
+        SELECT page_id, url, html, payload_bytes,
                list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
                    ((h[5 * i // 4 + 1] * 16 + coalesce(h[5 * i // 4 + 2], 0)) // CAST(pow(2, 3 - (5 * i) % 4) AS INT)) % 32
                    AS INT), 1)), 'string_agg', '') AS payload_digest
         FROM d),
-    m AS (SELECT html, max(page_id) AS first FROM p GROUP BY html)
-    SELECT page_id, payload_bytes, payload_digest,
-           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-           CASE WHEN page_id <> first THEN first END AS refers_to
-    FROM b JOIN m USING (html)
+    m AS (SELECT html, max(page_id) AS first FROM p GROUP BY html),
+    r AS (
+        SELECT page_id, url, html, payload_bytes, payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to,
+               concat_ws(chr(13) || chr(10), 'HTTP/1.1 200 OK', 'Content-Type: text/html; charset=utf-8',
+                         'Content-Length: ' || payload_bytes, '', CASE WHEN page_id = first THEN html ELSE '' END) AS block
+        FROM b JOIN m USING (html)),
+    w AS (
+        SELECT *, concat_ws(chr(13) || chr(10),
+            'WARC/1.1', 'WARC-Type: ' || record_type, 'WARC-Record-ID: <urn:page:' || page_id || '>',
+            'WARC-Date: 1970-01-01T00:00:00Z',
+            'WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A'),
+            'WARC-Payload-Digest: sha1:' || payload_digest,
+            CASE WHEN refers_to IS NOT NULL THEN 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' END,
+            'WARC-Refers-To: <urn:page:' || refers_to || '>',
+            'Content-Type: application/http; msgtype=response', 'Content-Length: ' || strlen(block), '', block, '', '') AS record
+        FROM r)
+    SELECT page_id, payload_bytes, payload_digest, record_type, refers_to,
+           CAST(strlen(record) AS BIGINT) AS record_bytes, sha256(record) AS record_sha256
+    FROM w
     """,
 )
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages written as an archive in the shared folder and read back."""
+    """Pages written as an archive in the shared folder and read back, with each original record put together again."""
     path = scratch_path(spark, "archive")
     write_archive(table(spark, folder, "pages"), path)
     return records(spark, path).select(
-        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+        F.col("id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        "refers_to",
+        F.octet_length("record").cast("long").alias("record_bytes"),
+        F.sha2("record", 256).alias("record_sha256"),
     )
 
 

@@ -3,12 +3,15 @@
 Two tables below one folder. ``payloads`` holds each distinct payload under its SHA-256; ``headers``
 holds a row per record with its exact header block and the address of its payload. An original
 record is header block, payload (for a response) and the two line ends; ``records`` joins
-them and checks each payload against its address while it is scanned.
+them and checks each payload against its address while it is scanned, and against the digest and
+length that the header states.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from shardline.session import cut_lineage
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ALPHABET = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
@@ -23,11 +26,13 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*parts), *_ALPHABET)
 
 
-def _urn(id_column: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(id_column.cast("string"), F.lit("null")), F.lit(">"))
+def _urn(id_column: Column, kind: T.DataType) -> Column:
+    """A page's name in headers; ids that are text are written as in URLs, so that no sign of theirs ends the field."""
+    text = F.url_encode(id_column) if isinstance(kind, T.StringType) else id_column.cast("string")
+    return F.concat(F.lit("<urn:page:"), F.coalesce(text, F.lit("null")), F.lit(">"))
 
 
-def _head(date: str) -> Column:
+def _head(date: str, kind: T.DataType) -> Column:
     """The header block of a record: WARC fields, an empty line, HTTP fields, an empty line."""
     is_response = F.col("record_type") == "response"
     http = F.concat(
@@ -41,13 +46,13 @@ def _head(date: str) -> Column:
         F.lit("WARC/1.1\r\nWARC-Type: "),
         F.col("record_type"),
         F.lit("\r\nWARC-Record-ID: "),
-        _urn(F.col("id")),
+        _urn(F.col("id"), kind),
         F.lit(f"\r\nWARC-Date: {date}\r\n"),
         F.coalesce(F.concat(F.lit("WARC-Target-URI: "), url, F.lit("\r\n")), F.lit("")),
         F.lit("WARC-Payload-Digest: sha1:"),
         F.col("sha1"),
         F.when(is_response, F.lit("")).otherwise(
-            F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), _urn(F.col("first")))
+            F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), _urn(F.col("first"), kind))
         ),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
         block.cast("string"),
@@ -72,7 +77,8 @@ def write_archive(
     null URL leaves its header out, a null id sorts below all others and is written ``null``. Rows that
     repeat an id and its payload are responses together. Payloads are equal if their
     SHA-256, SHA-1 and length are. Only payloads are shuffled, once, after a map-side reduction of
-    repeated rows; copies meet as digests. An empty table gives an empty archive.
+    repeated rows; copies meet as digests, which are written first, so that the pages of one very common payload
+    can be split. Ids are of any type that sorts and that casts to text and back. An empty table gives an empty archive.
     """
     payload = F.coalesce(F.col(f"`{payload_column}`"), F.lit("").cast(pages.schema[payload_column].dataType))
     rows = pages.select(
@@ -88,12 +94,13 @@ def write_archive(
         F.octet_length("payload").cast("long").alias("bytes"),
     )
     same = ["digest", "sha1", "bytes"]
-    firsts = slim.groupBy(*same).agg(F.max("id").alias("first"))
+    firsts = cut_lineage(slim.groupBy(*same).agg(F.max("id").alias("first")), "firsts")
     headers = slim.join(firsts, same).withColumn(
         "record_type",
         F.when((F.col("bytes") < min_bytes) | F.col("id").eqNullSafe(F.col("first")), "response").otherwise("revisit"),
     )
-    headers.select("id", "digest", _head(date).alias("head")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    head = _head(date, slim.schema["id"].dataType).alias("head")
+    headers.select("id", "digest", head).write.option("compression", "zstd").parquet(f"{path}/headers")
 
     def owner(id_column: str):  # never null, so that the join needs no other partitioning than the grouping
         return F.coalesce(F.col(id_column).cast("string"), F.lit("null")).alias("owner")
@@ -111,10 +118,11 @@ def write_archive(
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Every record of an archive: fields of its header, its full payload and the exact ``record`` bytes.
 
-    A payload that doesn't hash to its address ends the read with an error. Facts about payloads are
-    taken where they are scanned, so a reader that needs no bytes shuffles none.
+    A payload that doesn't hash to its address, or to the digest that a header states, ends the read with an error,
+    and so does a record whose block isn't as long as its header says. Ids have the type they were written with.
+    Facts about payloads are taken where they are scanned, so a reader that needs no bytes shuffles none.
     """
-    headers = spark.read.schema("id long, digest string, head string").parquet(f"{path}/headers")
+    headers = spark.read.parquet(f"{path}/headers")
     stored = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
     stored = stored.select(
         F.when(F.sha2("payload", 256) == F.col("digest"), F.col("digest"))
@@ -128,21 +136,34 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     def field(name: str) -> Column:
         return F.regexp_extract("head", rf"\r\n{name}: ([^\r]*)\r\n", 1)
 
-    refers = F.regexp_extract("head", r"\r\nWARC-Refers-To: <urn:page:(-?\d+)>\r\n", 1)
-    joined = headers.join(stored, "digest")
+    def held(value: str, truth: Column, fault: str) -> Column:
+        return F.when(truth, F.col(value)).otherwise(F.raise_error(F.concat(F.lit(fault), F.col("digest")))).alias(value)
+
+    kind = headers.schema["id"].dataType
+    refers = F.regexp_extract("head", r"\r\nWARC-Refers-To: <urn:page:([^\r]*)>\r\n", 1)
+    named = F.url_decode(refers) if isinstance(kind, T.StringType) else refers.try_cast(kind)
+    is_response = field("WARC-Type") == "response"
+    # the first Content-Length of a head is that of the block, behind the first empty line
+    block = F.octet_length("head") - F.instr("head_bytes", "\r\n\r\n") - 3
+    block = block + F.when(is_response, F.col("payload_bytes")).otherwise(0)
+    joined = headers.join(stored, "digest").withColumn("head_bytes", F.decode(F.col("head").cast("binary"), "ISO-8859-1"))
     return joined.select(
         "id",
         field("WARC-Type").alias("record_type"),
-        F.when(refers != "", refers.cast("long")).alias("refers_to"),
+        F.when(F.col("head").contains("\r\nWARC-Refers-To: "), named).alias("refers_to"),
         F.when(F.col("head").contains("\r\nWARC-Target-URI: "), field("WARC-Target-URI")).alias("url"),
         field("WARC-Payload-Digest").alias("stated_digest"),
-        "payload_bytes",
-        "payload_digest",
+        held("payload_bytes", field("Content-Length").try_cast("long") == block, "length differs from the header's: "),
+        held(
+            "payload_digest",
+            F.concat(F.lit("sha1:"), F.col("payload_digest")) == field("WARC-Payload-Digest"),
+            "digest differs from the header's: ",
+        ),
         "payload",
         "head",
         F.concat(
             F.col("head").cast("binary"),
-            F.when(field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b"")),
+            F.when(is_response, F.col("payload")).otherwise(F.lit(b"")),
             F.lit(b"\r\n\r\n"),
         ).alias("record"),
     )

@@ -1,6 +1,7 @@
 """Archives written and read back: kinds, digests, exact records, verification."""
 
 import base64
+import datetime as dt
 import hashlib
 
 import pytest
@@ -75,3 +76,32 @@ def test_export_and_empty(spark, tmp_path):
     assert sorted(text) == sorted(b"".join(bytes(r.record) for r in got.collect()))
     (tmp_path / "none").mkdir()
     assert written(spark, tmp_path / "none", []).count() == 0
+
+
+@pytest.mark.parametrize("kind, ids", [("string", ["a>b", "null", "\r\nX: y z", "é%"]), ("int", [3, 1, 2, -4]), ("date", None)])
+def test_ids_of_other_types(spark, tmp_path, kind, ids):
+    ids = ids or [dt.date(2001, 1, d) for d in range(1, 5)]
+    rows = spark.createDataFrame([(i, "u", "same") for i in ids] + [(None, "u", "own")], f"page_id {kind}, url string, html string")
+    write_archive(rows, str(tmp_path / "a"))
+    got = records(spark, str(tmp_path / "a"))
+    assert got.schema["id"].dataType == got.schema["refers_to"].dataType == rows.schema["page_id"].dataType
+    first = max(ids, key=lambda i: i.encode() if kind == "string" else i)
+    expected = {(i, None if i == first else first) for i in ids} | {(None, None)}
+    assert {(r.id, r.refers_to) for r in got.collect()} == expected
+
+
+@pytest.mark.parametrize(
+    "change, fault",
+    [("replace(head, 'sha1:', 'sha1:A')", "digest differs"), ("replace(head, 'urn:page:', 'urn:page::')", None),
+     ("replace(head, 'HTTP/1.1 200 OK', 'HTTP/1.1 200 Okay')", "length differs")],
+)
+def test_a_changed_head_is_noticed(spark, tmp_path, change, fault):
+    written(spark, tmp_path, ROWS[3:4])
+    spark.read.parquet(str(tmp_path / "a/payloads")).write.parquet(str(tmp_path / "b/payloads"))
+    heads = spark.read.parquet(str(tmp_path / "a/headers")).selectExpr("id", "digest", f"{change} AS head")
+    heads.write.parquet(str(tmp_path / "b/headers"))
+    if fault is None:  # neither digest nor block has changed
+        assert records(spark, str(tmp_path / "b")).collect()
+    else:
+        with pytest.raises(Exception, match=fault):
+            records(spark, str(tmp_path / "b")).collect()
