@@ -98,7 +98,7 @@ def ring_shards(
 
     ``home_shard`` is the shard without bounds. A shard holds at most ``ceil((1 + slack) * n / shards)``
     rows; with no slack the counts are at most one apart. ``carry`` names further columns to
-    return (of hashable types). A null key has a place on the ring like any other; repeated rows
+    return (of hashable types). Rows without a key are placed by what they carry, so that they don't meet in one task; repeated rows
     are counted before the shuffle and spread out again, so none is a hot key. An empty table
     gives an empty one. Columns that aren't named are left out, so their names can't clash.
     """
@@ -106,7 +106,9 @@ def ring_shards(
         raise ValueError("shards, vnodes and cells must be positive and slack not negative")
     names = [f"c{i}" for i in range(1 + len(carry))]
     plain = rows.select(*(F.col(f"`{c}`").alias(n) for c, n in zip([key, *carry], names, strict=True)))
-    plain = plain.withColumn("cell", F.pmod(F.xxhash64(F.lit("key"), "c0"), F.lit(cells)))
+    by_key, by_row = F.xxhash64(F.lit("key"), "c0"), F.xxhash64(F.lit("key"), *names)
+    position = F.when(F.col("c0").isNull(), by_row).otherwise(by_key)
+    plain = plain.withColumn("cell", F.pmod(position, F.lit(cells)))
 
     place = _arcs(_ring(rows.sparkSession, shards, vnodes, cells), cells)
     counted = place.join(plain.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell", "left")

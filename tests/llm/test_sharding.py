@@ -81,3 +81,12 @@ def test_empty_single_and_clashing_names(spark):
 def test_plan_is_native(spark):
     plan = ring_shards(spark.range(10), "id")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_rows_without_a_key_spread_over_the_ring(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("k"), "id")
+    got = ring_shards(rows, "k", ["id"])
+    homes = {r["home_shard"]: r["count"] for r in got.groupBy("home_shard").count().collect()}
+    assert len(homes) == 8 and max(homes.values()) < 1200
+    assert {r["count"] for r in got.groupBy("shard").count().collect()} == {500}
+    assert got.select("id").distinct().count() == 4000
