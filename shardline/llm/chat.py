@@ -31,6 +31,8 @@ TURN = re.compile(r'<turn role="([^"]*)">\n(.*?)\n</turn>\n', re.DOTALL)
 ESCAPED = re.compile(r"\\(</?turn)")
 #: Bytes of text for which scatter indices are held at a time.
 STEP = 4 << 20
+#: Bytes that a column of a batch can hold.
+MOST = (1 << 31) - 1
 
 MASK = "array<struct<start: int, end: int>>"
 MASK_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -104,6 +106,8 @@ def _format(batch: pa.Table, learnt: str) -> pa.RecordBatch:
     )
     first = np.concatenate([[0], np.flatnonzero(~same.to_numpy(zero_copy_only=False)) + 1])
     out, turn, inside = assemble(batch["role"].combine_chunks(), batch["text"].combine_chunks())
+    if turn[-1] > MOST:
+        raise ValueError(f"the conversations of a batch come to {turn[-1]} bytes, which one column can't hold")
     ends = np.append(first, batch.num_rows)
     letters = _starts((out & 0xC0) != 0x80)
     rows = np.flatnonzero(pc.fill_null(pc.equal(batch["role"], learnt), False).to_numpy())

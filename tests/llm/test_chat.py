@@ -77,3 +77,10 @@ def test_odd_roles():
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_chats(df).count() == 0
+
+
+def test_more_than_a_column_holds_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(chat, "MOST", 50)
+    rows = pa.table({"conv": [1, 1], "role": ["user", "assistant"], "text": ["a" * 20, "b" * 20]})
+    with pytest.raises(ValueError, match="can't hold"):
+        chat._format(rows, "assistant")
