@@ -184,9 +184,10 @@ def train(
     max_langs: int = 256,
     steps: int = 160,
 ) -> Model:
-    """Fit on at most ``per_lang`` texts of each of at most ``max_langs`` languages (the most frequent), chosen by hash.
+    """Fit on at most ``per_lang`` texts of each of at most ``max_langs`` languages (the most frequent), drawn at random.
 
-    Rows without text, letter or language don't count. ``per_lang * max_langs`` pieces of ``PIECE``
+    The draw has a fixed seed for each partition: the same table in the same partitions gives the same model, in others
+    another of the same kind. Rows without text, letter or language don't count. ``per_lang * max_langs`` pieces of ``PIECE``
     characters are all that the driver ever holds.
     """
     text, size = F.col("text"), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1

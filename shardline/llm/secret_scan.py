@@ -366,7 +366,7 @@ def fit(texts: list[str], length: int = 32, batch: int = 192, steps: int = 150,
 def train(docs: DataFrame, text_column: str = "text", pool: int = 50_000, each: int = 400, piece: int = 4000) -> Field | None:
     """Fit on at most ``each`` pieces of texts with a key word and as many without, of ``piece`` characters at most.
 
-    They are drawn by hash from a pool of about ``pool`` rows, so the driver holds ``2 * each * piece`` characters.
+    They are drawn at random, with a fixed seed for each partition, from a pool of about ``pool`` rows, so the driver holds ``2 * each * piece`` characters.
     """
     text = F.col("text")
     rows = docs.select(F.col(f"`{text_column}`").alias("text")).filter("text <> ''")

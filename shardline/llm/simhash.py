@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
+from shardline.llm.batches import unused
 from shardline.session import cut_lineage
 
 SEED = 42
@@ -118,8 +119,12 @@ def links(nodes: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with the least of u and its neighbours as m."""
+    """Edges (u, v) with the least of u and its neighbours as m.
+
+    The least are written first: a node with very many neighbours can be split in a join of two written tables.
+    """
     low = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = cut_lineage(low, "least")
     return edges.join(low.hint("merge"), "u")
 
 
@@ -170,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int = 2) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest id stays, once.
 
-    Of rows with that id the one with the smaller text hash stays; a component without ids keeps one row.
+    All columns of ``docs`` come back as they are, whatever their names. Of rows with that id the one with the smaller text hash stays; a component without ids keeps one row.
     """
     found = near_duplicates(docs, id_column, text_column, bits)
     owner = F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("null")).alias("owner")
@@ -178,7 +183,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     # a component is named by its smallest id; those without ids are told apart by their root
     kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("root"))).agg(one)
     kept = kept.select("kept.owner", F.col("kept.text_hash").alias("hash"))
-    marked = docs.withColumns({"__owner": owner, "__hash": F.xxhash64(F.col(f"`{text_column}`"))})
-    marked = marked.dropDuplicates(["__owner", "__hash"])
-    kept = kept.select(F.col("owner").alias("__owner"), F.col("hash").alias("__hash"))
-    return marked.join(kept, ["__owner", "__hash"], "left_semi").drop("__owner", "__hash")
+    names = [unused(docs.columns, "owner"), unused(docs.columns, "hash")]
+    marked = docs.withColumns(dict(zip(names, (owner, F.xxhash64(F.col(f"`{text_column}`"))), strict=True)))
+    marked = marked.dropDuplicates(names)
+    return marked.join(kept.toDF(*names), names, "left_semi").drop(*names)

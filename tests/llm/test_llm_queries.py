@@ -202,3 +202,14 @@ def test_stages_take_odd_documents(spark, docs):
             frame = corpus_pipeline.cut_lineage(stage(spark, frame, FOLDER), name)
         assert frame.count() == frame.select("doc_id").distinct().count()
         assert (frame.count() > 0) == (start is full)
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    rows = [(i, t, "en", len(t), "f", "s", "o", "h") for i, t in docs[:30]]
+    kind = "doc_id long, text string, lang string, n_chars long, found string, Spans string, owner string, hash string"
+    frame = spark.createDataFrame(rows, kind)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = corpus_pipeline.cut_lineage(stage(spark, frame, FOLDER), name)
+        assert frame.columns == ["doc_id", "text", "lang", "n_chars", "found", "Spans", "owner", "hash"]
+    got = frame.select("found", "Spans", "owner", "hash").distinct().collect()
+    assert [tuple(r) for r in got] == [("f", "s", "o", "h")]

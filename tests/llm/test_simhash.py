@@ -120,3 +120,11 @@ def test_one_of_linked_rows_without_ids_stays(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(i, t, f"o{n}", n, "a", "b") for n, (i, t) in enumerate(documents())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, owner string, Hash long, __owner string, owner_ string")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and kept.count() > 0
+    assert kept.join(df, df.columns[2:4], "left_semi").count() == kept.count()
