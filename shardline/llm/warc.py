@@ -76,7 +76,7 @@ def write_archive(
     response and the others revisit it; pages with smaller payloads are all responses. A null payload is empty, a
     null URL leaves its header out, a null id sorts below all others and is written ``null``. Rows that
     repeat an id and its payload are responses together. Payloads are equal if their
-    SHA-256, SHA-1 and length are. Only payloads are shuffled, once, after a map-side reduction of
+    SHA-256 is, which is also their address. Only payloads are shuffled, once, after a map-side reduction of
     repeated rows; copies meet as digests, which are written first, so that the pages of one very common payload
     can be split. Ids are of any type that sorts and that casts to text and back. An empty table gives an empty archive.
     """
@@ -85,7 +85,7 @@ def write_archive(
         F.col(f"`{id_column}`").alias("id"),
         F.col(f"`{url_column}`").alias("url"),
         payload.cast("binary").alias("payload"),
-    ).select("*", F.sha2("payload", 256).alias("digest"))
+    ).select("*", F.unhex(F.sha2("payload", 256)).alias("digest"))
     slim = rows.select(
         "id",
         "url",
@@ -93,9 +93,8 @@ def write_archive(
         base32_sha1(F.col("payload")).alias("sha1"),
         F.octet_length("payload").cast("long").alias("bytes"),
     )
-    same = ["digest", "sha1", "bytes"]
-    firsts = cut_lineage(slim.groupBy(*same).agg(F.max("id").alias("first")), "firsts")
-    headers = slim.join(firsts, same).withColumn(
+    firsts = cut_lineage(slim.groupBy("digest").agg(F.max("id").alias("first")), "firsts")
+    headers = slim.join(firsts, "digest").withColumn(
         "record_type",
         F.when((F.col("bytes") < min_bytes) | F.col("id").eqNullSafe(F.col("first")), "response").otherwise("revisit"),
     )
@@ -123,10 +122,10 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     Facts about payloads are taken where they are scanned, so a reader that needs no bytes shuffles none.
     """
     headers = spark.read.parquet(f"{path}/headers")
-    stored = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
+    stored = spark.read.schema("digest binary, payload binary").parquet(f"{path}/payloads")
     stored = stored.select(
-        F.when(F.sha2("payload", 256) == F.col("digest"), F.col("digest"))
-        .otherwise(F.raise_error(F.concat(F.lit("payload differs from its address "), F.col("digest"))))
+        F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("digest"))
+        .otherwise(F.raise_error(F.concat(F.lit("payload differs from its address "), F.hex("digest"))))
         .alias("digest"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         base32_sha1(F.col("payload")).alias("payload_digest"),
@@ -137,7 +136,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         return F.regexp_extract("head", rf"\r\n{name}: ([^\r]*)\r\n", 1)
 
     def held(value: str, truth: Column, fault: str) -> Column:
-        return F.when(truth, F.col(value)).otherwise(F.raise_error(F.concat(F.lit(fault), F.col("digest")))).alias(value)
+        return F.when(truth, F.col(value)).otherwise(F.raise_error(F.concat(F.lit(fault), F.hex("digest")))).alias(value)
 
     kind = headers.schema["id"].dataType
     refers = F.regexp_extract("head", r"\r\nWARC-Refers-To: <urn:page:([^\r]*)>\r\n", 1)
