@@ -1,10 +1,10 @@
 """Benchmark passages in documents, found by one Aho-Corasick automaton over normalised words.
 
 Text is lower-cased in A-Z and cut to words of digits, letters and anything beyond ASCII, on UTF-8
-bytes: all bytes of a longer character are word bytes. Each different word of the items is one symbol and
-every other word the symbol of none, so a window of an item's words is a string with a symbol, and
-a node of the automaton, for each word. One pass over a document finds all occurrences of all windows; words map
-back to offsets in the original text.
+bytes: all bytes of a longer character are word bytes. Words are joined by one space, so every
+window of an item's words is a string that begins and ends at a space, and one pass of the automaton
+over a document finds all occurrences of all windows. Words map back to offsets in the
+original text.
 """
 
 from __future__ import annotations
@@ -25,11 +25,8 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 NORMAL = bytes(
     c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)
 )
-#: Nodes (about 40 bytes each) and words that one automaton may have; larger benchmarks are scanned in several passes.
-NODES, WORDS = 4 << 20, 1 << 20
-#: Words of item text as Spark counts them.
-SPARK_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-OTHER = "\0"
+#: Nodes (about 40 bytes each) that one automaton may have; larger benchmarks are scanned in several passes.
+NODES = 8 << 20
 
 FOUND = "struct<n_words: bigint, hits: array<int>, items: array<string>, spans: array<struct<start: int, end: int>>>"
 FOUND_ARROW = pa.struct(
@@ -46,43 +43,35 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def symbol(number: int) -> str:
-    """The character for a word's number; 0 is for words of no item, and surrogates are left out."""
-    return chr(number + 1 if number < 0xD7FF else number + 0x801)
-
-
 @functools.lru_cache(maxsize=1)  # one in a Python worker at a time
-def automaton(items: tuple[tuple[str, bytes], ...], size: int) -> tuple[ahocorasick.Automaton, dict[bytes, str]]:
-    """All windows of ``size`` words, with the numbers of the items they come from; and the symbols of the words."""
-    symbols: dict[bytes, str] = {}
-    windows: dict[str, list[int]] = {}
+def automaton(items: tuple[tuple[str, bytes], ...], size: int) -> ahocorasick.Automaton:
+    """All windows of ``size`` words, with the numbers of the items they come from."""
+    windows: dict[bytes, tuple[int, set[int]]] = {}
     for number, (_, text) in enumerate(items):
-        line = "".join([symbols.setdefault(w, symbol(len(symbols))) for w in words(text)])
-        n = min(size, len(line))
-        for i in range(len(line) - n + 1 if n else 0):
-            of = windows.setdefault(line[i : i + n], [])
-            if not of or of[-1] != number:
-                of.append(number)
+        own = words(text)
+        n = min(size, len(own))
+        for i in range(len(own) - n + 1 if n else 0):
+            windows.setdefault(b" " + b" ".join(own[i : i + n]) + b" ", (n, set()))[1].add(number)
     found = ahocorasick.Automaton()
-    for window, numbers in windows.items():
-        found.add_word(window, (len(window), numbers))
+    for window, value in windows.items():
+        found.add_word(window.decode("latin-1"), value)  # a character for each byte
     if windows:
         found.make_automaton()
-    return found, symbols
+    return found
 
 
-def scan(
-    text: bytes, found: ahocorasick.Automaton, symbols: dict[bytes, str], ids: list[str], before: dict | None = None
-) -> dict:
+def scan(text: bytes, found: ahocorasick.Automaton, ids: list[str], before: dict | None = None) -> dict:
     """Words, numbers of the words hit, item ids and hit runs as code points; ``before``: of an earlier pass."""
     own = words(text)
     out = before or {"n_words": len(own), "hits": [], "items": [], "spans": []}
     if not own or not len(found):
         return out
-    matches = [(end, *value) for end, value in found.iter("".join([symbols.get(w, OTHER) for w in own]))]
+    line = b" " + b" ".join(own) + b" "
+    matches = [(end, *value) for end, value in found.iter(line.decode("latin-1"))]
     if not matches:
         return out
-    last = np.array([m[0] for m in matches]) + 1
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)  # word i lies between spaces i and i + 1
+    last = np.searchsorted(spaces, [m[0] for m in matches])
     edges = np.zeros(len(own) + 1, np.int32)
     np.add.at(edges, last - [m[1] for m in matches], 1)
     np.add.at(edges, last, -1)
@@ -106,10 +95,10 @@ def _scanner(items: tuple[tuple[str, bytes], ...], size: int):
     ids = [i for i, _ in items]
 
     def run(texts: pa.Array, *before: pa.Array) -> pa.Array:
-        found, symbols = automaton(items, size)
+        found = automaton(items, size)
         earlier = before[0] if before else itertools.repeat(None)
         rows = (
-            scan(text.as_py() or b"", found, symbols, ids, old and old.as_py())
+            scan(text.as_py() or b"", found, ids, old and old.as_py())
             for text, old in zip(texts.cast(pa.binary()), earlier, strict=False)
         )
         return pa.array(rows, FOUND_ARROW)
@@ -139,8 +128,8 @@ def contamination(
     are one item; a null item id is written as the empty string. Other columns stay as they are; one
     called ``into`` is replaced. Without items nothing is hit.
 
-    The items are broadcast in parts whose automata have about ``nodes`` nodes, ``size`` for each word at most (or parts of about
-    ``item_bytes`` of text, where that makes more): a benchmark within that bound takes one
+    The items are broadcast in parts whose automata have about ``nodes`` nodes, ``size`` + 1 for each byte at most (or parts of
+    about ``item_bytes`` of text, where that makes more): a benchmark within that bound takes one
     pass over the documents. A larger one takes a pass for each part, with the documents written between
     passes to the shared folder, so that a worker holds one part's automaton at a time. An item is never cut, so
     one beyond the bound makes a larger part.
@@ -149,13 +138,8 @@ def contamination(
         F.coalesce(F.col(f"`{item_column}`").cast("string"), F.lit("")).alias("id"),
         F.col(f"`{item_text_column}`").alias("text"),
     ).filter("text is not null")
-    total = named.agg(
-        F.sum(F.regexp_count("text", F.lit(SPARK_WORD)).cast("long")).alias("words"), F.sum(F.octet_length("text")).alias("bytes")
-    ).first()
-    n_words = total["words"] or 0
-    parts = max(1, -(-n_words * size // nodes), -(-n_words // WORDS))  # no more words than there are characters
-    if item_bytes is not None:
-        parts = max(parts, -(-(total["bytes"] or 0) // item_bytes))
+    total = named.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    parts = max(1, -(-total * (size + 1) // nodes), -(-total // item_bytes) if item_bytes else 1)
     part = F.pmod(F.xxhash64("id", "text"), F.lit(parts))
     text = F.col(f"`{text_column}`")
     docs, found = docs.drop(into), F.col(f"`{into}`")
