@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join partition even when that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # a union that claims its sides' partitioning meets other sides unequally cut, once plans adapt: "Can't zip RDDs"
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 

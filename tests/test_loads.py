@@ -80,6 +80,20 @@ def test_before_images_skip_audit_columns(spark):
     assert [r["k"] for r in load.before_images(old, new, ["k"]).collect()] == [2]
 
 
+def test_before_images_of_an_upsert_without_broadcasts(spark, tmp_path):
+    """As with large tables: both sides of the upsert's union and the old rows come from exchanges, and plans adapt."""
+    spark.range(1000).selectExpr("id AS k", "id AS v").write.parquet(f"{tmp_path}/old")
+    spark.range(900, 1100).selectExpr("id AS k", "id + id % 2 AS v").write.parquet(f"{tmp_path}/delta")
+    old, delta = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("old", "delta"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = load.upsert(old, delta.unionByName(delta), ["k"], ["v"])
+        assert sorted(r.k for r in load.before_images(old, new, ["k"]).collect()) == list(range(901, 1000, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 @pytest.mark.parametrize(
     "last,now,due,start,end",
     [
