@@ -8,7 +8,8 @@ needs no comparison:
 * anchors whose hash occurs once are dropped, after a count that is combined before the shuffle;
 * anchors whose whole context occurs more than once are covered without looking further, however many
   copies there are;
-* the other contexts meet, a representative of each distinct one, in buckets of bounded size. A bucket is indexed by its
+* the other contexts meet, a representative of each distinct one, in buckets of bounded size. There, those that share
+  no window with another of their anchor are left out, as a match holds such a window. The rest of a bucket is indexed by its
   run-length Burrows-Wheeler transform. At the ends of runs suffix positions are sampled and their
   common prefixes with the preceding suffix compared; all others follow by stepping through
   the text. This gives for each position the longest match elsewhere (its matching statistic), streamed
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from shardline.llm.batches import bounded_batches
@@ -39,6 +41,8 @@ STEP = 1 << 20
 #: Distinct contexts in a bucket, and most that one anchor may bring to one.
 BUCKET, CROWD = 4000, 8000
 BASE = 0x9E3779B97F4A7C15  # odd, so that powers have inverses
+#: Windows of a string, in one of which a match of the string is seen, and contexts written at a time.
+WINDOWS, ROWS = 8, 8192
 PLACE = np.uint64((1 << 21) - 1)  # more than the substrings of a step
 
 
@@ -184,8 +188,32 @@ def matching_statistics(text: np.ndarray) -> np.ndarray:
     return out
 
 
+def windows_shared(groups: np.ndarray, left: np.ndarray, data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Which contexts (context i from starts[i] to starts[i + 1], its anchor left[i] behind) may match another of their group.
+
+    Windows begin every ``slack`` bytes before the anchor and are as much shorter than ``length``, so each string of ``length``
+    bytes that holds the anchor holds one of them. Where strings are equal, so are their windows, and the windows' hashes.
+    """
+    slack = max(1, (length - GRAM) // WINDOWS)
+    before = np.arange(0, length - GRAM + 1, slack)
+    inside = (left[:, None] >= before) & (np.diff(starts)[:, None] - left[:, None] + before >= length - slack)
+    row, which = np.nonzero(inside)
+    at = starts[row] + left[row] - before[which]
+    key = _mix(groups[row].view(np.uint64) + _mix(which.astype(np.uint64)))
+    for low in range(0, len(data), STEP):
+        part = np.flatnonzero((at >= low) & (at < low + STEP))
+        hashes, k = Hashes(data[low : low + STEP + length], STEP + 4 * length), at[part] - low
+        key[part] += hashes.of(k, k + length - slack)
+    _, same, n = np.unique(_mix(key), return_inverse=True, return_counts=True)
+    out = np.zeros(len(left), bool)
+    out[row[n[same] > 1]] = True
+    return out
+
+
 def long_matches(groups: np.ndarray, left: np.ndarray, contexts: list[bytes], length: int) -> list[tuple[int, int, int]]:
     """(context, start, end) relative to its anchor, of matches of ``length`` bytes or more with others of its group."""
+    if not contexts:
+        return []
     _, group = np.unique(groups, return_inverse=True)
     n_groups = int(group.max()) + 1
     parts, begins, at = [], [], 0
@@ -210,6 +238,14 @@ def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def _entries(lists: pa.Array, *names: str) -> list[np.ndarray]:
+    """Of lists of structs the row of each entry, and these fields of it."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    fields = [pc.struct_field(flat, name).to_numpy(zero_copy_only=False) for name in names]
+    return [np.repeat(np.arange(len(lists)), size), *fields]
+
+
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,22 +269,19 @@ def _context_rows(stored: DataFrame, length: int) -> DataFrame:
     """The bytes around the anchors that stand for their context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = "gram", "context", "crowded", "covered", "before"
         for batch in batches:
-            rows = []
-            for text, marks in zip(batch["text"].cast(pa.binary()), batch["marks"], strict=True):
-                data = memoryview(text.as_buffer())
-                for m in marks.as_py():
-                    if m["stands"]:
-                        low, high = m["place"] - m["before"], m["place"] + m["after"]
-                        rows.append(
-                            (m["gram"], m["context"], m["crowded"], m["covered"], m["before"], bytes(data[low:high]))
-                        )
-            kinds = pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary()
-            columns = zip(*rows, strict=True) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                ["gram", "context", "crowded", "covered", "before", "bytes"],
-            )
+            data, starts = _buffer(batch["text"])
+            row, stands, place, after, *rest = _entries(batch["marks"], "stands", "place", "after", *names)
+            before, picked = rest[-1].astype(np.int32), np.flatnonzero(stands)
+            for first in range(0, len(picked), ROWS):
+                pick = picked[first : first + ROWS]
+                low, size = starts[row[pick]] + place[pick] - before[pick], before[pick] + after[pick]
+                ends = np.cumsum(size)
+                taken = data[np.repeat(low - (ends - size), size) + np.arange(ends[-1])]
+                offsets = np.concatenate([[0], ends]).astype(np.int32)
+                texts = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(offsets), pa.py_buffer(taken)])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[pick]) for x in (*rest[:-1], before)), texts], [*names, "bytes"])
 
     schema = "gram long, context long, crowded boolean, covered boolean, before int, bytes binary"
     return stored.select("text", "marks").mapInArrow(run, schema)
@@ -257,9 +290,11 @@ def _context_rows(stored: DataFrame, length: int) -> DataFrame:
 def _bucket_matches(contexts: DataFrame, length: int, n_contexts: int) -> DataFrame:
     def run(bucket: pa.Table) -> pa.Table:
         groups, left = bucket["gram"].to_numpy(), bucket["before"].to_numpy()
-        found = long_matches(groups, left, bucket["bytes"].to_pylist(), length)
-        covered = bucket["covered"].to_pylist()
-        found = [f for f in found if not covered[f[0]]]
+        data, starts = _buffer(bucket["bytes"].combine_chunks())
+        may = np.flatnonzero(windows_shared(groups, left, data, starts, length))
+        found = long_matches(groups[may], left[may], bucket["bytes"].take(pa.array(may)).to_pylist(), length)
+        covered = bucket["covered"].to_numpy()[may]
+        found = [(may[i], start, end) for i, start, end in found if not covered[i]]
         rows = pa.array([f[0] for f in found], pa.int64())
         return pa.table(
             {
@@ -389,9 +424,15 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, marks_, spans_ in zip(batch["text"].cast(pa.binary()), batch["marks"], batch["spans"], strict=True):
-                own = [(m["place"] - m["before"], m["place"] + m["after"]) for m in marks_.as_py() if m["covered"]]
-                own += [(s["start"], s["end"]) for s in spans_.as_py() or ()]
+            row, covered, place, before, after = _entries(batch["marks"], "covered", "place", "before", "after")
+            of_span, begin, stop = _entries(batch["spans"], "start", "end")
+            row = np.concatenate([row[covered], of_span])
+            low, high = np.concatenate([(place - before)[covered], begin]), np.concatenate([(place + after)[covered], stop])
+            by = np.argsort(row, kind="stable")
+            pairs = list(zip(low[by].tolist(), high[by].tolist(), strict=True))
+            at = np.searchsorted(row[by], np.arange(len(batch["text"]) + 1)).tolist()
+            for i, text in enumerate(batch["text"].cast(pa.binary())):
+                own = pairs[at[i] : at[i + 1]]
                 kept, removed, runs = cut(text.as_py(), own)
                 out.append((kept if removed else None, removed, runs, hashlib.sha256(kept).hexdigest()))
             kinds = pa.binary(), pa.int64(), pa.int64(), pa.string()

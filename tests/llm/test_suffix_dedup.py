@@ -59,6 +59,31 @@ def test_matching_statistics():
         assert sd.matching_statistics(t).tolist() == want
 
 
+@pytest.mark.parametrize("length", [60, 120, 200])
+def test_contexts_without_a_shared_window_are_left_out(length):
+    random.seed(19)
+    text = lambda n: bytes(random.choice(b"ab") for _ in range(n))
+    gram, groups, left, contexts = text(sd.GRAM), [], [], []
+    for group in range(30):
+        one, two = text(length), text(length)
+        for _ in range(random.randint(1, 4)):  # their strings agree in so many bytes on either side of the anchor
+            a, b = random.randint(0, length - sd.GRAM), random.randint(0, length - sd.GRAM)
+            before, after = one[len(one) - a :], two[:b]
+            more = random.randint(0, 9)
+            contexts.append(text(more) + before + gram + after + text(random.randint(0, 9)))
+            groups.append(group)
+            left.append(more + a)
+    groups, left = np.array(groups), np.array(left)
+    starts = np.cumsum([0, *map(len, contexts)])
+    may = sd.windows_shared(groups, left, np.frombuffer(b"".join(contexts), np.uint8), starts, length)
+    found = sd.long_matches(groups, left, contexts, length)
+    assert {f[0] for f in found} <= set(np.flatnonzero(may)) and 0 < may.sum() < len(may)
+    kept = np.flatnonzero(may)
+    again = sd.long_matches(groups[may], left[may], [contexts[i] for i in kept], length)
+    assert [(kept[i], start, end) for i, start, end in again] == found
+    assert sd.long_matches(groups[:0], left[:0], [], length) == []
+
+
 def test_equal_strings_choose_equal_anchors(monkeypatch):
     random.seed(17)
     one = bytes(random.choice(b"abcdef") for _ in range(700))
